@@ -12,18 +12,21 @@ at least ``MIN_DOCS`` documents (``SHORT_DOCS`` for lines of fewer than
 occurrence, in the smallest (doc_id, line), stays and the others are
 dropped.
 
-Scale: lines travel as 64-bit hashes.  Identical lines of a leaf are one row
-before leaves are compared, so a line with a third of all occurrences is one
-row; only leaves that recur in several documents with several texts have
-their tokens counted, one text per distinct line, by an aggregation on
-(leaf, position, token) that combines before its shuffle.  Joins back to the
-occurrences have one row per key on their right side.
+Scale: lines travel as 64-bit hashes, one row per document and distinct
+line.  An aggregation that combines before its shuffle finds the leaves that
+recur in several documents; only their lines go on, and identical lines of a
+leaf become one row, so a line with a third of all occurrences is one row.
+Leaves with several texts have their tokens counted, one text per distinct
+line, by an aggregation on (leaf, position, token).  Joins back to the
+occurrences have one row per key on their right side.  Texts are shuffled
+compressed, once to fetch the tokens of such lines and once to take lines
+out.
 
 Defined results: a null text stays null and an empty text empty; lines
 without a token are kept; a text loses dropped lines and the line end of
 each; a document whose lines are all dropped becomes the empty text; a null
 ``doc_id`` comes after all others when the first occurrence is chosen;
-repeated rows (equal id and text) are one document and treated alike; an empty table gives an empty result; other columns are passed on
+repeated rows (equal id and text) are treated alike, and lines that only they share stay; an empty table gives an empty result; other columns are passed on
 by :func:`drop_templates`.
 """
 
@@ -35,10 +38,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, row_key, slices, utf8_values
+from .common import frozen, slices, utf8_values
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -61,118 +65,154 @@ def leaf_of(tokens: list[bytes], depth: int = DEPTH) -> int:
     return xxhash.xxh64_intdigest(b"%d\x00" % len(tokens) + b"\x00".join(tokens[:depth])) - (1 << 63)
 
 
+def name_of(tokens: list[bytes]) -> int:
+    """64-bit name of a line with its digits masked."""
+    return xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63)
+
+
+def _keys(doc_id: str, text: str) -> list[Column]:
+    """A document's name by content, 128 bits: it can be made again in a later job, and only repeated rows share it."""
+    return [F.xxhash64(F.col(doc_id), F.col(text)).alias("k1"), F.xxhash64(F.lit(7), F.col(text), F.col(doc_id)).alias("k2")]
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """``(row_id, doc_id, line_no, n_tokens, leaf, line)`` of every line with a token, hashes only."""
+    """``(k1, k2, doc_id, line_no, n_tokens, leaf, line)`` of each distinct line with a token of each document, at its first place; hashes only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             source, number, count, leaf, name = [], [], [], [], []
             for i, text in enumerate(utf8_values(batch.column("text"))):
+                seen = set()
                 for k, line in enumerate((text or b"").split(b"\n")):
                     tokens = masked_tokens(line)
-                    if tokens:
+                    if tokens and (own := name_of(tokens)) not in seen:
+                        seen.add(own)
                         source.append(i)
                         number.append(k)
                         count.append(len(tokens))
                         leaf.append(leaf_of(tokens, depth))
-                        name.append(xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63))
+                        name.append(own)
             at = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id").take(at), batch.column("doc_id").take(at), pa.array(number, pa.int32()), pa.array(count, pa.int32()), pa.array(np.array(leaf, np.int64)), pa.array(np.array(name, np.int64))],
-                names=["row_id", "doc_id", "line_no", "n_tokens", "leaf", "line"],
+                [batch.column(c).take(at) for c in ("k1", "k2", "doc_id")] + [pa.array(number, pa.int32()), pa.array(count, pa.int32()), pa.array(np.array(leaf, np.int64)), pa.array(np.array(name, np.int64))],
+                names=["k1", "k2", "doc_id", "line_no", "n_tokens", "leaf", "line"],
             )
 
-    return docs.select("row_id", "doc_id", "text").mapInArrow(run, f"row_id string, doc_id {kind}, line_no int, n_tokens int, leaf bigint, line bigint")
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 bigint, k2 bigint, doc_id {kind}, line_no int, n_tokens int, leaf bigint, line bigint")
 
 
-def _positions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(leaf, line, pos, token)`` of one occurrence of each wanted line; tokens as hashes."""
-    chosen = wanted.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "leaf", "line")).alias("lines"))
-    found = docs.join(chosen, "row_id").select("text", "lines")
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` compressed, for a shuffle."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        at = names.index("text")
         for batch in slices(batches, "text", BATCH_BYTES):
-            leaf, line, size, token = [], [], [], []
-            for text, wants in zip(utf8_values(batch.column("text")), batch.column("lines").to_pylist()):
+            texts = [None if t is None else press.compress(t) for t in utf8_values(batch.column(at))]
+            columns = [pa.array(texts, pa.binary()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join(f"`{f.name}` " + ("binary" if f.name == "text" else f.dataType.simpleString()) for f in docs.schema.fields)
+    return docs.mapInArrow(run, schema)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return [None if t is None else press.decompress(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+
+
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(leaf, line, docs, tokens)`` of one occurrence of each wanted line; tokens as 64-bit hashes."""
+    chosen = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("line_no", "leaf", "line", "docs")).alias("lines"))
+    found = _packed(docs.select("k1", "k2", "text")).join(chosen, ["k1", "k2"]).select("text", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            out: list[list] = [[], [], [], []]
+            for text, wants in zip(_unpacked(batch), batch.column(1).to_pylist()):
                 every = (text or b"").split(b"\n")
                 for want in wants:
-                    tokens = masked_tokens(every[want["line_no"]])
-                    leaf.append(want["leaf"])
-                    line.append(want["line"])
-                    size.append(len(tokens))
-                    token += [xxhash.xxh64_intdigest(t) - (1 << 63) for t in tokens]
-            n = np.array(size, np.int64)
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(leaf, np.int64), n)), pa.array(np.repeat(np.array(line, np.int64), n)), pa.array(pos.astype(np.int32)), pa.array(np.array(token, np.int64))],
-                names=["leaf", "line", "pos", "token"],
-            )
+                    row = want["leaf"], want["line"], want["docs"], [xxhash.xxh64_intdigest(t) - (1 << 63) for t in masked_tokens(every[want["line_no"]])]
+                    for column, value in zip(out, row):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["leaf", "line", "docs", "tokens"])
 
-    return found.mapInArrow(run, "leaf bigint, line bigint, pos int, token bigint")
+    return found.mapInArrow(run, "leaf bigint, line bigint, docs bigint, tokens array<bigint>").dropDuplicates(["leaf", "line"])
 
 
-def line_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Lines with their leaf and line hashes, and the boilerplate templates' lines.
+def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Lines of recurring leaves, and the boilerplate lines among them.
 
-    ``docs`` has ``row_id, doc_id, text``.  The second result has a row per
-    distinct boilerplate line: ``leaf, line, first_row, first_line``, the
-    place that stays.
+    ``docs`` has ``k1, k2, doc_id, text``.  The second result has a row per
+    distinct boilerplate line: ``leaf, line, first``, the place that stays.
     """
     lines = frozen(_lines(docs, depth))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"), F.col("line_no").alias("line_no"))
-    # Identical lines first: in how many documents, and where first.
-    by_doc = lines.groupBy("leaf", "line", "row_id").agg(F.min(place).alias("place"), F.first("n_tokens").alias("n_tokens"))
-    distinct = by_doc.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("place").alias("place"), F.first("n_tokens").alias("n_tokens"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
-    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("texts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    recurring = leaves.where("lo <> hi").select("leaf", "texts")
-    known = frozen(distinct.drop("lo", "hi").join(recurring, "leaf"))
-    several = known.where("texts > 1")
-    wanted = several.select("leaf", "line", F.col("place.row_id").alias("row_id"), F.col("place.line_no").alias("line_no"))
-    spots = _positions(docs, wanted).join(several.select("leaf", "line", "docs"), ["leaf", "line"])
-    spots = frozen(spots)
-    votes = spots.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("votes"))
-    sums = several.groupBy("leaf").agg(F.sum("docs").alias("all"))
-    constant = votes.join(sums, "leaf").where(F.col("votes") * 2 > F.col("all")).select("leaf", "pos", "token")
-    agree = spots.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    fitted = known.join(agree, ["leaf", "line"], "left")
-    fits = F.coalesce(F.col("same") >= F.col("n_tokens") * F.lit(similar), F.lit(False))
-    fitted = frozen(fitted.withColumn("own", F.when(fits, F.lit(None)).otherwise(F.col("line"))).select("leaf", "line", "own", "docs", "place", "n_tokens"))
-    # Documents of a template: its lines are few, their documents are counted from the occurrences.
-    mixed = fitted.where("own is null")
-    spread = mixed.groupBy("leaf").agg(F.count("*").alias("texts")).where("texts > 1")
-    pairs = by_doc.select("leaf", "line", "row_id").join(mixed.select("leaf", "line"), ["leaf", "line"]).select("leaf", "row_id").distinct()
-    joint = pairs.groupBy("leaf").agg(F.count("*").alias("joint")).join(spread, "leaf")
-    templates = fitted.groupBy("leaf", "own").agg(F.max("docs").alias("docs"), F.min("place").alias("place"), F.first("n_tokens").alias("n_tokens"))
-    templates = templates.join(joint.select("leaf", "joint"), "leaf", "left")
-    docs_of = F.when(F.col("own").isNull(), F.coalesce("joint", "docs")).otherwise(F.col("docs"))
+    leaves = lines.groupBy("leaf").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("line").alias("a"), F.max("line").alias("b"))
+    recurring = leaves.where("lo <> hi").select("leaf", F.expr("a <> b").alias("several"))
+    held = frozen(lines.join(recurring, "leaf"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "line_no")
+    known = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(place).alias("place"), F.first("n_tokens").alias("n_tokens"), F.first("several").alias("several"))
+    known = frozen(known)
+    wanted = known.where("several").select("leaf", "line", "docs", "place.k1", "place.k2", "place.line_no")
+    tokens = frozen(_tokens(docs, wanted))
+    # The constant of each position, or null for a variable field.
+    votes = tokens.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("votes"))
+    tops = votes.groupBy("leaf", "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
+    spot = F.struct("pos", F.when(F.col("top.votes") * 2 > F.col("all"), F.col("top.token")).alias("token"))
+    constants = tops.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(spot)), lambda s: s["token"]).alias("constants"))
+    same = F.aggregate(F.zip_with("tokens", "constants", lambda t, c: F.when(t == c, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    fits = tokens.join(constants, "leaf").where(same >= F.size("tokens") * F.lit(similar)).select("leaf", "line", F.lit(True).alias("general"))
+    fitted = known.join(fits, ["leaf", "line"], "left").select("leaf", "line", "docs", "place", "n_tokens", F.coalesce("general", F.lit(False)).alias("general"))
+    fitted = frozen(fitted.withColumn("own", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line"))))
+    # A line of its own has its documents counted already; those of a template's lines are counted without repeats.
+    general = fitted.where("general").select("leaf", "line")
+    joint = held.select("leaf", "line", "k1", "k2").join(general, ["leaf", "line"]).select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("joint"))
+    templates = fitted.groupBy("leaf", "general", "own").agg(F.max("docs").alias("docs"), F.min("place").alias("first"), F.first("n_tokens").alias("n_tokens")).join(joint, "leaf", "left")
     needed = F.when(F.col("n_tokens") < SHORT, F.lit(max(min_docs, SHORT_DOCS))).otherwise(F.lit(min_docs))
-    boiler = templates.where(docs_of >= needed).select("leaf", F.coalesce("own", F.lit(0)).alias("own0"), F.col("own").isNull().alias("general"), "place")
-    marked = fitted.select("leaf", "line", F.coalesce("own", F.lit(0)).alias("own0"), F.col("own").isNull().alias("general"))
-    out = marked.join(boiler, ["leaf", "own0", "general"]).select("leaf", "line", F.col("place.row_id").alias("first_row"), F.col("place.line_no").alias("first_line"))
-    return lines, out
-
-
-def dropped_lines(docs: DataFrame, **options) -> DataFrame:
-    """``(row_id, lines)``: the numbers of each document's dropped lines."""
-    lines, boiler = line_verdicts(docs, **options)
-    found = lines.join(boiler, ["leaf", "line"])
-    gone = found.where(~((F.col("row_id") == F.col("first_row")) & (F.col("line_no") == F.col("first_line"))))
-    return gone.groupBy("row_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    boiler = templates.where(F.when(F.col("general"), F.greatest("docs", "joint")).otherwise(F.col("docs")) >= needed).select("leaf", "general", "own", "first")
+    return held, fitted.select("leaf", "line", "general", "own").join(boiler, ["leaf", "general", "own"]).select("leaf", "line", "first")
 
 
 def drop_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, recurring template lines taken out of ``text``; ``__lines`` and ``__dropped`` count lines."""
-    numbered = docs.withColumn("__row", row_key(doc_id, text))
-    base = numbered.select(F.col("__row").alias("row_id"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    gone = dropped_lines(base, **options).select(F.col("row_id").alias("__row"), F.col("lines").alias("__gone"))
-    joined = numbered.join(gone, "__row", "left")
-    every = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("__gone"))
-    left = F.array_join(F.transform(kept, lambda i: F.element_at(every, i + 1)), "\n")
-    out = joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(every), F.lit(0)).alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("__dropped"),
-    )
-    return out
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes from here on
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own, words = at[doc_id], at[text]
+    named = named.withColumn(words, F.col(words).cast("string"))
+    base = named.select(*_keys(own, words), F.col(own).alias("doc_id"), F.col(words).alias("text"))
+    held, boiler = boilerplate(base, **options)
+    found = held.join(boiler, ["leaf", "line"])
+    stays = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("line_no") == F.col("first.line_no"))
+    gone = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("line", stays.alias("stays"))).alias("gone"))
+    rest = [c for c in named.columns if c != words]
+    joined = _packed(named.select(*rest, F.col(words).alias("text"), *_keys(own, words))).join(gone, ["k1", "k2"], "left").select(*rest, "text", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            texts, counts, drops = [], [], []
+            for raw, instructions in zip(_unpacked(batch), batch.column(len(rest) + 1).to_pylist()):
+                every = [] if raw is None else raw.split(b"\n")
+                kept = every
+                if instructions:
+                    once = {x["line"]: x["stays"] for x in instructions}
+                    kept = []
+                    for line in every:
+                        tokens = masked_tokens(line)
+                        name = name_of(tokens) if tokens else None
+                        if name not in once:
+                            kept.append(line)
+                        elif once[name]:
+                            kept.append(line)
+                            once[name] = False
+                texts.append(None if raw is None else b"\n".join(kept))
+                counts.append(len(every))
+                drops.append(len(every) - len(kept))
+            new = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32()), pa.array(drops, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(rest))] + new, names=[*rest, words, "lines", "dropped"])
+
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in named.schema.fields if f.name != words)
+    done = joined.mapInArrow(run, schema + f"{words} string, lines int, dropped int")
+    return done.select(*[F.col(at[c]).alias(c) for c in docs.columns], F.col("lines").alias("__lines"), F.col("dropped").alias("__dropped"))
