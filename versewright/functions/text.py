@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Share of letters that decides a script, and code-point ranges.
@@ -18,8 +18,8 @@ STOP_WORDS = {
 
 def tokens(text: Column) -> Column:
     """Words between white space, each but the last with its trailing space."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w, i: F.when(i < F.size(words) - 1, F.concat(w, F.lit(" "))).otherwise(w))
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.filter(F.split(plain, "(?<= )"), lambda w: w != "")
 
 
 def word_key(text: Column) -> Column:
@@ -130,30 +130,39 @@ def script_share(text: Column, ranges: str) -> Column:
 
 
 def language_by_script(text: Column) -> Column:
-    """The language of the first script whose share is large enough, else null."""
+    """The language of the first script whose share is large enough, else null.
+
+    Texts without a letter of any of the scripts are told by one scan.
+    """
     out = None
     for lang, ranges, share in SCRIPTS:
         hit = script_share(text, ranges) >= share
         out = F.when(hit, lang) if out is None else out.when(hit, lang)
-    return out
+    return F.when(text.rlike("[" + "".join(ranges for _, ranges, _ in SCRIPTS) + "]"), out)
 
 
 def stop_word_votes(text: Column) -> dict[str, Column]:
-    """How many words of a text are stop words of each language."""
-    words = F.split(word_key(text), " ")
-    count = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
-    return {lang: count(own) for lang, own in STOP_WORDS.items()}
-
-
-def guess_language(text: Column, fallback: str = "en") -> Column:
-    """By script, else the single language with most stop words; a tie or no vote gives ``fallback``."""
-    votes = stop_word_votes(text)
-    top = F.greatest(*votes.values())
-    leaders = sum((F.when(v == top, 1).otherwise(0) for v in votes.values()), F.lit(0))
+    """How many words of a text are stop words of each language; one scan of the text each."""
+    edge = r"[\p{L}\p{N}_]"
+    lower = F.lower(text)
+    return {lang: F.regexp_count(lower, F.lit(rf"(?<!{edge})(?:{'|'.join(own)})(?!{edge})")) for lang, own in STOP_WORDS.items()}
+
+
+def guess_language(docs: DataFrame, text: str = "text", out: str = "guess", fallback: str = "en") -> DataFrame:
+    """By script, else the single language with most stop words; a tie or no vote gives ``fallback``.
+
+    The votes are columns of a step of their own, so each is counted once.
+    """
+    votes = stop_word_votes(F.col(text))
+    counted = docs.withColumns({f"_{k}": v for k, v in votes.items()} | {"_script": language_by_script(F.col(text))})
+    own = {k: F.col(f"_{k}") for k in votes}
+    top = F.greatest(*own.values())
+    leaders = sum((F.when(v == top, 1).otherwise(0) for v in own.values()), F.lit(0))
     named = None
-    for lang, v in votes.items():
+    for lang, v in own.items():
         named = F.when(v == top, lang) if named is None else named.when(v == top, lang)
-    return F.coalesce(language_by_script(text), F.when((top > 0) & (leaders == 1), named), F.lit(fallback))
+    guess = F.coalesce("_script", F.when((top > 0) & (leaders == 1), named), F.lit(fallback))
+    return counted.withColumn(out, guess).drop("_script", *[f"_{k}" for k in votes])
 
 
 def han_pieces(text: Column) -> Column:

@@ -138,7 +138,7 @@ def stopword_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def language_guess(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", X.guess_language(F.col("text")).alias("guess"))
+    return X.guess_language(_docs(spark, sf)).select("doc_id", "guess")
 
 
 def escape_xml(spark: SparkSession, sf: str) -> DataFrame:
