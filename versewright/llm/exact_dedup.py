@@ -139,7 +139,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marked = marked.withColumn("other", F.when(F.col("differs"), F.col("text_sha256")).otherwise(F.lit("")))
     key = ["poly", "n_bytes", "other"]
     order = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
-    classes = marked.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(order).alias("stays"))
+    # Stored, so that the join below has an exchange on either side and a hot class can be split.
+    classes = frozen(marked.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(order).alias("stays")))
     return marked.join(classes, key).select(
         "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("stays.row_id")).alias("kept"), "text_sha256"
     )
