@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +77,8 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], drop: tuple[st
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, in pieces whose ``column`` holds about ``limit`` bytes (one row at least)."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in utf8_values(batch.column(column))]
         start, held = 0, 0
-        for i, size in enumerate(sizes):
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
             if held and held + size > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -48,8 +48,9 @@ SENTENCE_CUT, INNER_CUT = 4, 48
 STRIDE = 64
 #: Tokens whose cuts are settled at a time.
 BLOCK = 1 << 19
-KEPT_WORDS = 800_000
-BATCH_BYTES = 4 << 20
+#: Words, and cores of words, that a worker keeps: this many new ones, and those before them that are used again.
+KEPT_WORDS = 150_000
+BATCH_BYTES = 2 << 20
 #: A private-use letter that keeps new words apart; texts that hold it are encoded whole.
 MARK = "\ue000"
 _ODD = re.compile("[\x1c-\x1f\x85\ue000]")
@@ -72,6 +73,8 @@ class WordIds:
         self.tails = {c: self._ids(c).tobytes() for c in ".,"}
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -102,7 +105,11 @@ class WordIds:
                 core = core.lower()
             put.append((word, core, tail))
             if core not in cores:
-                new.add(core)
+                kept = self.old_cores.get(core)
+                if kept is None:
+                    new.add(core)
+                else:
+                    cores[core] = kept
         plain = [c for c in new if c.isalpha()]
         odd = [c for c in new if not c.isalpha()]
         for at in range(0, len(plain), 2000):
@@ -127,7 +134,7 @@ class WordIds:
             cores.update(zip(run, [raw[4 * i : 4 * j] for i, j in zip(starts, [*stops.tolist(), len(ids)], strict=True)]))
         self.words.update((word, cores[core] + tail) for word, core, tail in put)
         if len(cores) > KEPT_WORDS:
-            cores.clear()
+            self.old_cores, self.cores = cores, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,7 +149,10 @@ class WordIds:
         got = list(map(words.get, flat))
         gaps = [i for i, x in enumerate(got) if x is None]
         if gaps:
-            self._learn(list({flat[i] for i in gaps}))
+            lacking = {flat[i] for i in gaps}
+            again = {w: kept for w in lacking if (kept := self.old_words.get(w)) is not None}
+            words.update(again)
+            self._learn(list(lacking.difference(again)))
             for i in gaps:
                 got[i] = words[flat[i]]
         out, at = [], 0
@@ -153,7 +163,7 @@ class WordIds:
                 out.append(b"".join(got[at : at + n]))
                 at += n
         if len(words) > KEPT_WORDS:
-            words.clear()
+            self.old_words, self.words = words, {}
         return out
 
 
