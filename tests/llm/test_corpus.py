@@ -103,6 +103,32 @@ def test_ball_links_are_exact(dense):
     assert settled(len(values), found) == settled(len(values), zip(i.tolist(), j.tolist()))
 
 
+def test_near_duplicates_of_wanted_similarity(spark):
+    rng = random.Random(8)
+    rows = []
+    for group in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows.append((group * 10, " ".join(base)))
+        for copy in range(1, 4):
+            w = list(base)
+            for _ in range(4):
+                w[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            rows.append((group * 10 + copy, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(60)]
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {1000 + i for i in range(60)} <= left and {g * 10 for g in range(30)} <= left
+    assert len(left) <= 90 + 4
+
+
+def test_flood_keeps_components():
+    rng = random.Random(2)
+    values = np.array(sorted({rng.getrandbits(9) | rng.getrandbits(2) << 40 for _ in range(150)}), np.uint64)
+    a, b = simhash._flood(values, 1)
+    i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) == 1)
+    assert settled(len(values), zip(a.tolist(), b.tolist())) == settled(len(values), zip(i.tolist(), j.tolist()))
+    assert len(a) < len(values)
+
+
 def test_keep_one_keeps_columns(spark):
     docs = odd_documents(spark)
     kept = simhash.keep_one(docs)

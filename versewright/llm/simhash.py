@@ -21,6 +21,17 @@ Beyond ``DIRECT`` rows the comparison runs on the erased bits alone by
 neighbour look-up, which is linear in the group and keeps the same
 components.
 
+Near duplicates of a wanted similarity (:func:`keep_one`): three of 64 bits
+mean a similarity of about 0.98, so the 64-bit fingerprint alone can't find
+texts that share 0.8 of their shingles; they differ in about ten of 64 bits.
+For these a text has ``BANDS`` more 32-bit fingerprints, bits of the same
+shingles under other hashes.  Each emits its ball of one flip, texts collide
+when some band differs in at most two bits, and a collision is verified by
+the 64-bit fingerprint, at most ``WIDE_BITS`` different.  Calculated for
+independent bits, a pair is found with probability 0.6 at a Jaccard
+similarity of 0.8, 0.8 at 0.85, 0.95 at 0.9 and 0.04 at 0.6; in larger
+groups a text need be found by one other only.  More bands find more.
+
 Defined results: a null or empty text has fingerprint zero and links like
 any other; a null ``doc_id`` never becomes a component id unless its
 component holds nothing else; repeated rows come out as often as they went
@@ -46,40 +57,55 @@ SEED = 42
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Rows of one variant up to which every pair in memory is compared.
 DIRECT = 48
-_FULL = (1 << 64) - 1
+#: 32-bit fingerprints of a text for near duplicates, and bits of the 64 in which these may differ.
+BANDS, WIDE_BITS = 8, 13
+
 
+def _mixed(hashes: np.ndarray, turns: int) -> np.ndarray:
+    """Each hash and ``turns`` further hashes of it (a 64-bit finaliser), shape (n, 1 + turns)."""
+    out = np.empty((len(hashes), 1 + turns), np.uint64)
+    out[:, 0] = hashes
+    for k in range(turns):
+        x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k + 1] = x ^ (x >> np.uint64(31))
+    return out
 
-def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text given in UTF-8."""
+
+def text_fingerprint(text: bytes | None, shingle: int = 3, more: int = 0) -> list[int]:
+    """The 64-bit fingerprint of one text given in UTF-8, and ``more`` of further hashes."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest, space = xxhash.xxh64_digest, b" "
-    ones, n = np.zeros(64, np.int64), len(words) - shingle + 1
-    joined = space.join(words)
+        return [0] * (1 + more)
+    digest, n = xxhash.xxh64_digest, max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    stops = (ends[shingle - 1 :] - 1).tolist()
-    for at in range(0, n, 8192):
-        raw = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + 8192], stops[at : at + 8192])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
-    """``docs`` with the signed 64-bit SimHash of ``text`` as ``out`` in place of the text."""
-    keep = [f for f in docs.schema.fields if f.name not in (text, out)]
+    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    ones = np.zeros(64 * (1 + more), np.int64)
+    for at in range(0, n, 4096):
+        raw = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + 4096], stops[at : at + 4096])])
+        values = np.frombuffer(raw, ">u8").astype(np.uint64)
+        bits = _mixed(values, more) if more else values.reshape(-1, 1)
+        ones += np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1).sum(axis=0, dtype=np.int32)
+    packed = np.packbits(ones * 2 > n).tobytes()
+    return [int.from_bytes(packed[i : i + 8], "big") for i in range(0, len(packed), 8)]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp", more: int = 0) -> DataFrame:
+    """``docs`` with the signed 64-bit SimHash of ``text`` as ``out`` in place of the text, and ``more`` of further hashes as ``w0``, ``w1`` and so on."""
+    made = [out, *[f"w{i}" for i in range(more)]]
+    keep = [f for f in docs.schema.fields if f.name != text and f.name not in made]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((text_fingerprint(t, shingle) for t in utf8_values(batch.column(text))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values.view(np.int64))], names=[*names, out])
+            found = [text_fingerprint(t, shingle, more) for t in utf8_values(batch.column(text))]
+            values = np.array(found, np.uint64).reshape(-1, 1 + more).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values[:, i]) for i in range(1 + more)], names=[*names, *made])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + f"`{out}` bigint"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + ", ".join(f"`{m}` bigint" for m in made)
     return docs.select(*[f"`{n}`" for n in names], text).mapInArrow(run, schema)
 
 
@@ -150,7 +176,24 @@ def _large_group(values: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _flood(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among fingerprints within ``radius``: each found one looks for those not found yet, so a dense group takes one look."""
+    a, b = [], []
+    left = np.arange(len(values))
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            hit = np.bitwise_count(values[left] ^ values[at]) <= radius
+            found = left[hit]
+            left = left[~hit]
+            a.append(found)
+            b.append(np.full(len(found), at))
+            front += found.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+
+
+def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of verified pairs among rows that are sorted by key."""
     n = len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -166,11 +209,12 @@ def _links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
         rows = rows[keys[rows] == keys[np.minimum(rows + gap, n - 1)]]
         if not len(rows):
             break
-        close = np.bitwise_count(values[rows] ^ values[rows + gap]) <= RADIUS
+        close = np.bitwise_count(values[rows] ^ values[rows + gap]) <= radius
         left.append(rows[close])
         right.append(rows[close] + gap)
     for at, size in zip(starts[sizes > DIRECT], sizes[sizes > DIRECT]):
-        i, j = _large_group(values[at : at + size], int(keys[at : at + 1].view(np.uint64)[0]))
+        own = values[at : at + size]
+        i, j = _flood(own, radius) if wide else _large_group(own, int(keys[at : at + 1].view(np.uint64)[0]))
         left.append(i + at)
         right.append(j + at)
     i, j = np.concatenate(left), np.concatenate(right)
@@ -181,15 +225,8 @@ def _links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pairs[:, 0], pairs[:, 1]
 
 
-def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """Spanning links ``(a, b)`` between distinct fingerprints at most three bits apart, exact and free of pairs of large groups."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(values), 4096):
-                keys, owner = _variants(values[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096].view(np.int64)[owner])], names=["variant", "fp"])
+def _met(rows: DataFrame, radius: int, wide: bool) -> DataFrame:
+    """Spanning links ``(a, b)`` of the fingerprints that share a variant and are within ``radius``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -202,26 +239,51 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
             cut = int(np.searchsorted(keys, keys[-1]))  # the last variant may go on in the next batch
             held_keys, held = keys[cut:], values[cut:]
             if cut:
-                yield out(_links(keys[:cut], values[:cut]))
+                yield out(_links(keys[:cut], values[:cut], radius, wide))
         if len(held):
-            yield out(_links(held_keys, held))
+            yield out(_links(held_keys, held, radius, wide))
 
-    rows = distinct.select(F.col(fp).alias("fp")).mapInArrow(emit, "variant bigint, fp bigint")
     return rows.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """One row per document: ``doc_id``, ``key``, ``fp`` (signed long), ``component_id``, ``keep``.
+def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
+    """Spanning links ``(a, b)`` between distinct fingerprints at most three bits apart, exact and free of pairs of large groups."""
 
-    ``component_id`` is the smallest ``doc_id`` whose fingerprint can be
-    reached over links.  ``keep`` holds for one row of each component, that
-    with the smallest ``doc_id`` (nulls come last).
-    """
-    base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-    marked = frozen(fingerprints(base, "text", shingle).withColumn("row_id", F.monotonically_increasing_id()))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(values), 4096):
+                keys, owner = _variants(values[at : at + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096].view(np.int64)[owner])], names=["variant", "fp"])
+
+    return _met(distinct.select(F.col(fp).alias("fp")).mapInArrow(emit, "variant bigint, fp bigint"), RADIUS, False)
+
+
+def wide_links(distinct: DataFrame, bands: int = BANDS, bits: int = WIDE_BITS) -> DataFrame:
+    """Spanning links ``(a, b)`` of fingerprints ``fp`` at most ``bits`` apart that meet in one of the bands in ``w0``, ``w1`` and so on."""
+    columns = [f"w{i}" for i in range(bands // 2)]
+    flips = np.concatenate((np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dtype=np.uint64)))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                for i in range(len(columns)):
+                    word = part.column(1 + i).to_numpy(zero_copy_only=False).view(np.uint64)
+                    for half in (0, 1):
+                        band = (word >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
+                        keys = (band[:, None] ^ flips[None, :]) | np.uint64((2 * i + half) << 32)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, 33))], names=["variant", "fp"])
+
+    return _met(distinct.select("fp", *columns).mapInArrow(emit, "variant bigint, fp bigint"), bits, True)
+
+
+def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """``marked`` (doc_id, key, row_id, fp) with the head of its component and whether it is that head."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     groups = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    parts = connected_components(fingerprint_links(groups))
+    parts = connected_components(links)
     whole = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
     whole = whole.select("fp", "first", F.coalesce("component", "fp").alias("part"))
     heads = whole.groupBy("part").agg(F.min("first").alias("head"))
@@ -230,7 +292,30 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return joined.select("doc_id", "key", "fp", F.col("head.doc_id").alias("component_id"), (F.col("row_id") == F.col("head.row_id")).alias("keep"))
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, more: int) -> DataFrame:
+    base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
+    return frozen(fingerprints(base, "text", shingle, more=more).withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per document: ``doc_id``, ``key``, ``fp`` (signed long), ``component_id``, ``keep``; links are fingerprints within three bits.
+
+    ``component_id`` is the smallest ``doc_id`` whose fingerprint can be
+    reached over links.  ``keep`` holds for one row of each component, that
+    with the smallest ``doc_id`` (nulls come last).
+    """
+    marked = _marked(docs, doc_id, text, shingle, 0)
+    return _components(marked, fingerprint_links(marked.select("fp").distinct()))
+
+
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bands: int = BANDS, bits: int = WIDE_BITS) -> DataFrame:
+    """As :func:`simhash_components`, with links between texts of a similarity of about 0.8 or more."""
+    marked = _marked(docs, doc_id, text, shingle, bands // 2)
+    distinct = marked.select("fp", *[f"w{i}" for i in range(bands // 2)]).distinct()
+    return _components(marked, wide_links(distinct, bands, bits))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with all its columns, one document of each near-duplicate component; repeated rows are one document."""
-    kept = simhash_components(docs, doc_id, text, shingle).where("keep").select(F.col("key").alias("__key"))
+    """``docs`` with all its columns, one document of each group of near duplicates; repeated rows are one document."""
+    kept = near_components(docs, doc_id, text, shingle).where("keep").select(F.col("key").alias("__key"))
     return docs.withColumn("__key", row_key(doc_id, text)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
