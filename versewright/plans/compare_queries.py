@@ -141,7 +141,7 @@ def version_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of one language against the first document of that language, line by line."""
     d = _docs(spark, sf).where(F.length("text") < 4000).select("lang", "doc_id", F.split("text", "\n", -1).alias("other"))
     chosen = d.groupBy("lang").agg(F.min_by("other", "doc_id").alias("chosen"))
-    return compare.version_decisions(d.join(F.broadcast(chosen), "lang").select("doc_id", "chosen", "other")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return compare.version_decisions(d.join(chosen, "lang").select("doc_id", "chosen", "other")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 def lcs_pairs(spark: SparkSession, sf: str) -> DataFrame:
