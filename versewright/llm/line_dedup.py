@@ -151,7 +151,8 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
     """
     lines = frozen(_lines(docs, depth))
     leaves = lines.groupBy("leaf").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("line").alias("a"), F.max("line").alias("b"))
-    recurring = leaves.where("lo <> hi").select("leaf", F.expr("a <> b").alias("several"))
+    # Aggregates are stored before they are joined back: then the join has an exchange on either side and a hot leaf can be split.
+    recurring = frozen(leaves.where("lo <> hi").select("leaf", F.expr("a <> b").alias("several")))
     held = frozen(lines.join(recurring, "leaf"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "line_no")
     known = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(place).alias("place"), F.first("n_tokens").alias("n_tokens"), F.first("several").alias("several"))
@@ -162,7 +163,7 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
     votes = tokens.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("votes"))
     tops = votes.groupBy("leaf", "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
     spot = F.struct("pos", F.when(F.col("top.votes") * 2 > F.col("all"), F.col("top.token")).alias("token"))
-    constants = tops.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(spot)), lambda s: s["token"]).alias("constants"))
+    constants = frozen(tops.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(spot)), lambda s: s["token"]).alias("constants")))
     same = F.aggregate(F.zip_with("tokens", "constants", lambda t, c: F.when(t == c, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     fits = tokens.join(constants, "leaf").where(same >= F.size("tokens") * F.lit(similar)).select("leaf", "line", F.lit(True).alias("general"))
     fitted = known.join(fits, ["leaf", "line"], "left").select("leaf", "line", "docs", "place", "n_tokens", F.coalesce("general", F.lit(False)).alias("general"))
@@ -172,7 +173,7 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
     joint = held.select("leaf", "line", "k1", "k2").join(general, ["leaf", "line"]).select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("joint"))
     templates = fitted.groupBy("leaf", "general", "own").agg(F.max("docs").alias("docs"), F.min("place").alias("first"), F.first("n_tokens").alias("n_tokens")).join(joint, "leaf", "left")
     needed = F.when(F.col("n_tokens") < SHORT, F.lit(max(min_docs, SHORT_DOCS))).otherwise(F.lit(min_docs))
-    boiler = templates.where(F.when(F.col("general"), F.greatest("docs", "joint")).otherwise(F.col("docs")) >= needed).select("leaf", "general", "own", "first")
+    boiler = frozen(templates.where(F.when(F.col("general"), F.greatest("docs", "joint")).otherwise(F.col("docs")) >= needed).select("leaf", "general", "own", "first"))
     return held, fitted.select("leaf", "line", "general", "own").join(boiler, ["leaf", "general", "own"]).select("leaf", "line", "first")
 
 
