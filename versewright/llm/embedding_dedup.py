@@ -207,7 +207,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     parts = connected_components(found.where("h <> root").select(node("h").alias("a"), node("root").alias("b")))
     known = distinct.select("label", "h", "copies", "first").join(counts, ["label", "h"], "left")
     known = known.withColumn("node", F.struct("label", "h")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    heads = known.groupBy("part").agg(F.min("first").alias("head"))
+    known = frozen(known.select("label", "h", "copies", "first", "others", "part"))
+    heads = frozen(known.groupBy("part").agg(F.min("first").alias("head")))  # stored: the join can be split at a hot component
     known = known.join(heads, "part").select("label", "h", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("head.id").alias("head"))
     linked = base.where("e is not null").select("vec_id", "label", "h").join(known, ["label", "h"]).select("vec_id", F.col("links").alias("n_links"), F.col("head").alias("component_id"))
     alone = base.where("e is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
