@@ -23,13 +23,13 @@ def _signature(edges: DataFrame) -> tuple[int, int]:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
-    least = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("least"))
+    least = frozen(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("least")))  # stored: the join can be split at a hub
     out = both.join(least, "node").where(F.col("near") > F.col("node"))
     return out.select(F.col("near").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("least"))
+    least = frozen(edges.groupBy("hi").agg(F.min("lo").alias("least")))
     moved = edges.join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).where("hi <> lo")
     own = least.select("hi", F.col("least").alias("lo"))
     return moved.union(own).distinct()
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = frozen(_small_star(_large_star(edges)))
+        edges = frozen(_small_star(frozen(_large_star(edges))))
         after = _signature(edges)
         if after == before:
             break
