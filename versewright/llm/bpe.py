@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8_values
+from .common import slices, small_batches, utf8_values
 
 #: Words kept in a worker's table before it starts afresh.
 KEPT_WORDS = 500_000
@@ -169,6 +169,7 @@ def load(path: str) -> ByteBpe:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian 32-bit) in place of the text, and the decoded text if ``decoded`` names a column."""
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in keep]
 

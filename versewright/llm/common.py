@@ -50,6 +50,14 @@ def frozen(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MiB for this session, unless it has its own setting: a worker holds a batch of texts and its copy at once."""
+    for name, usual, wanted in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, wanted)
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """A document's name by content: its id and a hash of its text.
 

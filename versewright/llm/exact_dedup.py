@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, frozen, row_key, utf8_values
+from .common import ASCII_SPACE, frozen, row_key, small_batches, utf8_values
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 8_191_009)
@@ -125,6 +125,7 @@ def _pieces(df: DataFrame, text: str) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
     marked = frozen(text_fingerprints(base).withColumn("row_id", F.monotonically_increasing_id()))
     groups = marked.groupBy("poly", "n_bytes").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8_values
+from .common import slices, small_batches, utf8_values
 
 CLASSES = 1 << 16
 TRAIN_PER_LANG = 3000
@@ -177,6 +177,7 @@ def infer(texts: list[str], shares: np.ndarray, penalty: float = PENALTY) -> np.
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the language of most of each text and its share; only ``text`` is an input of the prediction."""
     names, shares = model
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(shares)
     keep = [f for f in docs.schema.fields if f.name != text or keep_text]

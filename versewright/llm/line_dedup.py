@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, slices, utf8_values
+from .common import frozen, slices, small_batches, utf8_values
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -179,6 +179,7 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
 
 def drop_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, recurring template lines taken out of ``text``; ``__lines`` and ``__dropped`` count lines."""
+    small_batches(docs.sparkSession)
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes from here on
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own, words = at[doc_id], at[text]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, utf8_values
+from .common import slices, small_batches, utf8_values
 
 WINDOW = 2048
 END_ID = 1
@@ -269,6 +269,7 @@ class Packer:
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in their order: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and ``ids`` on demand."""
+    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

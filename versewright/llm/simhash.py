@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, row_key, utf8_values
+from .common import frozen, row_key, small_batches, utf8_values
 from .components import connected_components
 
 RADIUS = 3
@@ -293,6 +293,7 @@ def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, more: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
     return frozen(fingerprints(base, "text", shingle, more=more).withColumn("row_id", F.monotonically_increasing_id()))
 
