@@ -152,6 +152,13 @@ def test_exact_duplicates(spark):
     assert by[2][0]["text_sha256"] == hashlib.sha256(b"ab").hexdigest()
 
 
+def test_exact_duplicates_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 60 + [(2, "ab")] * 40 + [(3, "c")] * 2, "doc_id bigint, text string")
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == 102 and {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(1, 1, 100), (2, 1, 100), (3, 3, 2)}
+    assert [(r["doc_id"], r["kept"]) for r in got if r["kept"]] in ([(1, True), (3, True)], [(3, True), (1, True)])
+
+
 def test_fingerprints_compose():
     data = bytes(random.Random(1).randbytes(3 * exact_dedup.CHUNK + 77))
     whole = exact_dedup.combine(exact_dedup.chunk_hashes(data))

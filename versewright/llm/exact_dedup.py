@@ -129,10 +129,12 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
     marked = frozen(text_fingerprints(base).withColumn("row_id", F.monotonically_increasing_id()))
     groups = marked.groupBy("poly", "n_bytes").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    groups = groups.where("first_key <> last_key").drop("last_key")
+    groups = frozen(groups.where("first_key <> last_key").drop("last_key"))
     # Candidates with their texts; the first of each group is what the others are compared with.
-    members = marked.select("key", "poly", "n_bytes").join(groups, ["poly", "n_bytes"]).select("key", "poly", "n_bytes", "first_key")
-    pieces = _pieces(base.select("key", "text").join(members, "key"), "text").select("key", "poly", "n_bytes", "first_key", "chunk_no", "piece")
+    # Repeated rows share a key and are one candidate, or their copies would meet in the joins below.
+    members = marked.select("key", "poly", "n_bytes").distinct().join(groups, ["poly", "n_bytes"]).select("key", "poly", "n_bytes", "first_key")
+    texts = base.select("key", "text").join(members, "key").dropDuplicates(["key"])
+    pieces = _pieces(texts, "text").select("key", "poly", "n_bytes", "first_key", "chunk_no", "piece")
     model = pieces.where("key = first_key").select("poly", "n_bytes", "chunk_no", F.col("piece").alias("model"))
     compared = pieces.where("key <> first_key").join(model, ["poly", "n_bytes", "chunk_no"], "left")
     differs = compared.where(~F.col("piece").eqNullSafe(F.col("model"))).select("key").distinct().withColumn("differs", F.lit(True))
