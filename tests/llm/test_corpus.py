@@ -434,3 +434,25 @@ def test_queries_have_the_contract_columns(spark):
         columns = want.get(name.split("_")[0])
         if columns:
             assert set(columns.split()) <= set(query(spark, SF).columns), name
+
+
+def test_isolated_pairs_are_judged_by_their_shingles(spark):
+    rng = random.Random(11)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], []
+    for pair in range(160):
+        base = [f"w{rng.randrange(50000)}" for _ in range(300)]
+        other = list(base)
+        while len(shingles(base) & shingles(other)) / len(shingles(base) | shingles(other)) > (0.84 if pair < 80 else 0.81):
+            last, other = other, list(other)
+            other[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        if pair < 80:
+            other = last  # at or a little above 0.84
+        else:
+            while len(shingles(base) & shingles(other)) / len(shingles(base) | shingles(other)) >= 0.8:
+                other[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        near.append(len(shingles(base) & shingles(other)) / len(shingles(base) | shingles(other)) >= 0.8)
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert near == [True] * 80 + [False] * 80
+    assert left == {2 * p for p in range(160)} | {2 * p + 1 for p in range(80, 160)}

@@ -22,18 +22,19 @@ neighbour look-up, which is linear in the group and keeps the same
 components.
 
 Near duplicates of a wanted similarity (:func:`keep_one`): three of 64 bits
-mean a similarity of about 0.98, so the 64-bit fingerprint alone can't find
-texts that share 0.8 of their shingles; they differ in about ten of 64 bits.
-For these a text has ``BANDS`` more 32-bit fingerprints, bits of the same
-shingles under other hashes.  Each emits its ball of one flip, texts collide
-when some band differs in at most two bits, and a collision is verified by
-the 64-bit fingerprint, at most ``WIDE_BITS`` different.  Calculated for
-independent bits, a pair is found with probability 0.6 at a Jaccard
-similarity of 0.8, 0.8 at 0.85, 0.95 at 0.9 and 0.04 at 0.6; in larger
-groups a text need be found by one other only.  More bands find more.
-
-Defined results: a null or empty text has fingerprint zero and links like
-any other; a null ``doc_id`` never becomes a component id unless its
+mean a similarity of about 0.98, and at 0.8 about ten of 64 bits differ, too
+many for a ball.  A text is its set of shingles here.  Candidates have all
+``ROWS`` minima in common in one of ``BANDS`` bands (MinHash); a pair at
+``SIMILAR`` is missed with probability (1 - 0.8**6)**32 = 6e-5, whatever other
+texts there are.  Every link is verified: the sets themselves must have a
+Jaccard similarity of ``SIMILAR`` or more.  First each text is compared with
+the least text of each of its bands; then all pairs of one band that are in
+different components, so a link that the first step did not need to see is
+never lost.  Such pairs are few unless many texts that are not near
+duplicates share a band.
+
+Defined results: a null or empty text has fingerprint zero (the empty set)
+and links like any other; a null ``doc_id`` never becomes a component id unless its
 component holds nothing else; repeated rows come out as often as they went
 in; an empty table gives an empty result.
 """
@@ -50,6 +51,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen, row_key, small_batches, utf8_values
 from .components import connected_components
+from .line_dedup import _packed, _unpacked
 
 RADIUS = 3
 SEED = 42
@@ -57,58 +59,77 @@ SEED = 42
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Rows of one variant up to which every pair in memory is compared.
 DIRECT = 48
-#: 32-bit fingerprints of a text for near duplicates, and bits of the 64 in which these may differ.
-BANDS, WIDE_BITS = 8, 13
+#: Jaccard similarity of near duplicates; MinHash bands of a text, and minima of a band.
+SIMILAR, BANDS, ROWS = 0.8, 32, 6
+#: Odd factors and summands of the MinHash orders.
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
-def _mixed(hashes: np.ndarray, turns: int) -> np.ndarray:
-    """Each hash and ``turns`` further hashes of it (a 64-bit finaliser), shape (n, 1 + turns)."""
-    out = np.empty((len(hashes), 1 + turns), np.uint64)
-    out[:, 0] = hashes
-    for k in range(turns):
-        x = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k + 1] = x ^ (x >> np.uint64(31))
-    return out
-
-
-def text_fingerprint(text: bytes | None, shingle: int = 3, more: int = 0) -> list[int]:
-    """The 64-bit fingerprint of one text given in UTF-8, and ``more`` of further hashes."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of one text given in UTF-8, repeats too."""
     words = (text or b"").lower().split()
     if not words:
-        return [0] * (1 + more)
+        return np.empty(0, np.uint64)
     digest, n = xxhash.xxh64_digest, max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    ones = np.zeros(64 * (1 + more), np.int64)
-    for at in range(0, n, 4096):
-        raw = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + 4096], stops[at : at + 4096])])
-        values = np.frombuffer(raw, ">u8").astype(np.uint64)
-        bits = _mixed(values, more) if more else values.reshape(-1, 1)
-        ones += np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1).sum(axis=0, dtype=np.int32)
-    packed = np.packbits(ones * 2 > n).tobytes()
-    return [int.from_bytes(packed[i : i + 8], "big") for i in range(0, len(packed), 8)]
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp", more: int = 0) -> DataFrame:
-    """``docs`` with the signed 64-bit SimHash of ``text`` as ``out`` in place of the text, and ``more`` of further hashes as ``w0``, ``w1`` and so on."""
-    made = [out, *[f"w{i}" for i in range(more)]]
-    keep = [f for f in docs.schema.fields if f.name != text and f.name not in made]
+    return np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(starts, stops)]), ">u8").astype(np.uint64)
+
+
+def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text given in UTF-8."""
+    values = _hashes(text, shingle)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), 4096):
+        part = values[at : at + 4096]
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(values)).tobytes(), "big")
+
+
+def text_sketch(text: bytes | None, shingle: int = 5) -> tuple[int, int, list[int]]:
+    """A hash of one text's set of shingles, the size of the set, and its band keys; zero and no keys if it is empty."""
+    values = np.unique(_hashes(text, shingle))
+    if not len(values):
+        return 0, 0, []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 1024):
+        np.minimum(least, (values[at : at + 1024, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+    return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63), len(values), keys
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
+    """``docs`` with the signed 64-bit SimHash of ``text`` as ``out`` in place of the text."""
+    keep = [f for f in docs.schema.fields if f.name not in (text, out)]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_fingerprint(t, shingle, more) for t in utf8_values(batch.column(text))]
-            values = np.array(found, np.uint64).reshape(-1, 1 + more).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values[:, i]) for i in range(1 + more)], names=[*names, *made])
+            values = np.array([text_fingerprint(t, shingle) for t in utf8_values(batch.column(text))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values)], names=[*names, out])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + ", ".join(f"`{m}` bigint" for m in made)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + f"`{out}` bigint"
     return docs.select(*[f"`{n}`" for n in names], text).mapInArrow(run, schema)
 
 
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` with ``fp`` (a hash of the set of shingles), ``size`` and ``bands`` of :func:`text_sketch` in place of ``text``."""
+    keep = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, size, bands = zip(*[text_sketch(t, shingle) for t in utf8_values(batch.column("text"))]) if batch.num_rows else ((), (), ())
+            new = [pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + new, names=[*names, "fp", "size", "bands"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + "fp bigint, size int, bands array<bigint>"
+    return docs.select(*[f"`{n}`" for n in names], "text").mapInArrow(run, schema)
+
+
 def _variants(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all variants, and for each the index of its fingerprint."""
     keys = []
@@ -193,7 +214,7 @@ def _flood(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
 
 
-def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of verified pairs among rows that are sorted by key."""
     n = len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -214,7 +235,7 @@ def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, wide: boo
         right.append(rows[close] + gap)
     for at, size in zip(starts[sizes > DIRECT], sizes[sizes > DIRECT]):
         own = values[at : at + size]
-        i, j = _flood(own, radius) if wide else _large_group(own, int(keys[at : at + 1].view(np.uint64)[0]))
+        i, j = _large_group(own, int(keys[at : at + 1].view(np.uint64)[0]))
         left.append(i + at)
         right.append(j + at)
     i, j = np.concatenate(left), np.concatenate(right)
@@ -225,7 +246,7 @@ def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, wide: boo
     return pairs[:, 0], pairs[:, 1]
 
 
-def _met(rows: DataFrame, radius: int, wide: bool) -> DataFrame:
+def _met(rows: DataFrame, radius: int) -> DataFrame:
     """Spanning links ``(a, b)`` of the fingerprints that share a variant and are within ``radius``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +260,9 @@ def _met(rows: DataFrame, radius: int, wide: bool) -> DataFrame:
             cut = int(np.searchsorted(keys, keys[-1]))  # the last variant may go on in the next batch
             held_keys, held = keys[cut:], values[cut:]
             if cut:
-                yield out(_links(keys[:cut], values[:cut], radius, wide))
+                yield out(_links(keys[:cut], values[:cut], radius))
         if len(held):
-            yield out(_links(held_keys, held, radius, wide))
+            yield out(_links(held_keys, held, radius))
 
     return rows.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -256,27 +277,90 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
                 keys, owner = _variants(values[at : at + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096].view(np.int64)[owner])], names=["variant", "fp"])
 
-    return _met(distinct.select(F.col(fp).alias("fp")).mapInArrow(emit, "variant bigint, fp bigint"), RADIUS, False)
+    return _met(distinct.select(F.col(fp).alias("fp")).mapInArrow(emit, "variant bigint, fp bigint"), RADIUS)
 
 
-def wide_links(distinct: DataFrame, bands: int = BANDS, bits: int = WIDE_BITS) -> DataFrame:
-    """Spanning links ``(a, b)`` of fingerprints ``fp`` at most ``bits`` apart that meet in one of the bands in ``w0``, ``w1`` and so on."""
-    columns = [f"w{i}" for i in range(bands // 2)]
-    flips = np.concatenate((np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dtype=np.uint64)))
+def _pairs(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of rows (sorted by key) with one key, different parts and sizes that allow ``SIMILAR``."""
+    rows = np.arange(len(keys))
+    gap = 0
+    while len(rows):
+        gap += 1
+        rows = rows[rows + gap < len(keys)]
+        rows = rows[keys[rows] == keys[rows + gap]]
+        i, j = rows, rows + gap
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        hit = (parts[i] != parts[j]) & (small >= SIMILAR * large - 1e-9)
+        if hit.any():
+            yield np.stack((np.minimum(values[i[hit]], values[j[hit]]), np.maximum(values[i[hit]], values[j[hit]])))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of the texts of one band in ``rows`` (band, fp, size, part) that are in different parts."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        out = lambda columns: (pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"]) for p in _pairs(*columns))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                for i in range(len(columns)):
-                    word = part.column(1 + i).to_numpy(zero_copy_only=False).view(np.uint64)
-                    for half in (0, 1):
-                        band = (word >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                        keys = (band[:, None] ^ flips[None, :]) | np.uint64((2 * i + half) << 32)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(own, 33))], names=["variant", "fp"])
+            held = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last band may go on in the next batch
+                yield from out([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        yield from out(held)
 
-    return _met(distinct.select("fp", *columns).mapInArrow(emit, "variant bigint, fp bigint"), bits, True)
+    rows = rows.select("band", "fp", F.col("size").cast("bigint"), "part")
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(fp, hashes)``: the sorted set of shingles, 8 bytes each, of the texts with a ``key`` in ``wanted`` (key, fp)."""
+    found = _packed(docs.select("key", "text")).join(wanted, "key").select("text", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(_hashes(t, shingle)).tobytes() for t in _unpacked(part)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+
+    return found.mapInArrow(run, "fp bigint, hashes binary").dropDuplicates(["fp"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of ``SIMILAR`` or more."""
+    left = frozen(pairs).join(sets.toDF("a", "x"), "a")
+    both = left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= SIMILAR * (len(x) + len(y) - common) - 1e-9)
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+    """Verified links ``(a, b)`` of the sets ``fp`` in ``marked`` (key, fp, size, bands); every pair of one band is linked by one of them or a chain of them, or not similar."""
+    distinct = marked.where("size > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    rows = frozen(distinct.select("fp", "key", "size", F.explode("bands").alias("band")))
+    heads = rows.groupBy("band").agg(F.min(F.struct("fp", "size")).alias("head"), F.max("fp").alias("last"))
+    heads = frozen(heads.where("head.fp <> last").select("band", "head"))  # stored: the join can be split at a hot band
+    met = frozen(rows.join(heads, "band").select("band", "fp", "key", "size", "head"))
+    sets = frozen(_shingle_sets(docs, frozen(met.groupBy("fp").agg(F.first("key").alias("key"))), shingle))
+    fits = F.least("size", "head.size") >= F.greatest("size", "head.size") * F.lit(SIMILAR) - F.lit(1e-9)
+    stars = met.where((F.col("fp") != F.col("head.fp")) & fits).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    links = frozen(_verified(stars, sets))
+    parts = connected_components(links)
+    known = frozen(met.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "size", F.coalesce("component", "fp").alias("part"), F.col("head.fp").alias("head")))
+    split = frozen(known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"))
+    more = _verified(_apart(known.join(split, "band")).join(stars, ["a", "b"], "left_anti"), sets)
+    return links.union(more)
 
 
 def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,10 +376,9 @@ def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select("doc_id", "key", "fp", F.col("head.doc_id").alias("component_id"), (F.col("row_id") == F.col("head.row_id")).alias("keep"))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, more: int) -> DataFrame:
+def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
-    return frozen(fingerprints(base, "text", shingle, more=more).withColumn("row_id", F.monotonically_increasing_id()))
+    return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -305,15 +388,15 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     reached over links.  ``keep`` holds for one row of each component, that
     with the smallest ``doc_id`` (nulls come last).
     """
-    marked = _marked(docs, doc_id, text, shingle, 0)
+    marked = frozen(fingerprints(_base(docs, doc_id, text), "text", shingle).withColumn("row_id", F.monotonically_increasing_id()))
     return _components(marked, fingerprint_links(marked.select("fp").distinct()))
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bands: int = BANDS, bits: int = WIDE_BITS) -> DataFrame:
-    """As :func:`simhash_components`, with links between texts of a similarity of about 0.8 or more."""
-    marked = _marked(docs, doc_id, text, shingle, bands // 2)
-    distinct = marked.select("fp", *[f"w{i}" for i in range(bands // 2)]).distinct()
-    return _components(marked, wide_links(distinct, bands, bits))
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """As :func:`simhash_components`, with links between texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; ``fp`` names the set."""
+    base = _base(docs, doc_id, text)
+    marked = frozen(sketches(base, shingle).withColumn("row_id", F.monotonically_increasing_id()))
+    return _components(marked.drop("size", "bands"), similar_links(base, marked, shingle))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
