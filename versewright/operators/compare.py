@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,8 +48,28 @@ def line_break_variant(lines: DataFrame, option: Column, order: str = "line_no",
     return lines.withColumn("break_only", F.coalesce(joined, F.lit(False)) | F.coalesce(short, F.lit(False)))
 
 
-def _ratio(a: list[str], b: list[str]) -> float:
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+#: Ratio from which a line is a variant of another.
+ALIKE = 0.6
+
+
+def _most_alike(a: list[list[str]], b: list[str]) -> int | None:
+    """The first of the lines of ``a`` with the highest ratio to ``b`` of ``ALIKE`` or more; upper bounds of the ratio spare long lines the comparison, without a change of the result."""
+    best, place = 0.0, None
+    matcher = difflib.SequenceMatcher(None, autojunk=False)
+    for i, line in enumerate(a):
+        if 2 * min(len(line), len(b)) < ALIKE * (len(line) + len(b)):
+            continue
+        if not line and not b:
+            ratio = 1.0
+        else:
+            common = (Counter(line) & Counter(b)).total()
+            if (bound := 2 * common / (len(line) + len(b))) < ALIKE or bound <= best:
+                continue
+            matcher.set_seqs(line, b)
+            ratio = matcher.ratio()
+        if ratio >= ALIKE and ratio > best:
+            best, place = ratio, i
+    return place
 
 
 def version_decisions(pairs: DataFrame, chosen: str = "chosen", other: str = "other") -> DataFrame:
@@ -71,9 +92,9 @@ def version_decisions(pairs: DataFrame, chosen: str = "chosen", other: str = "ot
                 blocks = difflib.SequenceMatcher(None, [" ".join(x) for x in ka], [" ".join(x) for x in kb], autojunk=False).get_opcodes()
                 for tag, i, j, k, m in blocks:
                     for y in range(k, m) if tag in ("replace", "insert") else ():
-                        best = max(range(i, j), key=lambda x: (_ratio(ka[x], kb[y]), -x), default=None)
-                        if best is not None and _ratio(ka[best], kb[y]) >= 0.6:
-                            out.append({**{c: row[c] for c in keys}, "kind": "variant", "line_no": best, "text": b[y]})
+                        best = _most_alike(ka[i:j], kb[y])
+                        if best is not None:
+                            out.append({**{c: row[c] for c in keys}, "kind": "variant", "line_no": i + best, "text": b[y]})
                         else:
                             out.append({**{c: row[c] for c in keys}, "kind": "insertion", "line_no": i - 1, "text": b[y]})
             yield pd.DataFrame(out, columns=[*keys, "kind", "line_no", "text"])

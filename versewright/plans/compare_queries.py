@@ -139,18 +139,17 @@ def three_way_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def version_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of one language against the first document of that language, line by line."""
-    d = _docs(spark, sf).where(F.length("text") < 4000).select("lang", "doc_id", F.split("text", "\n", -1).alias("other"))
+    d = _docs(spark, sf).select("lang", "doc_id", F.split("text", "\n", -1).alias("other"))
     chosen = d.groupBy("lang").agg(F.min_by("other", "doc_id").alias("chosen"))
     return compare.version_decisions(d.join(chosen, "lang").select("doc_id", "chosen", "other")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 def lcs_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Common subsequence of each song's first and second line of kinds."""
-    w = in_lines(events_as_words(spark, sf)).where("line_no < 2")
+    """Common subsequence of the kinds of each line of a song (``line_no``) and the next one."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("word_no", "kind"))), lambda p: p["kind"])
-    l = w.groupBy("song", "line_no").agg(ordered.alias("kinds"))
-    a, b = l.where("line_no = 0").select("song", F.col("kinds").alias("a")), l.where("line_no = 1").select("song", F.col("kinds").alias("b"))
-    return compare.lcs_pairs(a.join(b, "song"))
+    l = in_lines(events_as_words(spark, sf)).groupBy("song", "line_no").agg(ordered.alias("a"))
+    following = F.lead("a").over(Window.partitionBy("song").orderBy("line_no"))
+    return compare.lcs_pairs(l.withColumn("b", following).where("b is not null"))
 
 
 QUERIES = [
