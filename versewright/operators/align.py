@@ -132,36 +132,59 @@ def borrow_rhythm(words: DataFrame, pattern: DataFrame, keys: tuple[str, ...], p
     return out.select(*words.columns, "borrowed")
 
 
-def repeating_sections(lines: DataFrame, key: str, song: str = "song", order: str = "line_no", longest: int = 16) -> DataFrame:
+def _claimed_sections(codes: np.ndarray, free: np.ndarray) -> list[tuple[list[int], int]]:
+    """``(starts, length)`` of the repeated blocks: from the first line on, each free start takes the length with most covered lines (the longer of two) and claims them.
+
+    ``codes`` are equal for equal lines; ``free`` says which may be in a block, and is changed.  The
+    places that match the start are kept as the block grows, so only lines
+    that match are looked at again.
+    """
+    n, found, i = len(codes), [], 0
+    while i < n:
+        best: tuple[int, list[int], int] | None = None
+        places = np.arange(i + 1, n)
+        for size in range(1, (n - i) // 2 + 1):
+            at = i + size - 1
+            places = places[places + size <= n]
+            places = places[(codes[places + size - 1] == codes[at]) & free[places + size - 1]] if free[at] else places[:0]
+            later = int(np.searchsorted(places, i + size))
+            if later == len(places):
+                break  # a longer block has no repeat either
+            if size < 2:
+                continue
+            starts = [i]
+            while later < len(places):
+                starts.append(int(places[later]))
+                later = int(np.searchsorted(places, starts[-1] + size))
+            if best is None or len(starts) * size >= best[0]:
+                best = (len(starts) * size, starts, size)
+        if best is None:
+            i += 1
+            continue
+        for start in best[1]:
+            free[start : start + best[2]] = False
+        found.append(best[1:])
+        i += best[2]
+    return found
+
+
+def repeating_sections(lines: DataFrame, key: str, song: str = "song", order: str = "line_no") -> DataFrame:
     """Repeated blocks of two lines or more: ``section``, ``line_no``, ``instance``, ``template_line``.
 
-    Greedy over one song's lines: the block with most covered lines wins
-    (longer first), claims its lines, and the search goes on.
+    Greedy over all of one song's lines, as the reference: from the first
+    line on, a free line takes the block that starts there and covers most
+    lines (the longer of two), which claims its lines; its length is bounded
+    by the song's end only.  A null or blank line is in no block.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        keys, numbers = rows[key].tolist(), rows[order].tolist()
-        free, out, section = [True] * len(keys), [], 0
-        while True:
-            best = None
-            for size in range(min(longest, len(keys) // 2), 1, -1):
-                seen: dict[tuple, list[int]] = {}
-                for i in range(len(keys) - size + 1):
-                    if all(free[i : i + size]):
-                        starts = seen.setdefault(tuple(keys[i : i + size]), [])
-                        if not starts or i >= starts[-1] + size:
-                            starts.append(i)
-                for starts in seen.values():
-                    if len(starts) > 1 and (best is None or len(starts) * size > best[0]):
-                        best = (len(starts) * size, starts, size)
-            if best is None:
-                break
-            for instance, start in enumerate(best[1]):
-                for k in range(best[2]):
-                    free[start + k] = False
+        numbers, out = rows[order].tolist(), []
+        free = np.array([k is not None and k == k and str(k).strip() != "" for k in rows[key]], bool)
+        for section, (starts, size) in enumerate(_claimed_sections(pd.factorize(rows[key])[0], free)):
+            for instance, start in enumerate(starts):
+                for k in range(size):
                     out.append((rows[song].iloc[0], section, numbers[start + k], instance, k))
-            section += 1
         return pd.DataFrame(out, columns=[song, "section", order, "instance", "template_line"])
 
     kind, no = lines.schema[song].dataType.simpleString(), lines.schema[order].dataType.simpleString()

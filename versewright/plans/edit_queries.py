@@ -28,7 +28,7 @@ def borrow_rhythm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repeating_sections(spark: SparkSession, sf: str) -> DataFrame:
-    w = in_lines(events_as_words(spark, sf), 1).where("line_no < 60").select("song", "line_no", "kind")
+    w = in_lines(events_as_words(spark, sf), 1).select("song", "line_no", "kind")
     return align.repeating_sections(w, "kind").groupBy("song").agg(F.count_distinct("section").alias("sections"), F.count("*").alias("lines"))
 
 
