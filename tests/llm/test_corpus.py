@@ -314,11 +314,15 @@ def test_cuts_are_best():
 
 def test_word_ids_match_the_library():
     words = packing.load(public_tokenizers.path("word_bpe_49k.json"))
+    small = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), kept=50)  # forgets all the time
     rng = random.Random(3)
-    parts = ["a", "The", " ", "  ", "\n", "É", "'s", "12", "!!", ".", ",", "x,", "y.", "_.", "<|endoftext|>", "Σ", "漢", "😀", "\x1c", "́", "\t", "x'll", " ", "\x85", "İ", ""]
+    parts = ["a", "The", "word.", "word,", "İ.", "½.", " ", "  ", "\n", "É", "'s", "12", "!!", ".", ",", "x,", "y.", "_.", "<|endoftext|>", "Σ", "漢", "😀", "\x1c", "́", "\t", "x'll", " ", "\x85", "İ", ""]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == words.whole.encode(text, add_special_tokens=False).ids, repr(text)
+        ids = words.whole.encode(text, add_special_tokens=False).ids
+        assert words.encode([text])[0].tolist() == ids and small.encode(["zz", text])[1].tolist() == ids, repr(text)
+    long = "Some words, again and again. " * 400_000  # cut into segments
+    assert words.encode([long, "x"])[0].tolist() == words.encode(["Some words, again and again. "])[0].tolist() * 400_000
 
 
 def test_bpe_matches_the_library(spark):

@@ -15,8 +15,9 @@ rows are shuffled.  A partition's last tokens are laid in windows of sizes
 that are powers of two, which need no padding.
 
 Word ids come from a file of the ``tokenizers`` library (its path is a
-parameter).  Words are encoded once per worker and kept in a bounded table;
-texts with special tokens or control separators are encoded whole.
+parameter).  Words are made distinct in each batch, encoded once per worker and
+kept in a table of at most ``KEPT_WORDS``; texts with special tokens or control
+separators are encoded whole.
 
 Defined results: a null or empty text is a document of its end id alone;
 repeated rows are packed as often as they occur; a null ``doc_id`` is passed
@@ -33,12 +34,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, small_batches, utf8_values
+from .common import slices, utf8_values
 
 WINDOW = 2048
 END_ID = 1
@@ -48,21 +50,35 @@ SENTENCE_CUT, INNER_CUT = 4, 48
 STRIDE = 64
 #: Tokens whose cuts are settled at a time.
 BLOCK = 1 << 19
-#: Words, and cores of words, that a worker keeps: this many new ones, and those before them that are used again.
-KEPT_WORDS = 150_000
-BATCH_BYTES = 2 << 20
+#: Words that a worker keeps; beyond that it forgets those that it has not met for longest.
+KEPT_WORDS = 600_000
+BATCH_BYTES = 4 << 20
 #: A private-use letter that keeps new words apart; texts that hold it are encoded whole.
 MARK = "\ue000"
 _ODD = re.compile("[\x1c-\x1f\x85\ue000]")
 
 
+def _segments(text: str, size: int) -> Iterator[str]:
+    """``text`` in pieces of about ``size`` characters, cut before spaces."""
+    at = 0
+    while len(text) - at > size and (cut := text.find(" ", at + size)) >= 0:
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 class WordIds:
-    """Ids of whole texts, word by word."""
+    """Ids of whole texts, word by word.
+
+    A batch's words are made distinct first; ids of known words lie one
+    after another in ``flat``, at ``start`` and of ``size``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.kept = kept
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         vocab = self.whole.get_vocab()
         self.ends_sentence = np.zeros(max(vocab.values()) + 2, bool)
@@ -70,101 +86,139 @@ class WordIds:
         self.mark = self._ids(MARK)
         self.ends_word = np.zeros(len(self.ends_sentence), bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.tails = {c: self._ids(c).tobytes() for c in ".,"}
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
+        self.tails = {c: self._ids(c) for c in ".,"}
+        self.place: dict[str, int] = {}
+        self.flat = np.empty(0, np.uint32)
+        self.start, self.size, self.met = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.turn = 0
+        self._add([""], np.empty(0, np.uint32), np.zeros(1, np.int64))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, missing: list[str]) -> None:
-        """Encode new words.
+        """Add new words, those without a closing point or comma first.
 
-        A closing point or comma after a letter or digit is a word of its
-        own, and case is dropped letter by letter, so most new words share a
-        known core.  A core of letters only has one token that ends a word,
-        its last.
+        A point or comma behind a letter or digit is a word of its own.  One
+        lower-case form ends in a mark instead, but texts with it are not
+        lower-cased here.
         """
-        cores, put = self.cores, []
-        new: set[str] = set()
-        for word in missing:
-            tail = b""
-            core = word
-            if word[-1] in ".,":
-                core = word[:-1]
-                last = core[-1:]
-                if not last.isascii():  # some letters fall apart into a letter and a mark
-                    last = unicodedata.normalize("NFC", last).lower()[-1]
-                if last.isalnum():
-                    tail = self.tails[word[-1]]
-                else:
-                    core = word
-            if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:
-                core = core.lower()
-            put.append((word, core, tail))
-            if core not in cores:
-                kept = self.old_cores.get(core)
-                if kept is None:
-                    new.add(core)
-                else:
-                    cores[core] = kept
-        plain = [c for c in new if c.isalpha()]
-        odd = [c for c in new if not c.isalpha()]
+        closed = [w for w in missing if w[-1] in ".," and w[-2:-1].isalnum() and w[-2] != "\u0130"]
+        self._add_words(list({w[:-1] for w in closed}.union(missing).difference(closed, self.place)))
+        if closed:
+            core = np.fromiter((self.place[w[:-1]] for w in closed), np.int64, len(closed))
+            tail = np.concatenate([self.tails[w[-1]] for w in closed])
+            size = self.size[core].astype(np.int64)
+            self._add(closed, np.insert(self._gather(self.start[core], size), np.cumsum(size), tail), size + 1)
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size.astype(np.int32)))
+        self.met = np.concatenate((self.met, np.full(len(words), self.turn, np.int32)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _add_words(self, missing: list[str]) -> None:
+        """Encode words, thousands at a time.
+
+        A word of letters only has one token that ends a word, its last;
+        other words are kept apart by a mark.
+        """
+        plain = [w for w in missing if w.isalpha()]
+        odd = [w for w in missing if not w.isalpha()]
+        words, ids, sizes = [], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for at in range(0, len(plain), 2000):
             run = plain[at : at + 2000]
-            ids = np.array(self.whole.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            own = np.array(self.whole.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends_word[own]) + 1
             if len(stops) == len(run):
-                raw = ids.tobytes()
-                cores.update(zip(run, [raw[4 * i : 4 * j] for i, j in zip([0, *stops], stops)]))
+                words += run
+                ids.append(own)
+                sizes.append(np.diff(stops, prepend=0))
             else:  # a letter that the library's tables class otherwise
                 odd += run
+        k = len(self.mark)
         for at in range(0, len(odd), 2000):
             run = odd[at : at + 2000]
-            ids = np.array(self.whole.encode_batch_fast([f" {MARK} ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
-            k = len(self.mark)
-            found = np.ones(max(0, len(ids) - k + 1), bool)
+            own = np.array(self.whole.encode_batch_fast([f" {MARK} ".join(run)], add_special_tokens=False)[0].ids, np.uint32)
+            found = np.ones(max(0, len(own) - k + 1), bool)
             for i, x in enumerate(self.mark):
-                found &= ids[i : len(ids) - k + 1 + i] == x
-            stops = np.flatnonzero(found)
-            starts = np.concatenate(([0], stops + k)).tolist()
-            raw = ids.tobytes()
-            cores.update(zip(run, [raw[4 * i : 4 * j] for i, j in zip(starts, [*stops.tolist(), len(ids)], strict=True)]))
-        self.words.update((word, cores[core] + tail) for word, core, tail in put)
-        if len(cores) > KEPT_WORDS:
-            self.old_cores, self.cores = cores, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        words, flat, counts = self.words, [], []
+                found &= own[i : len(own) - k + 1 + i] == x
+            marks = np.flatnonzero(found)
+            if len(marks) != len(run) - 1:
+                raise ValueError("a word holds the mark that keeps words apart")
+            words += run
+            ids.append(np.delete(own, (marks[:, None] + np.arange(k)).ravel()))
+            sizes.append(np.diff(np.concatenate(([-k], marks, [len(own)]))) - k)
+        self._add(words, np.concatenate(ids), np.concatenate(sizes))
+
+    def _forget(self) -> None:
+        """Keep the half of the table that was met last."""
+        stay = np.zeros(len(self.size), bool)
+        stay[np.argsort(self.met, kind="stable")[len(self.met) - self.kept // 2 :]] = True
+        stay[0] = True  # the empty word
+        moved = np.cumsum(stay) - 1
+        keep = stay.tolist()
+        self.place = {w: int(moved[i]) for w, i in self.place.items() if keep[i]}
+        self.flat = self.flat[np.repeat(stay, self.size)]
+        self.size, self.met = self.size[stay], self.met[stay]
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def _of_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each of these texts without odd characters."""
+        self.turn += 1
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [w for w in names if w not in self.place]
+        if missing:
+            self._learn(missing)
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        self.met[at] = self.turn
+        which = coded.indices.to_numpy()
+        sizes = self.size[at][which].astype(np.int64)
+        ids = self._gather(self.start[at][which], sizes)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[cut.offsets.to_numpy()].tolist()
+        if len(self.size) > self.kept:
+            self._forget()
+        return (ids[i:j] for i, j in zip(ends, ends[1:]))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        out: list = []
+        parts: list[str] = []
+        places: list[int] = []
+        held = 0
+
+        def settle() -> None:
+            for i, ids in zip(places, self._of_texts(parts)):
+                out[i].append(ids)
+            parts.clear()
+            places.clear()
+
         for text in texts:
+            out.append([])
             if _ODD.search(text) or any(s in text for s in self.special):
-                counts.append(-1)
-            else:
-                parts = text.split()
-                counts.append(len(parts))
-                flat += parts
-        got = list(map(words.get, flat))
-        gaps = [i for i, x in enumerate(got) if x is None]
-        if gaps:
-            lacking = {flat[i] for i in gaps}
-            again = {w: kept for w in lacking if (kept := self.old_words.get(w)) is not None}
-            words.update(again)
-            self._learn(list(lacking.difference(again)))
-            for i in gaps:
-                got[i] = words[flat[i]]
-        out, at = [], 0
-        for text, n in zip(texts, counts):
-            if n < 0:
-                out.append(self._ids(text).tobytes())
-            else:
-                out.append(b"".join(got[at : at + n]))
-                at += n
-        if len(words) > KEPT_WORDS:
-            self.old_words, self.words = words, {}
-        return out
+                out[-1].append(self._ids(text))
+                continue
+            # Case is dropped letter by letter, but for two letters whose lower case Python chooses otherwise.
+            lower = "\u03a3" not in text and "\u0130" not in text
+            for part in _segments(text, BATCH_BYTES):
+                if not part.isascii():
+                    part = unicodedata.normalize("NFC", part)
+                parts.append((part.lower() if lower else part).replace("\n", " "))
+                places.append(len(out) - 1)
+                held += len(part)
+                if held >= BATCH_BYTES:
+                    settle()
+                    held = 0
+        if parts:
+            settle()
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.uint32) for x in out]
 
 
 @lru_cache(maxsize=4)
@@ -269,14 +323,13 @@ class Packer:
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in their order: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and ``ids`` on demand."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
         packer = Packer(words.ends_sentence, window)
         first = TaskContext.get().partitionId() << 40
-        end = np.uint32(END_ID).tobytes()
+        end = np.array([END_ID], np.uint32)
         kind = None
         rows: list[tuple] = []
 
@@ -292,7 +345,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             kind = batch.column(0).type
             texts = [(t or b"").decode("utf-8", "replace") for t in utf8_values(batch.column(1))]
             for doc, coded in zip(batch.column(0).to_pylist(), words.encode(texts)):
-                note(packer.add(doc, np.frombuffer(coded + end, np.uint32)))
+                note(packer.add(doc, np.concatenate((coded, end))))
             if rows:
                 yield out()
                 rows.clear()
