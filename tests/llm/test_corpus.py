@@ -138,6 +138,25 @@ def test_keep_one_keeps_columns(spark):
     assert (False, 2) in ids and (False, 3) not in ids and (False, 6) not in ids
 
 
+def test_exact_duplicates_of_long_texts(spark):
+    base = "Ünï word " * 6000
+    rows = [(1, base), (2, base + " "), (3, base[:-3] + "X" + base[-2:]), (4, base.replace(" ", "\t")), (5, "x"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(exact_dedup.exact_duplicates(docs).collect(), key=lambda r: r["doc_id"])
+    spread = sorted(exact_dedup.exact_duplicates(docs, spread=1000).collect(), key=lambda r: r["doc_id"])
+    assert whole == spread and [r["keep_id"] for r in whole] == [2, 2, 3, 2, 5, 6]
+    keyed = docs.withColumn("key", F.col("doc_id").cast("string"))
+    short = {r["key"]: r["poly"] for r in exact_dedup.text_fingerprints(keyed).collect()}
+    long = {r["key"]: r["poly"] for r in exact_dedup.spread_fingerprints(keyed, 1000).collect()}
+    assert len(long) == 4 and all(short[k] == v for k, v in long.items())
+
+
+def test_one_very_long_text(spark):
+    long = spark.createDataFrame([(1,), (2,)], "doc_id bigint").select("doc_id", F.expr("concat(repeat('a long text, word by word. ', 1900000), if(doc_id = 1, '', ' '))").alias("text"))
+    rows = exact_dedup.exact_duplicates(long).collect()
+    assert [r["keep_id"] for r in rows] == [2, 2] and rows[0]["group_size"] == 2
+
+
 def test_exact_duplicates(spark):
     chunked = "z" * (exact_dedup.COMPARED + 5)
     rows = [(1, "a b"), (2, "ab"), (3, "a\tb "), (4, None), (5, ""), (None, "ab  "), (7, chunked), (8, chunked + " "), (9, chunked[:-1] + "y"), (3, "a\tb ")]
@@ -186,7 +205,7 @@ def test_collisions_form_their_own_class(spark, monkeypatch):
 
 
 def brute_rule(host, path, rules):
-    fit = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fit = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if h and host and (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[2:] if fit else ("allow", None)
 
 
@@ -196,6 +215,9 @@ def test_url_rules(spark):
     paths = ["", "/", "/en/", "/en/x", "/EN/", "/fr/a", "/fr"]
     rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:7] for p in ("/", "/en/", "", "/fr/") if rng.random() < 0.6]
     urls = [None, "nothing", "http://"] + [f"http{rng.choice(['', 's'])}://{h.upper() if rng.random() < 0.3 else h}{p}{rng.choice(['', '?a=/en/', '#://x/'])}" for h in hosts for p in paths for _ in range(3)]
+    rules += [("deep.org", "/" + "a/" * k, rng.choice(["allow", "block"])) for k in range(30)] + [("org", "/a\x01", "block"), ("n\x01et", "/", "block"), (None, "/", "block"), ("", "/", "block")]
+    urls += [f"http://{h}/" + "a/" * rng.randrange(32) + "b" for h in ("deep.org", "x.deep.org") for _ in range(60)]
+    urls += ["http://org/a\x01b", "http://n\x01et/", "http://n/", "http://x.n\x01et/q", "http://net./", "http://.net/"]
     urls += ["http://a.net/en/x"] * 60
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     got = url_filter.judge(pages, url_filter.rules_table(spark, rules), ranges=7).collect()
@@ -264,8 +286,8 @@ def test_single_language_shortcut_is_exact():
         own = rng.choice(50, 200, p=shares[:, 0])
         p = full[own]
         bound = len(own) * ((p / p[:, :1]).mean(axis=0).max() - 1)
-        best = language_id._em(p, np.full(3, 1 / 3), 400)
-        assert language_id._loglik(p, best) - np.log(p[:, 0]).sum() <= bound + 1e-6
+        best = language_id._em(p, np.full(3, 1 / 3), np.ones(len(p)), 400)
+        assert language_id._loglik(p, best, np.ones(len(p))) - np.log(p[:, 0]).sum() <= bound + 1e-6
 
 
 def test_packing_round_trip(spark):
@@ -352,7 +374,12 @@ def test_sharding(spark):
     assert got.groupby("vslot")["shard"].nunique().max() == 1
     text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.limit(50).collect()}
     for r in got[got["doc_id"].isin(list(text))].itertuples():
-        assert (r.size, r.text_crc32) != () and r.text_crc32 == zlib.crc32(text[r.doc_id])
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]))
+    hot = spark.createDataFrame([(None, "null id", i % 7) for i in range(4000)] + [(5, f"text {i}", 0) for i in range(4000)] + [(9, "same row", 0)] * 4000, "doc_id bigint, text string, n int")
+    spread = sharding.shard_documents(hot).toPandas()
+    assert len(spread) == 12000 and spread.groupby("shard")["size"].sum().max() < 1.1 * spread["size"].sum() / 16 and spread.groupby("vslot").size().max() < 200
+    for _, own in spread.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
     odd = sharding.shard_documents(odd_documents(spark)).collect()
     assert len(odd) == 10 and {r["doc_id"]: r["size"] for r in odd}[2] == 1
     assert sharding.shard_documents(docs.limit(0)).count() == 0
@@ -375,7 +402,16 @@ def test_rebalancing_moves_little(spark, tmp_path):
     assert (both["shard"] != both["now"]).mean() < 0.25
 
 
-def test_embeddings_match_brute_force(spark):
+def test_extreme_vectors(spark):
+    tiny, huge, least = 1e-200, 1e200, 2.0**-1074
+    rows = [(1, [tiny, 0.0]), (2, [huge, huge * 1e-3]), (3, [least, 0.0]), (4, [0.0, huge]), (5, [-tiny, 0.0]), (6, [1.0, 0.0]), (7, [tiny, huge]), (8, [tiny, 0.0])]
+    docs = spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id bigint, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(docs).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 6: (4, 1), 8: (4, 1), 4: (1, 4), 7: (1, 4), 5: (0, 5)}
+
+
+@pytest.mark.parametrize("interval", [embedding_dedup.INTERVAL, 16])
+def test_embeddings_match_brute_force(spark, interval):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     rows = []
@@ -385,7 +421,7 @@ def test_embeddings_match_brute_force(spark):
     rows += [(500 + i, rows[3][1], rows[3][2]) for i in range(5)]
     rows += [(600, None, 1), (601, [0.0] * 16, 1), (602, [float("nan")] * 16, 1), (603, [None] + [1.0] * 15, 1), (604, rows[0][1], None), (605, [float("inf")] * 16, 1), (606, [], 1), (607, rows[5][1][:8], rows[5][2])]
     embedding_dedup_rows = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(embedding_dedup_rows).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(embedding_dedup_rows, interval=interval).collect()}
     assert len(got) == len(rows)
     good = [r for r in rows[:505]]
     m = np.array([r[1] for r in good], np.float32).astype(float)
@@ -401,6 +437,77 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_vectors(embedding_dedup_rows.limit(0)).count() == 0
 
 
+def brute_templates(docs, similar=line_dedup.SIMILAR):
+    """Places (doc, line) that are dropped, straight from the definition; docs are {id: text} without repeated lines in a text."""
+    lines = {}
+    for d, text in docs.items():
+        for k, line in enumerate(text.split("\n")):
+            tokens = tuple("<*>" if any(c.isdigit() for c in t) else t for t in line.split())
+            if tokens:
+                lines.setdefault(tokens, []).append((d, k))
+    support = {}
+    for tokens, places in lines.items():
+        for i, t in enumerate(tokens):
+            key = (len(tokens), tokens[:3], i, t)
+            support[key] = support.get(key, 0) + len({d for d, _ in places})
+    groups = {}
+    for tokens, places in lines.items():
+        got = [support[len(tokens), tokens[:3], i, t] for i, t in enumerate(tokens)]
+        bar = sorted(got, reverse=True)[int(np.ceil(len(got) * similar - 1e-9)) - 1]
+        groups.setdefault((len(tokens), tokens[:3], tuple(t if x >= bar else None for t, x in zip(tokens, got))), []).extend(places)
+    return {p for places in groups.values() if len({d for d, _ in places}) > 1 for p in set(places) - {min(places)}}
+
+
+def test_leaf_holds_several_templates(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(6))
+    kinds = ["please read our {} rules before you post here", "please read our {} notes after one more visit", "please read our daily {} of all new things"]
+    docs = {}
+    for i in range(120):
+        lines = [f"{word()} {word()} own {word()} {word()}", "please read our " + " ".join(word() for _ in range(6))]
+        if i < 100:
+            lines.insert(rng.randrange(3), kinds[i % 5 // 2].format(word()))
+        docs[i] = "\n".join(lines)
+    gone = brute_templates(docs)
+    assert len(gone) == 97
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_templates(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert got == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in docs.items()}
+
+
+def test_mixtures_match_full_inference():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(letters), p=None) for _ in range(4000)) for letters in ("abcde abcf ", "cdefg efgh ", "hijkl ijkm ")]
+    codes, starts = language_id.trigram_classes(texts)
+    table = np.stack([np.bincount(codes[a:b], minlength=language_id.CLASSES) for a, b in zip(starts, starts[1:])], axis=1)
+    shares = (table + 0.2) / (table + 0.2).sum(axis=0)
+    probes = [t[a : a + n] for t in texts for a, n in ((0, 30), (100, 400), (7, 5), (50, 2000))]
+    probes += [texts[0][:500] + texts[1][:900], texts[2][:900] + texts[0][:80], texts[0][:300] + texts[1][:300] + texts[2][:300], texts[1][:30] * 50, "", "12"]
+    got = language_id.infer(probes, shares)
+    for text, own in zip(probes, got):
+        c, s = language_id.trigram_classes([text])
+        classes, weight = np.unique(c, return_counts=True)
+        want = language_id.mixture(shares[classes], weight, language_id.PENALTY * np.log(len(c) + 1.0)) if len(c) else np.zeros(3)
+        assert (own > 0).tolist() == (want > 0).tolist() and np.allclose(own, want, atol=0.02), text[:20]
+    assert (got > 0).sum(axis=1).tolist()[:12] == [1] * 12 and (got[12] > 0).sum() == 2 and (got[14] > 0).sum() == 3
+    language_id.BLOCK, before = 50, language_id.BLOCK
+    try:
+        assert np.allclose(language_id.infer(probes, shares), got)
+    finally:
+        language_id.BLOCK = before
+
+
+def test_clashing_names(spark):
+    docs = odd_documents(spark).toDF("doc_id", "text", "__key", "__lines", "c0", "key", "k1", "component_id").withColumns({"c1": F.lit(1), "own": F.lit(2), "fp": F.lit("f")})
+    for out in (simhash.keep_one(docs), line_dedup.drop_templates(docs)):
+        assert out.columns == docs.columns and out.count() > 0
+    counted = line_dedup.drop_templates(docs, counts=("__lines", "lost"))
+    assert counted.columns == [c for c in docs.columns if c != "__lines"] + ["__lines", "lost"] and counted.count() == docs.count()
+    coded = bpe.encode(docs.withColumn("ids", F.lit(1)), public_tokenizers.path("byte_bpe_50k.json"), decoded="fp")
+    assert coded.columns[-2:] == ["ids", "fp"] and coded.columns.count("ids") == 1 and coded.count() == docs.count()
+    found = language_id.identify(docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit("x")}), language_id.train(documents(spark)), keep_text=True)
+    assert found.columns.count("score") == found.columns.count("lang_pred") == 1 and found.count() == docs.count()
+
+
 def test_lines(spark):
     filler = "alpha beta gamma delta number {} epsilon zeta eta theta"
     rows = [(i, f"own line {i} " + " ".join(str(hash((i, k)) % 97) + "w" for k in range(3)) + f"\n{filler.format(i)}\nunique{i} " + " ".join(hashlib.md5(f"{i}-{k}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(8))) for i in range(10)]

@@ -13,8 +13,8 @@ tasks run (it belongs to an installed package here).
 Defined results: a null text counts as empty and has no ids; strings of
 special tokens inside a text become those tokens' ids, as in the library;
 repeated rows come out as often as they went in; an empty table gives an
-empty result; other columns are passed on by :func:`encode` and may not be
-named like its outputs.
+empty result; other columns are passed on, and one that is named like an
+output gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches, utf8_values
+from .common import slices, utf8_values
 
 #: Words kept in a worker's table before it starts afresh.
 KEPT_WORDS = 500_000
@@ -169,8 +169,7 @@ def load(path: str) -> ByteBpe:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian 32-bit) in place of the text, and the decoded text if ``decoded`` names a column."""
-    small_batches(docs.sparkSession)
-    keep = [f for f in docs.schema.fields if f.name != text]
+    keep = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete ``path`` when it ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back, its lineage cut.
 
@@ -45,14 +52,17 @@ def frozen(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/versewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows and 16 MiB for this session, unless it has its own setting: a worker holds a batch of texts and its copy at once."""
-    for name, usual, wanted in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16m")):
+    """Arrow batches of at most 1,000 rows and 4 MiB for this session, unless it has its own setting.
+
+    A worker holds a batch of texts and its copy at once.  This is a choice
+    of the queries and the pipeline; the operators leave settings alone.
+    """
+    for name, usual, wanted in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4m")):
         key = f"spark.sql.execution.arrow.{name}"
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, wanted)
@@ -93,3 +103,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of ``batches``, which are sorted by the first, in parts that never end inside a group; each row is copied once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if held and columns[0][-1] == held[-1][0][-1]:
+            held.append(columns)  # the group goes on
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        held.append([c[:cut] for c in columns])
+        yield [np.concatenate(c) for c in zip(*held)]
+        held = [[c[cut:] for c in columns]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8_values
+from .common import slices, utf8_values
 
 BATCH_BYTES = 8 << 20
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
@@ -62,6 +62,8 @@ NOT_ARTICLE = re.compile(
     r"|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|gdpr|paywall|form|search|hidden)(?:$|[-_\s\d])",
     re.I,
 )
+#: Mean letters of a link below which a list of links is a menu.
+MENU_LINK = 20
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -84,8 +86,9 @@ class _Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.out = ["#page"], [-1], [False]
-        self.blocks: list[tuple[str, int, int]] = []  # text, characters in links, node
-        self._stack, self._text, self._linked, self._links = [0], [], 0, 0
+        self.blocks: list[tuple[str, int, int, int]] = []  # text, characters in links, links, node
+        self._stack, self._text, self._linked, self._links, self._begun = [0], [], 0, 0, 0
+        self._open: dict[str, int] = {"#page": 1}  # open elements of each name
         self._read(source)
 
     def _put(self, text: str) -> None:
@@ -100,12 +103,13 @@ class _Page:
             words = "".join(self._text).split()
             if words:
                 node = next(n for n in reversed(self._stack) if n == 0 or self.tag[n] in BLOCKS)
-                self.blocks.append((" ".join(words), self._linked, node))
-            self._text, self._linked = [], 0
+                self.blocks.append((" ".join(words), self._linked, self._begun, node))
+            self._text, self._linked, self._begun = [], 0, 0
 
     def _close(self, depth: int) -> None:
         """Close open elements down to ``depth`` of the stack."""
         for node in self._stack[depth:]:
+            self._open[self.tag[node]] -= 1
             self._links -= self.tag[node] == "a"
         if any(self.tag[n] in BLOCKS for n in self._stack[depth:]):
             self._flush()
@@ -137,12 +141,14 @@ class _Page:
             if m[1]:
                 if tag == "br":
                     self._put(" ")
-                elif tag in BLOCKS or tag == "a" or len(self._stack) < 200:
+                elif self._open.get(tag):
                     depth = self._open_at(frozenset([tag]), frozenset() if tag in BLOCKS else BLOCKS)
                     if depth is not None:
                         self._close(depth)
                     elif tag in BLOCKS:
                         self._flush()
+                elif tag in BLOCKS:
+                    self._flush()
                 continue
             if tag in ("br", "wbr"):
                 self._put(" " if tag == "br" else "")
@@ -173,7 +179,9 @@ class _Page:
             self.parent.append(above)
             self.out.append(self.out[above] or _left_out(tag, m[3]))
             self._stack.append(len(self.tag) - 1)
+            self._open[tag] = self._open.get(tag, 0) + 1
             self._links += tag == "a"
+            self._begun += tag == "a"
         self._flush()
 
 
@@ -183,13 +191,14 @@ def main_text(source: str) -> str:
     tag, parent, blocks = page.tag, page.parent, page.blocks
     if not blocks:
         return ""
-    points, text, linked = [0.0] * len(tag), [0] * len(tag), [0] * len(tag)
-    for words, links, node in blocks:
+    points, text, linked, begun = [0.0] * len(tag), [0] * len(tag), [0] * len(tag), [0] * len(tag)
+    for words, links, starts, node in blocks:
         size = len(words)
         up = node
         while up >= 0:
             text[up] += size
             linked[up] += links
+            begun[up] += starts
             up = parent[up]
         if size < 25:
             continue
@@ -202,7 +211,7 @@ def main_text(source: str) -> str:
     final = [p * (1 - density(n)) for n, p in enumerate(points)]
     best = max(range(len(final)), key=lambda n: (final[n], -n))
     if final[best] <= 0:
-        return "\n".join(words for words, links, _ in blocks if links * 2 <= len(words))
+        return "\n".join(words for words, links, _, _ in blocks if links * 2 <= len(words))
     up = best
     while up > 0:
         if tag[up] in ("article", "main"):
@@ -223,8 +232,8 @@ def main_text(source: str) -> str:
     def within(n: int) -> bool:
         path = []
         while n not in inside:
-            # A container that is mostly links is a menu wherever it stands.
-            if n not in kept and tag[n] in ("ul", "ol", "div", "section", "table", "dl") and density(n) > 0.6:
+            # A list of several links of a few letters each is a menu wherever it stands; references have longer ones.
+            if n not in kept and tag[n] in ("ul", "ol", "div", "section", "table", "dl") and density(n) > 0.8 and begun[n] > 1 and linked[n] < MENU_LINK * begun[n]:
                 inside[n] = False
             elif n in kept:
                 inside[n] = True
@@ -238,7 +247,7 @@ def main_text(source: str) -> str:
 
     # Loose text beside the paragraphs of the best container's parent counts as a sibling too.
     loose = parent[best] if tag[best] not in ("article", "main") else -2
-    return "\n".join(words for words, links, node in blocks if within(node) or node == loose and len(words) >= 25 and links * 4 < len(words))
+    return "\n".join(words for words, links, _, node in blocks if within(node) or node == loose and len(words) >= 25 and links * 4 < len(words))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -249,7 +258,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = [main_text((h or b"").decode("utf-8", "replace")) for h in utf8_values(batch.column("html"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     return base.mapInArrow(run, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars bigint")

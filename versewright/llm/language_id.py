@@ -17,13 +17,14 @@ Training data: at most about ``TRAIN_PER_LANG`` labelled documents of each
 language, chosen by a hash of ``doc_id`` (the share that is taken follows
 from the count of each language; all documents of rarer ones are used).
 What is gathered at the driver is the table of 2**16 classes for each
-language, at most ``MAX_LANGS`` languages, whatever the input's size.
+language, whatever the input's size.  Long texts are summed in blocks of
+trigrams, so memory does not grow with their length times the languages.
 
 Defined results: a null text or one without letters is ``und`` with score
 0; null labels never train; without any labelled document every text is
 ``und``; repeated rows are treated alike; equal likelihoods go to the first
 language in alphabetical order; other columns are passed on by
-:func:`identify` and may not be named like its outputs.
+:func:`identify`, and one that is named like an output gives way to it.
 """
 
 from __future__ import annotations
@@ -37,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8_values
+from .common import slices, utf8_values
 
 CLASSES = 1 << 16
 TRAIN_PER_LANG = 3000
-MAX_LANGS = 400
 #: Log-likelihood that another language must gain for each factor e of the text's length.
 PENALTY = 12.0
 ROUNDS = 40
 BATCH_BYTES = 2 << 20
+#: Numbers held at a time while log-likelihoods are summed.
+BLOCK = 1 << 22
 _BOUND = 1  # stands between documents
 
 
@@ -81,9 +83,7 @@ def trigram_classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages and the share of each class in them, shape (CLASSES, languages)."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [], np.zeros((CLASSES, 0))
@@ -112,32 +112,33 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return names, (table + smooth) / (table.sum(axis=0) + smooth * CLASSES)
 
 
-def _loglik(p: np.ndarray, share: np.ndarray) -> float:
-    return float(np.log(p @ share).sum())
+def _loglik(p: np.ndarray, share: np.ndarray, weight: np.ndarray) -> float:
+    return float(weight @ np.log(p @ share))
 
 
-def _em(p: np.ndarray, share: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def _em(p: np.ndarray, share: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    n = weight.sum()
     for _ in range(rounds):
-        after = share * ((1.0 / (p @ share)) @ p) / len(p)
+        after = share * ((weight / (p @ share)) @ p) / n
         if np.abs(after - share).max() < 1e-4:
             return after
         share = after
     return share
 
 
-def mixture(p: np.ndarray, penalty: float) -> np.ndarray:
-    """Shares of the languages for one document; ``p`` has a row per trigram and a column per language."""
+def mixture(p: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
+    """Shares of the languages for one document; ``p`` has a row per distinct trigram class and a column per language, ``weight`` counts the trigrams."""
     k = p.shape[1]
-    share = _em(p, np.full(k, 1.0 / k))
+    share = _em(p, np.full(k, 1.0 / k), weight)
     active = np.flatnonzero(share > 1e-3)
     share = share[active] / share[active].sum()
-    score = _loglik(p[:, active], share)
+    score = _loglik(p[:, active], share, weight)
     while len(active) > 1:
         drop = int(np.argmin(share))
         fewer = np.delete(active, drop)
         less = np.delete(share, drop)
-        less = _em(p[:, fewer], less / less.sum())
-        got = _loglik(p[:, fewer], less)
+        less = _em(p[:, fewer], less / less.sum(), weight)
+        got = _loglik(p[:, fewer], less, weight)
         if score - got >= penalty:
             break
         active, share, score = fewer, less, got
@@ -146,18 +147,26 @@ def mixture(p: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def _sums(codes: np.ndarray, first: np.ndarray, last: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Sum of ``logs`` over each text's trigrams, in blocks of bounded memory; ``first`` and ``last`` are the texts' bounds, none empty."""
+    out = np.zeros((len(first), logs.shape[1]))
+    step = max(1, BLOCK // logs.shape[1])
+    for lo in range(0, len(codes), step):
+        i, j = np.searchsorted(last, lo, side="right"), np.searchsorted(first, lo + step)
+        if i < j:
+            out[i:j] += np.add.reduceat(logs[codes[lo : lo + step]], np.maximum(first[i:j], lo) - lo, axis=0)
+    return out
+
+
 def infer(texts: list[str], shares: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Shares of each language in each text, a row of zeros for texts without letters."""
     k = shares.shape[1]
     out = np.zeros((len(texts), k))
     codes, starts = trigram_classes(texts)
-    sizes = np.diff(starts)
-    full = np.flatnonzero(sizes > 0)
+    full = np.flatnonzero(np.diff(starts) > 0)
     if not len(full) or not k:
         return out
-    logs = np.log(shares)
-    at = starts[:-1][full]
-    sums = np.add.reduceat(logs[codes], at, axis=0)
+    sums = _sums(codes, starts[:-1][full], starts[1:][full], np.log(shares))
     best = np.argmax(sums, axis=1)
     for b in range(k):
         mine = full[best == b]
@@ -167,20 +176,26 @@ def infer(texts: list[str], shares: np.ndarray, penalty: float = PENALTY) -> np.
         for d in mine:
             own = codes[starts[d] : starts[d + 1]]
             n = len(own)
-            if n * (ratio[own].mean(axis=0).max() - 1.0) < penalty * np.log(n + 1.0):
+            if n > CLASSES:
+                own, weight = np.unique(own, return_counts=True)
+                mean = weight @ ratio[own] / n
+            else:
+                mean = ratio[own].mean(axis=0)
+            if n * (mean.max() - 1.0) < penalty * np.log(n + 1.0):
                 out[d, b] = 1.0
             else:
-                out[d] = mixture(shares[own], penalty * np.log(n + 1.0))
+                if n <= CLASSES:
+                    own, weight = np.unique(own, return_counts=True)
+                out[d] = mixture(shares[own], weight, penalty * np.log(n + 1.0))
     return out
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", pred: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the language of most of each text and its share; only ``text`` is an input of the prediction."""
     names, shares = model
-    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(shares)
-    keep = [f for f in docs.schema.fields if f.name != text or keep_text]
+    keep = [f for f in docs.schema.fields if f.name not in (pred, score) and (f.name != text or keep_text)]
     cols = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,18 @@
 
 A line's leaf in the fixed-depth tree is its number of tokens and its
 leading ``DEPTH`` tokens, where a token with a digit stands as ``<*>``.
-Inside a leaf each position's token is constant if over half of the leaf's
-lines (each distinct line weighed by its documents) have it there, and a
-variable field otherwise.  A line whose tokens agree with the constants at
-``SIMILAR`` of its positions or more takes the leaf's template; any other
-line, digits masked, is a template of its own.  A template that occurs in
-at least ``MIN_DOCS`` documents (``SHORT_DOCS`` for lines of fewer than
-``SHORT`` tokens, which recur by chance) is boilerplate: its first
-occurrence, in the smallest (doc_id, line), stays and the others are
-dropped.
+A leaf holds any number of templates.  Inside a leaf a token's support is
+the number of documents that have it at its position (each distinct line
+weighed by its documents).  Of a line's tokens the ``SIMILAR`` share with the
+highest support are constants, and with them all that are supported as well
+as the least of these; the rest are variable fields.  Lines of a leaf with
+equal constants are one template: the lines of a template support its
+constants together, whatever else the leaf holds, while a field's values
+scatter.  A line that shares too little with others is a template of its own.
+A template that occurs in at least ``MIN_DOCS`` documents is boilerplate: its
+first occurrence, in the smallest (doc_id, line), stays and the others are
+dropped.  Lines of few tokens are treated alike unless ``short`` and
+``short_docs`` ask for more documents.
 
 Scale: lines travel as 64-bit hashes, one row per document and distinct
 line.  An aggregation that combines before its shuffle finds the leaves that
@@ -42,13 +45,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, slices, small_batches, utf8_values
+from .common import frozen, slices, utf8_values, whole_groups
 
 DEPTH = 3
 SIMILAR = 0.8
 MIN_DOCS = 2
-SHORT, SHORT_DOCS = 5, 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 
 
@@ -143,11 +145,45 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "leaf bigint, line bigint, docs bigint, tokens array<bigint>").dropDuplicates(["leaf", "line"])
 
 
-def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit finaliser of each value."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        values = (values ^ values >> np.uint64(shift)) * np.uint64(factor)
+    return values ^ values >> np.uint64(31)
+
+
+def template_names(line: np.ndarray, pos: np.ndarray, token: np.ndarray, votes: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """First row and template name of each line; rows are a line's tokens, all rows of a line together."""
+    starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    sizes = np.diff(np.append(starts, len(line)))
+    best = np.lexsort((-votes, np.repeat(np.arange(len(starts)), sizes)))
+    bar = votes[best[starts + np.ceil(sizes * similar - 1e-9).astype(np.int64) - 1]]
+    shown = np.where(votes >= np.repeat(bar, sizes), token, 0).view(np.uint64)
+    own = _mixed(_mixed(shown) + _mixed(pos.astype(np.uint64) + np.uint64(1)))  # summed, so the order of rows does not matter
+    return starts, _mixed(np.add.reduceat(own, starts)).view(np.int64)
+
+
+def _templates(tokens: DataFrame, similar: float) -> DataFrame:
+    """``(leaf, line, own)``: the template of each line of ``tokens`` as a 64-bit name inside its leaf."""
+    spots = tokens.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
+    votes = frozen(spots.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("votes")))  # stored: the join can be split at a hot token
+    counted = spots.drop("docs").join(votes, ["leaf", "pos", "token"]).select("line", "leaf", "pos", "token", "votes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line, leaf, pos, token, count in whole_groups(batches):
+            if len(line):
+                starts, own = template_names(line, pos, token, count, similar)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[starts]), pa.array(line[starts]), pa.array(own)], names=["leaf", "line", "own"])
+
+    return counted.repartition("line").sortWithinPartitions("line").mapInArrow(run, "leaf bigint, line bigint, own bigint")
+
+
+def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, short: int = 0, short_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Lines of recurring leaves, and the boilerplate lines among them.
 
     ``docs`` has ``k1, k2, doc_id, text``.  The second result has a row per
     distinct boilerplate line: ``leaf, line, first``, the place that stays.
+    Templates of fewer than ``short`` tokens need ``short_docs`` documents.
     """
     lines = frozen(_lines(docs, depth))
     leaves = lines.groupBy("leaf").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("line").alias("a"), F.max("line").alias("b"))
@@ -158,28 +194,24 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
     known = held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(place).alias("place"), F.first("n_tokens").alias("n_tokens"), F.first("several").alias("several"))
     known = frozen(known)
     wanted = known.where("several").select("leaf", "line", "docs", "place.k1", "place.k2", "place.line_no")
-    tokens = frozen(_tokens(docs, wanted))
-    # The constant of each position, or null for a variable field.
-    votes = tokens.select("leaf", "docs", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("votes"))
-    tops = votes.groupBy("leaf", "pos").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
-    spot = F.struct("pos", F.when(F.col("top.votes") * 2 > F.col("all"), F.col("top.token")).alias("token"))
-    constants = frozen(tops.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(spot)), lambda s: s["token"]).alias("constants")))
-    same = F.aggregate(F.zip_with("tokens", "constants", lambda t, c: F.when(t == c, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    fits = tokens.join(constants, "leaf").where(same >= F.size("tokens") * F.lit(similar)).select("leaf", "line", F.lit(True).alias("general"))
-    fitted = known.join(fits, ["leaf", "line"], "left").select("leaf", "line", "docs", "place", "n_tokens", F.coalesce("general", F.lit(False)).alias("general"))
-    fitted = frozen(fitted.withColumn("own", F.when(F.col("general"), F.lit(0)).otherwise(F.col("line"))))
+    named = _templates(frozen(_tokens(docs, wanted)), similar)
+    fitted = frozen(known.join(named, ["leaf", "line"], "left").select("leaf", "line", "docs", "place", "n_tokens", F.coalesce("own", "line").alias("own")))
+    templates = fitted.groupBy("leaf", "own").agg(F.count("*").alias("texts"), F.max("docs").alias("docs"), F.min("place").alias("first"), F.first("n_tokens").alias("n_tokens"))
+    templates = frozen(templates)
     # A line of its own has its documents counted already; those of a template's lines are counted without repeats.
-    general = fitted.where("general").select("leaf", "line")
-    joint = held.select("leaf", "line", "k1", "k2").join(general, ["leaf", "line"]).select("leaf", "k1", "k2").distinct().groupBy("leaf").agg(F.count("*").alias("joint"))
-    templates = fitted.groupBy("leaf", "general", "own").agg(F.max("docs").alias("docs"), F.min("place").alias("first"), F.first("n_tokens").alias("n_tokens")).join(joint, "leaf", "left")
-    needed = F.when(F.col("n_tokens") < SHORT, F.lit(max(min_docs, SHORT_DOCS))).otherwise(F.lit(min_docs))
-    boiler = frozen(templates.where(F.when(F.col("general"), F.greatest("docs", "joint")).otherwise(F.col("docs")) >= needed).select("leaf", "general", "own", "first"))
-    return held, fitted.select("leaf", "line", "general", "own").join(boiler, ["leaf", "general", "own"]).select("leaf", "line", "first")
+    shared = frozen(fitted.join(templates.where("texts > 1").select("leaf", "own"), ["leaf", "own"]).select("leaf", "own", "line"))
+    joint = held.select("leaf", "line", "k1", "k2").join(shared, ["leaf", "line"]).select("leaf", "own", "k1", "k2").distinct().groupBy("leaf", "own").agg(F.count("*").alias("joint"))
+    needed = F.when(F.col("n_tokens") < short, F.lit(max(min_docs, short_docs))).otherwise(F.lit(min_docs))
+    boiler = templates.join(joint, ["leaf", "own"], "left").where(F.greatest("docs", "joint") >= needed).select("leaf", "own", "first")
+    return held, fitted.select("leaf", "line", "own").join(frozen(boiler), ["leaf", "own"]).select("leaf", "line", "first")
 
 
-def drop_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with all its columns, recurring template lines taken out of ``text``; ``__lines`` and ``__dropped`` count lines."""
-    small_batches(docs.sparkSession)
+def drop_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None, **options) -> DataFrame:
+    """``docs`` with all its columns, recurring template lines taken out of ``text``.
+
+    ``counts`` names two more columns for the lines of each text and those
+    dropped; they take the place of columns of these names.
+    """
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes from here on
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own, words = at[doc_id], at[text]
@@ -217,4 +249,5 @@ def drop_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in named.schema.fields if f.name != words)
     done = joined.mapInArrow(run, schema + f"{words} string, lines int, dropped int")
-    return done.select(*[F.col(at[c]).alias(c) for c in docs.columns], F.col("lines").alias("__lines"), F.col("dropped").alias("__dropped"))
+    more = [F.col(x).alias(c) for x, c in zip(("lines", "dropped"), counts or ())]
+    return done.select(*[F.col(at[c]).alias(c) for c in docs.columns if c not in (counts or ())], *more)

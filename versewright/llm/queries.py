@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, packing, sharding, simhash, url_filter
+from .common import small_batches
 
 #: The rules of ``op3_url_filter``.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("__lines").cast("bigint").alias("n_lines"), F.col("__dropped").cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    done = line_dedup.drop_templates(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return done.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_dropped").cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,25 +105,29 @@ raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_sub
 tok AS (
   SELECT doc_id, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w FROM raw
 ), lines AS (
-  SELECT doc_id, line_no, len(w) AS n, len(w)::VARCHAR || chr(1) || array_to_string(w[1:3], chr(1)) AS leaf, array_to_string(w, ' ') AS line, w FROM tok WHERE len(w) > 0
+  SELECT doc_id, line_no, len(w)::VARCHAR || chr(1) || array_to_string(w[1:3], chr(1)) AS leaf, array_to_string(w, ' ') AS line, w FROM tok WHERE len(w) > 0
 ), known AS (
-  SELECT leaf, line, any_value(w) AS w, any_value(n) AS n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY leaf, line
+  SELECT leaf, line, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM lines GROUP BY leaf, line
 ), leaves AS (
-  SELECT leaf, sum(docs) AS total, count(*) AS texts FROM known GROUP BY leaf
+  SELECT leaf, count(*) AS texts FROM known GROUP BY leaf
 ), spots AS (
   SELECT k.leaf, k.line, k.docs, unnest(k.w) AS token, generate_subscripts(k.w, 1) AS pos FROM known k JOIN leaves USING (leaf) WHERE texts > 1
-), constant AS (
-  SELECT s.leaf, pos, token FROM spots s JOIN leaves l ON l.leaf = s.leaf GROUP BY s.leaf, pos, token, total HAVING sum(docs) * 2 > total
-), agree AS (
-  SELECT s.leaf, s.line, count(*) AS same FROM spots s JOIN constant c ON c.leaf = s.leaf AND c.pos = s.pos AND c.token = s.token GROUP BY s.leaf, s.line
+), votes AS (
+  SELECT leaf, pos, token, sum(docs) AS votes FROM spots GROUP BY leaf, pos, token
+), bars AS (
+  SELECT s.leaf, s.line, list(votes ORDER BY votes DESC)[ceil(count(*) * 0.8 - 1e-9)::INT] AS bar
+  FROM spots s JOIN votes v ON v.leaf = s.leaf AND v.pos = s.pos AND v.token = s.token GROUP BY s.leaf, s.line
+), named AS (
+  SELECT s.leaf, s.line, string_agg(CASE WHEN votes >= bar THEN s.token ELSE chr(2) END, chr(1) ORDER BY s.pos) AS own
+  FROM spots s JOIN votes v ON v.leaf = s.leaf AND v.pos = s.pos AND v.token = s.token JOIN bars b ON b.leaf = s.leaf AND b.line = s.line
+  GROUP BY s.leaf, s.line
 ), placed AS (
-  SELECT l.doc_id, l.line_no, l.n, l.leaf, CASE WHEN coalesce(a.same >= l.n * 0.8, false) THEN '' ELSE l.line END AS template
-  FROM lines l LEFT JOIN agree a ON a.leaf = l.leaf AND a.line = l.line
+  SELECT l.doc_id, l.line_no, l.leaf, coalesce(n.own, l.line) AS template FROM lines l LEFT JOIN named n ON n.leaf = l.leaf AND n.line = l.line
 ), templates AS (
-  SELECT leaf, template, count(DISTINCT doc_id) AS docs, min((doc_id, line_no)) AS place, any_value(n) AS n FROM placed GROUP BY leaf, template
+  SELECT leaf, template, count(DISTINCT doc_id) AS docs, min((doc_id, line_no)) AS place FROM placed GROUP BY leaf, template
 ), gone AS (
   SELECT p.doc_id, p.line_no FROM placed p JOIN templates t ON t.leaf = p.leaf AND t.template = p.template
-  WHERE t.docs >= CASE WHEN t.n < 5 THEN 20 ELSE 2 END AND (p.doc_id, p.line_no) <> t.place
+  WHERE t.docs >= 2 AND (p.doc_id, p.line_no) <> t.place
 ), rest AS (
   SELECT r.doc_id, count(*) AS n_lines, count(g.line_no) AS n_dropped, coalesce(string_agg(CASE WHEN g.line_no IS NULL THEN r.line END, chr(10) ORDER BY r.line_no), '') AS text
   FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.line_no = r.line_no GROUP BY r.doc_id

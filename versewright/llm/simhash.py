@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, row_key, small_batches, utf8_values
+from .common import frozen, row_key, utf8_values, whole_groups
 from .components import connected_components
 from .line_dedup import _packed, _unpacked
 
@@ -250,19 +250,9 @@ def _met(rows: DataFrame, radius: int) -> DataFrame:
     """Spanning links ``(a, b)`` of the fingerprints that share a variant and are within ``radius``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.empty(0, np.int64), np.empty(0, np.uint64)
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
-        for batch in batches:
-            keys = np.concatenate((held_keys, batch.column(0).to_numpy(zero_copy_only=False)))
-            values = np.concatenate((held, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last variant may go on in the next batch
-            held_keys, held = keys[cut:], values[cut:]
-            if cut:
-                yield out(_links(keys[:cut], values[:cut], radius))
-        if len(held):
-            yield out(_links(held_keys, held, radius))
+        for keys, values in whole_groups(batches):
+            a, b = _links(keys, values.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -277,7 +267,9 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
                 keys, owner = _variants(values[at : at + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096].view(np.int64)[owner])], names=["variant", "fp"])
 
-    return _met(distinct.select(F.col(fp).alias("fp")).mapInArrow(emit, "variant bigint, fp bigint"), RADIUS)
+    # Dealt over all tasks: the table is small, what it emits is not.
+    dealt = distinct.select(F.col(fp).alias("fp")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return _met(dealt.mapInArrow(emit, "variant bigint, fp bigint"), RADIUS)
 
 
 def _pairs(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
@@ -299,15 +291,9 @@ def _apart(rows: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b)`` of the texts of one band in ``rows`` (band, fp, size, part) that are in different parts."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
-        out = lambda columns: (pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"]) for p in _pairs(*columns))
-        for batch in batches:
-            held = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-            if len(held[0]):
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last band may go on in the next batch
-                yield from out([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield from out(held)
+        for columns in whole_groups(batches):
+            for pairs in _pairs(*columns):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     rows = rows.select("band", "fp", F.col("size").cast("bigint"), "part")
     return rows.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "a bigint, b bigint").distinct()
@@ -377,7 +363,6 @@ def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
 
 
@@ -401,5 +386,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with all its columns, one document of each group of near duplicates; repeated rows are one document."""
-    kept = near_components(docs, doc_id, text, shingle).where("keep").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", row_key(doc_id, text)).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name clashes from here on
+    own, words = (named.columns[docs.columns.index(c)] for c in (doc_id, text))
+    kept = near_components(named, own, words, shingle).where("keep").select("key")
+    left = named.withColumn("key", row_key(own, words)).join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return left.select(*[F.col(c).alias(n) for c, n in zip(named.columns, docs.columns)])
