@@ -2,13 +2,16 @@
 
 Unit vectors with cosine >= c lie within ``eps = sqrt(2 - 2c)`` of each
 other.  Vectors are sorted, within each label, by their grid cells (width
-eps) on the leading principal dimensions; consecutive runs of at most
-``INTERVAL`` vectors form intervals with a bounding box.  Pairs of intervals
-whose boxes are provably more than eps apart are skipped, the others are
-joined: each pair is halved again and again, skipping distant halves, down
-to blocks that one matrix product compares in double precision.
-
-Equal vectors of a label are joined once and counted.  A pair of intervals
+eps) on the leading principal dimensions, and inside a cell along a space-filling
+curve; consecutive runs of at most ``INTERVAL`` vectors form intervals with a
+bounding box.  Intervals meet if they hold the same or neighbouring cells on
+all grid dimensions and their boxes are not provably more than eps apart.  Each
+such pair is halved again and again, skipping distant halves, down to blocks
+that one matrix product compares in double precision.
+
+Components are divided by the largest magnitude before they are squared, so
+neither tiny nor huge vectors under- or overflow.  Equal vectors of a label
+are joined once and counted; they are known by a 128-bit hash.  A pair of intervals
 gives out, for each vector, how many vectors it links with there, and a
 spanning set of links; pairs of vectors are never emitted.  A hot label has
 more intervals, not larger groups.
@@ -25,21 +28,24 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import frozen
 from .components import connected_components
 
 COSINE = 0.93
-INTERVAL = 1024
+INTERVAL = 4096
 #: Leading principal dimensions of the grid and of the boxes.
-GRID_DIMS, BOX_DIMS = 4, 16
+GRID_DIMS, BOX_DIMS = 3, 16
+#: Dimensions and bits of each of the curve inside a cell.
+CURVE_DIMS, CURVE_BITS = 8, 7
 #: Largest block side that is compared at once.
 BLOCK = 256
 
@@ -113,7 +119,40 @@ def join_blocks(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, e
             stack += [(i, j, k, half), (i, j, half, m)]
 
 
-def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.ravel(), kind))
+
+
+def _neighbours(cells: str, dims: int) -> Column:
+    """The distinct cells of a list of cells and of those next to them on each of ``dims`` dimensions."""
+    every = F.col(cells)
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+
+    def around(d: int) -> Callable[[Column], Column]:
+        return lambda cell: F.transform(steps, lambda step: F.transform(cell, lambda x, i: F.when(i == d, x + step).otherwise(x)))
+
+    for d in range(dims):
+        every = F.flatten(F.transform(every, around(d)))
+    return F.array_distinct(every)
+
+
+def _spots(v: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Places of the rows of ``v`` on the principal axes; vectors of an uncommon length are all at the origin."""
+    return v @ axes.T if axes.size and v.shape[1] == axes.shape[1] else np.zeros((len(v), len(axes)))
+
+
+def _curve(spots: np.ndarray, eps: float) -> np.ndarray:
+    """Place of each row on a curve that visits the parts of its cell in turn: the bits of its fine cells, interleaved."""
+    fine = ((spots[:, :CURVE_DIMS] / eps % 1.0) * (1 << CURVE_BITS)).astype(np.int64).clip(0, (1 << CURVE_BITS) - 1)
+    code = np.zeros(len(spots), np.int64)
+    for bit in range(CURVE_BITS - 1, -1, -1):
+        for d in range(fine.shape[1]):
+            code = code << 1 | fine[:, d] >> bit & 1
+    return code
+
+
+def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, interval: int = INTERVAL) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     eps = float(np.sqrt(2 - 2 * cosine))
     base = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e"), F.col(label).alias("label"))
@@ -122,67 +161,68 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     )
     # Equal vectors of a label are one from here on.  0.0 and -0.0 are equal numbers.
     base = base.withColumn("e", F.when(whole, F.expr("transform(e, x -> double(x) + 0D)")))
-    base = base.withColumn("h", F.xxhash64("e"))
-    usable = base.where("e is not null")
+    base = base.withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit("second"), "e")})
     order = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"))
-    distinct = usable.groupBy("label", "h", "e").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
-    distinct = frozen(distinct.select("label", "h", "copies", "first", "e", F.expr("transform(e, x -> x / sqrt(aggregate(e, 0D, (s, y) -> s + y * y)))").alias("v")))
+    same = ["label", "h1", "h2"]
+    distinct = base.where("e is not null").groupBy(*same).agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.first("e").alias("e"))
+    distinct = distinct.withColumn("e", F.expr("transform(e, x -> x / array_max(transform(e, y -> abs(y))))"))
+    unit = F.expr("transform(e, x -> x / sqrt(aggregate(e, 0D, (s, y) -> s + y * y)))")
+    # Numbered as they are stored, so a number means the same vector in every later job.
+    distinct = frozen(distinct.select(*same, "copies", "first", unit.alias("v"), F.monotonically_increasing_id().alias("vid")))
     axes = principal_axes(distinct.select("v"), BOX_DIMS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["label", "vid", "copies", "v"]
         for batch in batches:
-            rows = batch.column("v").to_pylist()
-            spots = [(axes @ v if len(v) == axes.shape[1] else np.zeros(len(axes))) for v in map(np.array, rows)]
-            cells = [np.floor(s[:GRID_DIMS] / eps).astype(int).tolist() for s in spots]
-            new = [pa.array(cells, pa.list_(pa.int32())), pa.array([s.tolist() for s in spots], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("label", "h", "copies", "v")] + new, names=["label", "h", "copies", "v", "cell", "spot"])
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == size))
+                spots = _spots(_groups(part.column("v"))[0], axes)
+                cells = np.floor(spots[:, :GRID_DIMS] / eps).astype(np.int32)
+                new = [_lists(cells, pa.int32()), _lists(spots, pa.float64()), pa.array(_curve(spots, eps)), pa.array(np.full(part.num_rows, size, np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + new, names=[*names, "cell", "spot", "curve", "size"])
 
     kind = base.schema["label"].dataType.simpleString()
-    placed = distinct.select("label", "h", "copies", "v").mapInArrow(place, f"label {kind}, h bigint, copies bigint, v array<double>, cell array<int>, spot array<double>")
-    placed = placed.withColumn("size", F.size("v"))
+    columns = f"label {kind}, vid bigint, copies bigint, v array<double>, cell array<int>, spot array<double>, curve bigint, size int"
+    placed = distinct.select("label", "vid", "copies", "v").mapInArrow(place, columns)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of at most INTERVAL rows of one label and length, in grid order."""
-        from pyspark import TaskContext
-
+        """Runs of at most ``interval`` rows of one label and length, in grid order."""
         part, run, held, last = TaskContext.get().partitionId(), -1, 0, None
         for batch in batches:
-            names = []
+            names, places = [], []
             for key in zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()):
-                if key != last or held == INTERVAL:
+                if key != last or held == interval:
                     run, held, last = run + 1, 0, key
-                held += 1
                 names.append(part << 32 | run)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("label", "size", "h", "copies", "v", "spot")] + [pa.array(names, pa.int64())], names=["label", "size", "h", "copies", "v", "spot", "run"])
+                places.append(held)
+                held += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64()), pa.array(places, pa.int32())], names=[*batch.schema.names, "run", "pos"])
 
-    ordered = placed.repartitionByRange("label", "size", "cell", "h").sortWithinPartitions("label", "size", "cell", "h")
-    runs = frozen(ordered.mapInArrow(number, f"label {kind}, size int, h bigint, copies bigint, v array<double>, spot array<double>, run bigint"))
+    grid_order = ["label", "size", "cell", "curve", "vid"]
+    runs = frozen(placed.repartitionByRange(*grid_order).sortWithinPartitions(*grid_order).mapInArrow(number, columns + ", run bigint, pos int"))
     dims = len(axes)
-    low = [F.min(F.col("spot")[d]).alias(f"l{d}") for d in range(dims)]
-    high = [F.max(F.col("spot")[d]).alias(f"u{d}") for d in range(dims)]
-    boxes = runs.groupBy("label", "size", "run").agg(F.count("*").alias("n"), *low, *high)
-    # Intervals that can meet share a cell of the first dimension or have neighbouring ones.
-    cells = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("l0") / eps), F.floor(F.col("u0") / eps)))) if dims else boxes.withColumn("cell", F.lit(0))
-    one = cells.select("label", "size", F.col("run").alias("r1"), *[F.col(f"{x}{d}").alias(f"a{x}{d}") for x in "lu" for d in range(dims)], F.explode(F.array(*[F.col("cell") + s for s in (-1, 0, 1)])).alias("cell"))
-    two = cells.select("label", "size", F.col("run").alias("r2"), *[F.col(f"{x}{d}").alias(f"b{x}{d}") for x in "lu" for d in range(dims)], "cell")
-    apart = F.lit(0.0)
-    for d in range(dims):
-        gap = F.greatest(F.lit(0.0), F.col(f"al{d}") - F.col(f"bu{d}"), F.col(f"bl{d}") - F.col(f"au{d}"))
-        apart = apart + gap * gap
-    pairs = one.join(two, ["label", "size", "cell"]).where(F.col("r1") <= F.col("r2")).where(apart <= eps * eps * (1 + 1e-9)).select("r1", "r2").distinct()
-    sides = pairs.select("r1", "r2", F.explode(F.array_distinct(F.array("r1", "r2"))).alias("run"))
-    met = sides.join(runs.select("run", "h", "copies", "v", "spot", "label"), "run")
+    low = F.array(*[F.min(F.col("spot")[d]) for d in range(dims)])
+    high = F.array(*[F.max(F.col("spot")[d]) for d in range(dims)])
+    boxes = frozen(runs.groupBy("label", "size", "run").agg(low.cast("array<double>").alias("low"), high.cast("array<double>").alias("high"), F.collect_set("cell").alias("cells")))
+    one = boxes.select("label", "size", F.col("run").alias("r1"), F.col("low").alias("l1"), F.col("high").alias("u1"), F.explode("cells").alias("cell"))
+    two = boxes.select("label", "size", F.col("run").alias("r2"), F.col("low").alias("l2"), F.col("high").alias("u2"), F.explode(_neighbours("cells", min(GRID_DIMS, dims))).alias("cell"))
+    gap = F.expr("aggregate(sequence(0, size(l1)), 0D, (s, i) -> s + coalesce(pow(greatest(0D, get(l1, i) - get(u2, i), get(l2, i) - get(u1, i)), 2), 0D))")
+    pairs = one.join(two, ["label", "size", "cell"]).where("r1 <= r2").where(gap <= eps * eps * (1 + 1e-9)).select("r1", "r2").distinct()
+    sides = frozen(pairs.select("r1", "r2", F.explode(F.array_distinct(F.array("r1", "r2"))).alias("run")))
+    met = sides.join(runs.select("run", "pos", "vid", "copies", "v"), "run")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between two intervals (or within one), at most 2 * INTERVAL rows."""
+        """Links between two intervals (or within one), at most two intervals of rows."""
         r1, r2 = key
+        rows = rows.sort_values("pos")  # in grid order again, so that halves are compact
         first, second = rows[rows["run"] == r1], rows[rows["run"] == r2]
         a, b = (np.stack(x["v"].to_list()).astype(float) for x in (first, second))
-        pa_, pb = (np.stack(x["spot"].to_list()).astype(float).reshape(len(x), -1) for x in (first, second))
         w1, w2 = first["copies"].to_numpy(), second["copies"].to_numpy()
         n1, n2 = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        spots_a, spots_b = _spots(a, axes), _spots(b, axes)
         left, right = [], []
-        for i, k, hit in join_blocks(a, b, pa_, pb, eps, cosine):
+        for i, k, hit in join_blocks(a, b, spots_a, spots_b, eps, cosine):
             if r1 == r2:
                 own = np.arange(i, i + hit.shape[0])[:, None] == np.arange(k, k + hit.shape[1])[None, :]
                 hit = hit & ~own
@@ -194,23 +234,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             right.append(y + k)
         x = np.concatenate(left) if left else np.empty(0, int)
         y = np.concatenate(right) if right else np.empty(0, int)
-        ids = first["h"].to_numpy() if r1 == r2 else np.concatenate((first["h"].to_numpy(), second["h"].to_numpy()))
+        ids = first["vid"].to_numpy() if r1 == r2 else np.concatenate((first["vid"].to_numpy(), second["vid"].to_numpy()))
         count = n1 if r1 == r2 else np.concatenate((n1, n2))
         root = _settle(len(ids), x, y if r1 == r2 else y + len(a))
-        out = pd.DataFrame({"h": ids, "n": count, "root": ids[root]})
-        out["label"] = rows["label"].iloc[0]
-        return out[(out["n"] > 0)][["label", "h", "n", "root"]]
-
-    found = frozen(met.groupBy("r1", "r2").applyInPandas(compare, f"label {kind}, h bigint, n bigint, root bigint"))
-    counts = found.groupBy("label", "h").agg(F.sum("n").alias("others"))
-    node = lambda c: F.struct("label", F.col(c).alias("h"))
-    parts = connected_components(found.where("h <> root").select(node("h").alias("a"), node("root").alias("b")))
-    known = distinct.select("label", "h", "copies", "first").join(counts, ["label", "h"], "left")
-    known = known.withColumn("node", F.struct("label", "h")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    known = frozen(known.select("label", "h", "copies", "first", "others", "part"))
+        out = pd.DataFrame({"vid": ids, "n": count, "root": ids[root]})
+        return out[out["n"] > 0]
+
+    found = frozen(met.groupBy("r1", "r2").applyInPandas(compare, "vid bigint, n bigint, root bigint"))
+    counts = found.groupBy("vid").agg(F.sum("n").alias("others"))
+    parts = connected_components(found.where("vid <> root").select(F.col("vid").alias("a"), F.col("root").alias("b")))
+    known = distinct.select(*same, "vid", "copies", "first").join(counts, "vid", "left").join(parts.withColumnRenamed("node", "vid"), "vid", "left")
+    known = frozen(known.select(*same, "copies", "first", "others", F.coalesce("component", "vid").alias("part")))
     heads = frozen(known.groupBy("part").agg(F.min("first").alias("head")))  # stored: the join can be split at a hot component
-    known = known.join(heads, "part").select("label", "h", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("head.id").alias("head"))
-    linked = base.where("e is not null").select("vec_id", "label", "h").join(known, ["label", "h"]).select("vec_id", F.col("links").alias("n_links"), F.col("head").alias("component_id"))
+    known = known.join(heads, "part").select(*same, (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("head.id").alias("head"))
+    linked = base.where("e is not null").select("vec_id", *same).join(known, same).select("vec_id", F.col("links").alias("n_links"), F.col("head").alias("component_id"))
     alone = base.where("e is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.union(alone)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

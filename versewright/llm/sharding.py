@@ -7,9 +7,13 @@ and the slot sums have ``slots`` rows whatever the input's size, so they may
 be broadcast and gathered; records are only hashed, counted per slot and
 joined with the map.
 
-A hot slot is no problem for the sums (they combine before the shuffle), and
-numbering inside a shard is done per slot, thousands of independent tasks,
-after which slots are laid end to end.
+Sums combine before their shuffle, and numbering inside a shard is done per
+slot, thousands of independent tasks, after which slots are laid end to end.
+A document's key is its id and a checksum of its text, so neither null nor
+repeated ids share a slot; only rows that are the same in both do.  Where such
+rows make a slot hold far more rows than the mean, its rows are dealt over all
+slots by their place in the stored table, so a record that makes up a third of
+the table still leaves shards even and no numbering task large.
 
 Defined results: a null text has no bytes; a null key hashes like the empty
 string; repeated rows are numbered one after another; an empty table gives
@@ -21,8 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import frozen
+
 SLOTS = 4096
 SHARDS = 16
+#: Times the mean number of rows beyond which a slot's rows are dealt anew.
+CROWDED = 8
 
 
 def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
@@ -110,7 +118,14 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col(doc_id).alias("doc_id"),
         record_size(text).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(doc_id, slots).alias("vslot"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
+    records = frozen(records.withColumn("vslot", slot_of(key, slots)))
+    full = slot_bytes(records, slots=slots)
+    mean = F.sum("n").over(Window.partitionBy(F.lit(0))) / slots  # one row per slot, a fixed number
+    hot = full.select("vslot", (F.col("n") > CROWDED * mean + 64).alias("hot")).where("hot")
+    dealt = records.join(F.broadcast(hot), "vslot", "left")
+    records = dealt.withColumn("vslot", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")).otherwise(F.col("vslot"))).drop("hot")
     slot_map = edited_map(slot_bytes(records, slots=slots), shards)
-    return sharded(records, slot_map, order=("doc_id", "size", "text_crc32"))
+    return sharded(records, slot_map, order=("doc_id", "size", "text_crc32", "row")).drop("row")
