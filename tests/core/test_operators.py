@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from versewright.functions import text as X
 from versewright.functions import timecode as C
-from versewright.operators import align, compare, edits, joins, select, stats, timing, validate
+from versewright.operators import align, compare, edits, joins, select, slopes, stats, timing, validate
 from versewright.sources import formats, lyrics_source
 
 
@@ -30,17 +30,44 @@ def test_clock_formats(spark):
 
 
 def test_word_checks(spark):
-    w = [(0, 10_000, 17_000), (1, 16_500, 17_500), (2, 30_000, 30_500)]
-    df = spark.createDataFrame([("a", *x) for x in w], "song string, word_id int, begin_ms bigint, end_ms bigint")
-    got = {r["word_id"]: r["issues"] for r in validate.word_issues(df, F.lit(20_000)).collect()}
-    assert got == {0: ["too-long"], 1: ["overlap"], 2: ["past-end", "big-gap"]}
+    w = [(0, "main", 0, 10_000, 17_000), (0, "main", 1, 16_500, 17_500), (0, "main", 2, 30_000, 30_500), (0, "bg", 0, 5_000, 5_010), (1, "main", 0, 2_000, 2_500), (1, "main", 1, None, None), (1, "main", 2, 9_000, 9_100)]
+    df = spark.createDataFrame([("a", *x) for x in w], "song string, line_no int, track string, word_no int, begin_ms bigint, end_ms bigint")
+    checked = validate.word_issues(df, F.lit(20_000))
+    got = {(r["line_no"], r["track"], r["word_no"]): r["issues"] for r in checked.collect() if r["issues"]}
+    # A word after an untimed one, and the first of a line or track, is compared with nothing.
+    assert got == {(0, "main", 0): ["too-long"], (0, "main", 1): ["overlap"], (0, "main", 2): ["past-end", "big-gap"], (0, "bg", 0): ["too-short"]}
+    assert validate.flagged_totals(checked).first()[1:] == (7, 4, 5)
     lines = spark.createDataFrame([("a", 0, 10_000), ("a", 1, None), ("a", 2, 2000)], "song string, line_no int, begin_ms bigint")
     assert [r["line_no"] for r in validate.out_of_order(lines).collect()] == [2]
 
 
-def test_untimed_words_are_skipped(spark):
-    df = spark.createDataFrame([("a", 0, 0, 1000), ("a", 1, None, None), ("a", 2, 1500, 2000)], "song string, word_id int, begin_ms bigint, end_ms bigint")
-    assert all(r["issues"] == [] for r in validate.word_issues(df, order=("word_id",)).collect())
+def test_candidates_are_judged_and_ranked(spark):
+    rows = [
+        ("a", "lrclib", "word", "word", 40, 180.0, 170.0), ("b", "boidu", "line", "word", 40, 181.0, 170.0), ("c", "boidu", "word", "word", 40, 190.0, 170.0), ("d", "binimum", "word", "word", 40, None, 184.0),
+        ("e", "portato", "word", "word", 40, 178.0, 170.0), ("f", "other", "unsynced", "line", 40, None, 500.0), ("g", "boidu", "word", "word", 11, 180.0, 170.0), ("h", "lrclib", "word", "word", 40, None, 170.0),
+    ]
+    c = select.judge(spark.createDataFrame(rows, "id string, source string, sync string, declared string, n_words int, duration double, last_end double"), F.lit(180.0))
+    got = {r["id"]: r for r in select.candidate_summary(c).collect()}
+    assert got["g"]["reason"] == "only 11 words" and not got["g"]["usable"] and got["g"]["notes"] == []
+    assert got["c"]["notes"] == ["length 190s vs audio 180s: text only"] and got["d"]["notes"] == ["timed past the audio end (184s > 180s): text only"]
+    assert got["b"]["notes"] == ["declared word but parsed as line"] and not got["f"]["text_only"] and got["c"]["effective_sync"] == "unsynced"
+    ranked = select.ranked(c.where("not rejected").withColumn("song", F.lit(1)), [*select.candidate_order(F.lit(180.0)), F.col("id")], ("song",))
+    assert [r["id"] for r in ranked.orderBy("rank").collect()] == ["e", "a", "h", "b", "c", "d", "f"]
+
+
+def test_median_slopes_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, float(rng.integers(0, 40)), float(rng.normal())) for s, n in ((1, 90), (2, 33), (3, 2), (4, 1)) for _ in range(n)] + [(5, 1.0, 2.0), (5, 1.5, 3.0), (1, None, 2.0)]
+    df = spark.createDataFrame(rows, "song int, x double, y double")
+    want = {}
+    for s in range(1, 6):
+        p = [(x, y) for t, x, y in rows if t == s and x is not None]
+        own = [(v - y) / (u - x) for x, y in p for u, v in p if u - x > 1]
+        if own:
+            want[s] = float(np.median(own))
+    for block in (8, 1024):
+        got = {r["song"]: r["slope"] for r in slopes.median_slopes(df, "x", "y", "song", 1.0, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-12 for s in want)
 
 
 def test_local_offsets_follow_a_shift(spark):

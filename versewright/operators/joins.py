@@ -92,10 +92,3 @@ def claim_by_text(wanted: DataFrame, existing: DataFrame, text: str, order: str,
     a = wanted.withColumn("_n", nth)
     b = existing.withColumn("_n", nth).select(*by, text, "_n", F.col(order).alias("claimed"))
     return a.join(b, [*by, text, "_n"], "left").drop("_n")
-
-
-def pairwise_slopes(points: DataFrame, x: str, y: str, by: str, least: float) -> DataFrame:
-    """Slope of every pair of a song's points more than ``least`` apart (a song has tens of lines)."""
-    a = points.select(by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = points.select(by, F.col(x).alias("_u"), F.col(y).alias("_v"))
-    return a.join(b, by).where(F.col("_u") - F.col("_x") > least).select(by, ((F.col("_v") - F.col("_y")) / (F.col("_u") - F.col("_x"))).alias("slope"))

@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rank of a sync type, and of the sources that have one (others are 9).
+#: Rank of a sync type; preference of lyrics sources, first best (others come after them).
 SYNC_RANK = {"syllable": 3, "word": 2, "line": 1, "unsynced": 0}
+SOURCE_PREFERENCE = ("boidu", "binimum", "portato", "lrclib")
 LEAST_WORDS, DURATION_SLACK = 12, 3.0
 
 
 def judge(candidates: DataFrame, audio_seconds: Column) -> DataFrame:
-    """``rejected`` under 12 words; ``text_only`` when the length is off by more than three seconds or words end after the audio."""
-    off = F.abs(F.col("duration") - audio_seconds) > DURATION_SLACK
-    late = F.col("last_end") > audio_seconds + DURATION_SLACK
-    return candidates.withColumn("rejected", F.coalesce(F.col("n_words"), F.lit(0)) < LEAST_WORDS).withColumn("text_only", F.coalesce(off, F.lit(False)) | F.coalesce(late, F.lit(False)))
+    """``rejected`` with a ``reason`` under 12 words; ``text_only`` with a ``note`` when the length is off by more than three seconds or timed words end after the audio.
+
+    ``candidates`` have ``n_words``, ``duration``, ``last_end``, ``sync`` (as
+    parsed) and ``declared``.  ``mismatch`` marks a declared word timing that
+    was not found.
+    """
+    few = F.coalesce(F.col("n_words"), F.lit(0)) < LEAST_WORDS
+    off = F.coalesce(F.abs(F.col("duration") - audio_seconds) > DURATION_SLACK, F.lit(False))
+    late = F.coalesce((F.col("sync") != "unsynced") & (F.col("last_end") > audio_seconds + DURATION_SLACK), F.lit(False))
+    word_level = lambda c: F.col(c).isin("word", "syllable")
+    whole = lambda c: F.round(c).cast("bigint").cast("string")
+    note = F.when(few, None).when(off, F.concat(F.lit("length "), whole(F.col("duration")), F.lit("s vs audio "), whole(audio_seconds), F.lit("s: text only"))).when(
+        late, F.concat(F.lit("timed past the audio end ("), whole(F.col("last_end")), F.lit("s > "), whole(audio_seconds), F.lit("s): text only")))
+    return candidates.withColumns({
+        "rejected": few,
+        "reason": F.when(few, F.concat(F.lit("only "), F.coalesce(F.col("n_words"), F.lit(0)).cast("string"), F.lit(" words"))),
+        "text_only": ~few & (off | late),
+        "note": note,
+        "mismatch": F.coalesce(~few & word_level("declared") & ~word_level("sync"), F.lit(False)),
+    })
+
+
+def candidate_order(audio_seconds: Column, preference: tuple[str, ...] = SOURCE_PREFERENCE) -> list[Column]:
+    """Sort keys of usable candidates, best first: finer usable sync, finer parsed sync, preferred source, closest length."""
+    place = F.array_position(F.array(*[F.lit(s) for s in preference]), F.col("source"))
+    usable = effective_sync(F.col("sync"), F.col("declared"), F.col("text_only"))
+    return [-sync_rank(usable), -sync_rank(F.col("sync")), F.when(place > 0, place).otherwise(len(preference) + 1), F.abs(F.coalesce(F.col("duration"), audio_seconds) - audio_seconds)]
+
+
+def candidate_summary(candidates: DataFrame) -> DataFrame:
+    """One row per candidate for a report: what it is, how it was judged and what it may be used for."""
+    usable = effective_sync(F.col("sync"), F.col("declared"), F.col("text_only"))
+    return candidates.withColumns({"usable": ~F.col("rejected") & (F.col("n_words") > 0), "effective_sync": usable, "notes": F.array_compact(F.array("note", F.when(F.col("mismatch"), F.concat_ws(" ", F.lit("declared"), "declared", F.lit("but parsed as"), "sync"))))})
 
 
 def effective_sync(parsed: Column, declared: Column, text_only: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import pairwise_slopes
+from .slopes import median_slopes
 
 LEAST_WORDS, LEAST_POINTS, LEAST_DRIFT = 10, 6, 250
 #: A decision below this probability is flagged.
@@ -21,7 +21,7 @@ def offset_and_spread(pairs: DataFrame, a: str, b: str, by: str = "song") -> Dat
 
 def theil_sen(points: DataFrame, x: str, y: str, by: str = "song", least: float = 1000.0) -> DataFrame:
     """Median slope of all pairs and median residual; a constant for fewer than six points or a drift of at most 250 ms over the song."""
-    slopes = pairwise_slopes(points, x, y, by, least).groupBy(by).agg(F.median("slope").alias("_s"))
+    slopes = median_slopes(points, x, y, by, least).withColumnRenamed("slope", "_s")
     span = points.groupBy(by).agg(F.count("*").alias("_n"), (F.max(x) - F.min(x)).alias("_span"))
     slope = F.when((F.col("_n") < LEAST_POINTS) | F.col("_s").isNull() | (F.abs(F.col("_s") * F.col("_span")) <= LEAST_DRIFT), F.lit(0.0)).otherwise(F.col("_s"))
     known = points.join(span, by).join(slopes, by, "left").withColumn("slope", slope)

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 TOO_LONG, TOO_SHORT, OVERLAP, BIG_GAP, PAST_END, OUT_OF_ORDER = 6000, 30, 10, 4000, 500, 1000
 
 
-def word_issues(words: DataFrame, duration: Column | None = None, order: tuple[str, ...] = ("begin_ms", "word_id")) -> DataFrame:
-    """Words with ``issues``: too-long, too-short, past-end, and overlap or big-gap against the timed word before.
+def word_issues(words: DataFrame, duration: Column | None = None, track: tuple[str, ...] = ("song", "line_no", "track"), order: str = "word_no") -> DataFrame:
+    """Words with ``issues``: too-long, too-short, past-end, and overlap or big-gap against the word just before.
 
-    Words without times have no issue and are skipped by their neighbours.
+    A word is compared with the one before it in the same line and track, in
+    the document's order, and only if that one is timed.  Words without times
+    have no issue.
     """
     timed = F.col("begin_ms").isNotNull() & F.col("end_ms").isNotNull()
-    before = F.last(F.when(timed, F.col("end_ms")), ignorenulls=True).over(Window.partitionBy("song").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.lag(F.when(timed, F.col("end_ms"))).over(Window.partitionBy(*track).orderBy(order))
     length, gap = F.col("end_ms") - F.col("begin_ms"), F.col("begin_ms") - F.col("_before")
     checks = [F.when(length > TOO_LONG, "too-long"), F.when(length < TOO_SHORT, "too-short")]
     if duration is not None:
@@ -31,6 +33,11 @@ def out_of_order(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> Dat
     return lines.withColumn("_before", before).where(F.col("begin_ms") < F.col("_before") - OUT_OF_ORDER).drop("_before")
 
 
+def flagged_totals(checked: DataFrame, by: tuple[str, ...] = ("song",)) -> DataFrame:
+    """Words, flagged words and problems of each song."""
+    return checked.groupBy(*by).agg(F.count("*").alias("words"), F.count_if(F.size("issues") > 0).alias("flagged"), F.sum(F.size("issues")).cast("bigint").alias("problems"))
+
+
 def report(checked: DataFrame) -> DataFrame:
     """How often each issue occurs."""
     return checked.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))

@@ -40,39 +40,61 @@ def insertion_support(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_break_variant(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "conversations").where("text is not null").select(F.col("conv_id").alias("song"), F.col("turn").alias("line_no"), F.split_part(X.word_key(F.col("text")), F.lit(" "), F.lit(1)).alias("key"))
+    t = table(spark, sf, "conversations").where("text is not null").select(F.col("conv_id").alias("song"), F.col("turn").alias("line_no"), X.word_key(F.col("text")).alias("key"))
     w = Window.partitionBy("song").orderBy("line_no")
-    option = F.when(F.col("line_no") % 3 == 0, F.concat_ws(" ", "key", F.lead("key").over(w))).when(F.col("line_no") % 3 == 1, F.substring("key", 1, 2)).otherwise(F.lit("other"))
+    half = F.substring("key", F.lit(1), F.floor(F.length("key") / 2).cast("int"))
+    option = F.when(F.col("line_no") % 3 == 0, F.concat_ws(" ", "key", F.lead("key").over(w))).when(F.col("line_no") % 3 == 1, half).otherwise(F.lit("other"))
     t = t.withColumn("option", option)
     return compare.line_break_variant(t, F.col("option")).select("song", "line_no", "break_only")
 
 
+AUDIO = 200.0
+PREFERENCE = ("src3", "src1", "src2")
+
+
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates of the song named by ``doc_id % 50``."""
     words = F.size(F.filter(F.split(X.word_key(F.col("text")), " "), lambda w: w != ""))
-    sync = F.element_at(F.array(*[F.lit(x) for x in ("word", "line", "unsynced", "syllable")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return _docs(spark, sf).select("doc_id", (F.col("doc_id") % 50).alias("song"), "source", sync.alias("sync"), words.alias("n_words"), (F.col("n_chars") / 10).alias("duration"), (F.col("n_chars") / 9).alias("last_end"))
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    kinds = ("word", "line", "unsynced", "syllable")
+    length = F.when(F.col("doc_id") % 3 == 0, F.lit(AUDIO) + F.col("doc_id") % 7 - 3).when(F.col("doc_id") % 3 == 1, F.col("n_chars") / 10)
+    return _docs(spark, sf).select(
+        "doc_id", (F.col("doc_id") % 50).alias("song"), "source", pick(kinds, F.col("doc_id")).alias("sync"), pick(kinds, F.col("doc_id").cast("bigint") * 7 + 1).alias("declared"),
+        words.alias("n_words"), length.alias("duration"), (AUDIO + F.col("doc_id") % 9 - 4).cast("double").alias("last_end"))
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return select.judge(_candidates(spark, sf), F.lit(AUDIO))
 
 
 def judge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    c = select.judge(_candidates(spark, sf), F.lit(200.0))
-    return c.groupBy("song").agg(F.count_if("rejected").alias("rejected"), F.count_if(F.col("text_only") & ~F.col("rejected")).alias("text_only"), F.count("*").alias("n"))
+    return _judged(spark, sf).select("doc_id", "rejected", "reason", "text_only", "note", "mismatch")
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    c = select.judge(_candidates(spark, sf), F.lit(200.0)).where("not rejected")
-    sync = select.effective_sync(F.col("sync"), F.lit(None).cast("string"), F.col("text_only"))
-    return c.withColumn("r", select.sync_rank(sync)).withColumn("off", F.abs(F.round(F.col("duration") * 10).cast("bigint") - 2000))
+def candidate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    c = select.candidate_summary(_judged(spark, sf))
+    return c.select("doc_id", "source", "effective_sync", "n_words", "duration", "usable", F.array_join("notes", "; ").alias("notes"))
+
+
+def _order() -> list:
+    return [*select.candidate_order(F.lit(AUDIO), PREFERENCE), F.col("doc_id")]
 
 
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    c = select.ranked(_ranked(spark, sf), [F.desc("r"), F.asc("source"), F.asc("off"), F.asc("doc_id")], ("song",))
+    c = select.ranked(_judged(spark, sf).where("not rejected"), _order(), ("song",))
     return c.select("song", "doc_id", F.col("rank").cast("bigint").alias("place"))
 
 
 def best_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.struct("r", (-F.col("off")).alias("o"), (-F.col("doc_id")).alias("d"))
-    return select.best(_ranked(spark, sf), order, ("song",), ["doc_id", "source"])
+    """The first of each song's ranking, by an aggregation."""
+    order = F.struct(*[(-k).alias(f"k{i}") for i, k in enumerate(_order())])
+    return select.best(_judged(spark, sf).where("not rejected"), order, ("song",), ["doc_id", "source"])
+
+
+def first_word_synced(spark: SparkSession, sf: str) -> DataFrame:
+    """A word-timed candidate whose length fits ends the search: one is enough."""
+    fits = (F.col("sync").isin("word", "syllable")) & ~F.col("rejected") & ~F.col("text_only")
+    return _judged(spark, sf).where(fits).groupBy("song").agg(F.min("doc_id").alias("doc_id"))
 
 
 def best_rendition(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,9 +117,11 @@ def removal_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def union_sources(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf)
-    parts = [d.where(F.col("source") == s).select("doc_id", "source") for s in ("src1", "src2", "src3")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Documents, turns and pages as candidates of one shape."""
+    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.lit("documents").alias("source"), F.length("text").cast("bigint").alias("n"))
+    t = table(spark, sf, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("turns").alias("source"), F.length("text").cast("bigint").alias("n"))
+    p = table(spark, sf, "pages").where("html is not null").select(F.col("page_id").cast("string").alias("id"), F.lit("pages").alias("source"), F.length("html").cast("bigint").alias("n"))
+    return d.unionByName(t).unionByName(p)
 
 
 def fallback_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,15 +177,20 @@ def lcs_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
-    group_versions, version_labels, vocabulary, spelling_semi, insertion_support, line_break_variant, judge_candidates, rank_candidates, best_candidate, best_rendition, top_variants,
+    group_versions, version_labels, vocabulary, spelling_semi, insertion_support, line_break_variant, judge_candidates, candidate_summary, rank_candidates, best_candidate, first_word_synced, best_rendition, top_variants,
     removal_cap, union_sources, fallback_union, except_identical, membership_diff, toggle_selection, changed_fields, three_way_merge, version_decisions, lcs_pairs,
 ]
 
 _K = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ')"
-_CAND = rf"""cand AS (SELECT doc_id, doc_id % 50 AS song, source, ['word', 'line', 'unsynced', 'syllable'][doc_id % 4 + 1] AS sync,
-    len(list_filter(string_split({_K}, ' '), lambda w: w <> '')) AS n_words, n_chars / 10 AS duration, n_chars / 9 AS last_end, n_chars FROM documents WHERE text IS NOT NULL
-  ), judged AS (SELECT *, n_words < 12 AS rejected, coalesce(abs(duration - 200) > 3, false) OR coalesce(last_end > 203, false) AS text_only FROM cand
-  ), keyed AS (SELECT *, CASE WHEN text_only THEN 0 WHEN sync = 'syllable' THEN 3 WHEN sync = 'word' THEN 2 WHEN sync = 'line' THEN 1 ELSE 0 END AS r, abs(n_chars - 2000) AS diff FROM judged WHERE NOT rejected)"""
+_CAND = rf"""cand AS (SELECT doc_id, doc_id % 50 AS song, source, ['word', 'line', 'unsynced', 'syllable'][doc_id % 4 + 1] AS sync, ['word', 'line', 'unsynced', 'syllable'][(doc_id * 7 + 1) % 4 + 1] AS declared,
+    len(list_filter(string_split({_K}, ' '), lambda w: w <> '')) AS n_words, CASE doc_id % 3 WHEN 0 THEN 200.0 + doc_id % 7 - 3 WHEN 1 THEN n_chars / 10 END AS duration, 200.0 + doc_id % 9 - 4 AS last_end FROM documents WHERE text IS NOT NULL
+  ), j AS (SELECT *, n_words < 12 AS rejected, coalesce(abs(duration - 200) > 3, false) AS off, sync <> 'unsynced' AND last_end > 203 AS late FROM cand
+  ), judged AS (SELECT *, NOT rejected AND (off OR late) AS text_only, CASE WHEN rejected THEN 'only ' || n_words || ' words' END AS reason,
+      CASE WHEN rejected THEN NULL WHEN off THEN 'length ' || round(duration)::BIGINT || 's vs audio 200s: text only' WHEN late THEN 'timed past the audio end (' || last_end::BIGINT || 's > 200s): text only' END AS note,
+      NOT rejected AND declared IN ('word', 'syllable') AND sync NOT IN ('word', 'syllable') AS mismatch FROM j
+  ), keyed AS (SELECT *, CASE WHEN text_only THEN 0 ELSE list_position(['line', 'word', 'syllable'], sync) END AS r, list_position(['line', 'word', 'syllable'], sync) AS own,
+      CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 ELSE 4 END AS pref, abs(coalesce(duration, 200) - 200) AS diff FROM judged WHERE NOT rejected
+  ), placed AS (SELECT song, doc_id, source, row_number() OVER (PARTITION BY song ORDER BY coalesce(r, 0) DESC, coalesce(own, 0) DESC, pref, diff, doc_id) AS place FROM keyed)"""
 
 SQL = {
     "group_versions": f"SELECT md5({_K}) AS key, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
@@ -171,18 +200,22 @@ SQL = {
     "spelling_semi": f"""SELECT w AS word FROM (SELECT DISTINCT unnest(string_split({_K}, ' ')) AS w FROM conversations WHERE text IS NOT NULL) q
       WHERE w <> '' AND w IN (SELECT unnest(string_split({_K}, ' ')) FROM benchmark)""",
     "insertion_support": rf"WITH {DOC_LINES_SQL} SELECT line_no::BIGINT AS after, md5({_K.replace('text', 'line')}) AS key, count(DISTINCT source) AS support FROM doc_lines GROUP BY 1, 2 HAVING count(DISTINCT source) >= 2",
-    "line_break_variant": rf"""WITH t AS (SELECT conv_id AS song, turn AS line_no, split_part({_K}, ' ', 1) AS key FROM conversations WHERE text IS NOT NULL
+    "line_break_variant": rf"""WITH t AS (SELECT conv_id AS song, turn AS line_no, {_K} AS key FROM conversations WHERE text IS NOT NULL
       ), n AS (SELECT *, lead(key) OVER w AS nx, lag(key) OVER w AS pv FROM t WINDOW w AS (PARTITION BY song ORDER BY line_no)
-      ), o AS (SELECT *, CASE line_no % 3 WHEN 0 THEN concat_ws(' ', key, nx) WHEN 1 THEN substr(key, 1, 2) ELSE 'other' END AS opt FROM n)
+      ), o AS (SELECT *, CASE line_no % 3 WHEN 0 THEN concat_ws(' ', key, nx) WHEN 1 THEN substr(key, 1, length(key) // 2) ELSE 'other' END AS opt FROM n)
       SELECT song, line_no, opt = concat_ws(' ', key, nx) OR opt = concat_ws(' ', pv, key) OR (length(opt) < length(key) * 0.8 AND (starts_with(key, opt) OR ends_with(key, opt))) AS break_only FROM o""",
-    "judge_candidates": f"WITH {_CAND} SELECT song, count(*) FILTER (rejected) AS rejected, count(*) FILTER (text_only AND NOT rejected) AS text_only, count(*) AS n FROM judged GROUP BY song",
-    "rank_candidates": f"WITH {_CAND} SELECT song, doc_id, row_number() OVER (PARTITION BY song ORDER BY r DESC, source, diff, doc_id) AS place FROM keyed",
-    "best_candidate": f"WITH {_CAND} SELECT song, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY r DESC, diff, doc_id) AS k FROM keyed) q WHERE k = 1",
+    "judge_candidates": f"WITH {_CAND} SELECT doc_id, rejected, reason, text_only, note, mismatch FROM judged",
+    "rank_candidates": f"WITH {_CAND} SELECT song, doc_id, place FROM placed",
+    "best_candidate": f"WITH {_CAND} SELECT song, doc_id, source FROM placed WHERE place = 1",
+    "candidate_summary": f"""WITH {_CAND} SELECT doc_id, source, CASE WHEN text_only THEN 'unsynced' ELSE sync END AS effective_sync, n_words, duration, NOT rejected AND n_words > 0 AS usable,
+      concat_ws('; ', note, CASE WHEN mismatch THEN 'declared ' || declared || ' but parsed as ' || sync END) AS notes FROM judged""",
+    "first_word_synced": f"WITH {_CAND} SELECT song, min(doc_id) AS doc_id FROM judged WHERE sync IN ('word', 'syllable') AND NOT rejected AND NOT text_only GROUP BY song",
     "best_rendition": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem) q WHERE k = 1",
     "top_variants": """SELECT l_returnflag, l_suppkey, n FROM (SELECT l_returnflag, l_suppkey, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_suppkey) AS k FROM lineitem GROUP BY 1, 2) q WHERE k <= 3""",
     "removal_cap": """WITH t AS (SELECT conv_id, length(text) % 3 = 0 AS d, count(*) FILTER (length(text) % 3 = 0) OVER (PARTITION BY conv_id) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text IS NOT NULL)
       SELECT conv_id, count(*) AS kept FROM t WHERE NOT d OR k > n * 0.25 GROUP BY conv_id""",
-    "union_sources": "SELECT doc_id, source FROM documents WHERE text IS NOT NULL AND source IN ('src1', 'src2', 'src3')",
+    "union_sources": """SELECT doc_id::VARCHAR AS id, 'documents' AS source, length(text) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT conv_id || '-' || turn, 'turns', length(text) FROM conversations WHERE text IS NOT NULL
+      UNION ALL SELECT page_id::VARCHAR, 'pages', length(html) FROM pages WHERE html IS NOT NULL""",
     "fallback_union": """SELECT o_custkey, o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderpriority LIKE '2%'
       AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderpriority LIKE '1%')""",
     "except_identical": f"WITH d AS (SELECT doc_id, source, md5({_K}) AS key FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM d WHERE source <> 'src0' AND key NOT IN (SELECT key FROM d WHERE source = 'src0')",

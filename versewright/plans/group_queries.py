@@ -67,7 +67,7 @@ def move_to_background(spark: SparkSession, sf: str) -> DataFrame:
 
 def explicit_scan(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("word_no", "text"))
-    terms = table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("term"))
+    terms = table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("term"))
     return groups.explicit_hits(words, terms).groupBy("conv_id", "turn").agg(F.count("*").alias("hits"), F.min("word_no").cast("bigint").alias("first"))
 
 
@@ -95,6 +95,6 @@ SQL = {
     "merge_syllables": _S + " SELECT song, line_no, group_no, string_agg(kind || CASE WHEN word_id % 3 = 0 THEN ' ' ELSE '' END, '' ORDER BY word_no) AS text, arg_min(begin_ms, word_no) AS begin_ms, arg_max(end_ms, word_no) AS end_ms FROM grp GROUP BY song, line_no, group_no",
     "delete_words": f"WITH {LINED_SQL} SELECT word_id, row_number() OVER (PARTITION BY song, line_no ORDER BY word_no) - 1 AS word_no FROM lined WHERE kind <> 'error'",
     "move_to_background": f"WITH {LINED_SQL} SELECT word_id, CASE kind WHEN 'error' THEN 'bg' ELSE 'main' END AS track, row_number() OVER (PARTITION BY song, line_no, kind = 'error' ORDER BY begin_ms, word_id) - 1 AS word_no FROM lined",
-    "explicit_scan": r"""WITH k AS (SELECT DISTINCT regexp_replace(lower(split_part(text, ' ', 1)), '[^\p{L}\p{N}]+', '', 'g') AS k FROM benchmark), w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS t, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) - 1 AS i FROM conversations WHERE text IS NOT NULL)
+    "explicit_scan": r"""WITH k AS (SELECT DISTINCT regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS k FROM (SELECT unnest(string_split(text, ' ')) AS text FROM benchmark) b), w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS t, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) - 1 AS i FROM conversations WHERE text IS NOT NULL)
       SELECT conv_id, turn, count(*) AS hits, min(i) AS first FROM w WHERE regexp_replace(lower(t), '[^\p{L}\p{N}]+', '', 'g') IN (SELECT k FROM k WHERE k <> '') GROUP BY conv_id, turn""",
 }

@@ -130,20 +130,28 @@ def loudest_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def held_out_split(spark: SparkSession, sf: str) -> DataFrame:
-    """A fold of each order that depends on its key only."""
-    return table(spark, sf, "orders").groupBy((F.crc32(F.col("o_custkey").cast("string").cast("binary")) % 20).alias("fold")).agg(F.count("*").alias("n")).select("fold")
+    """A fold of each customer that depends on its key only: the first two hex digits of a digest."""
+    fold = F.conv(F.substring(F.md5(F.col("c_custkey").cast("string").cast("binary")), 1, 2), 16, 10).cast("bigint") % 20
+    return table(spark, sf, "customer").select("c_custkey", fold.alias("fold"), (fold == 0).alias("held_out"))
 
 
 def alternating_split(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "events").select("user_id").distinct()
-    n = F.row_number().over(Window.partitionBy(F.col("user_id") % 10).orderBy("user_id"))
-    return s.select("user_id", (n % 2).cast("bigint").alias("half"))
+    """Songs in order, every other one in the second half.
+
+    Songs are numbered inside ranges of ids, and each range goes on where the
+    one before it ended, so no task numbers all of them.
+    """
+    s = table(spark, sf, "events").select("user_id").distinct().withColumn("part", F.floor(F.col("user_id") / 100))
+    before = s.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # one row per range
+    n = F.row_number().over(Window.partitionBy("part").orderBy("user_id")) - 1
+    return s.withColumn("k", n).join(before, "part").select("user_id", ((F.col("k") + F.col("start")) % 2).cast("bigint").alias("half"))
 
 
 def job_list(spark: SparkSession, sf: str) -> DataFrame:
-    """The twenty jobs that started last, with their number of events."""
+    """All jobs, the one that started last first, with their number of events."""
     e = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("created"), F.count("*").alias("events"))
-    return e.orderBy(F.desc("created"), "user_id").limit(20).select("user_id", "events")
+    return e.withColumn("place", F.rank().over(Window.partitionBy(F.to_date("created")).orderBy(F.desc("created"), "user_id"))).orderBy(F.desc("created"), "user_id").select("user_id", "events", F.to_date("created").cast("string").alias("day"), F.col("place").cast("bigint").alias("place"))
 
 
 QUERIES = [
@@ -195,6 +203,7 @@ SQL = {
     "loudest_window": f"""WITH {WORDS_SQL}, h AS (SELECT song, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS start, value, begin_ms, word_id FROM words
       ), s AS (SELECT song, start, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY song ORDER BY start ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS BIGINT) AS total FROM h
       ), k AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY total DESC, start) AS k FROM s) SELECT song, start, total FROM k WHERE k = 1""",
-    "alternating_split": "SELECT user_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY user_id) % 2 AS half FROM (SELECT DISTINCT user_id FROM events) q",
-    "job_list": "SELECT user_id, count(*) AS events FROM events GROUP BY user_id ORDER BY min(ts) DESC, user_id LIMIT 20",
+    "held_out_split": "SELECT c_custkey, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 2))::BIGINT % 20 AS fold, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 2))::BIGINT % 20 = 0 AS held_out FROM customer",
+    "alternating_split": "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS half FROM (SELECT DISTINCT user_id FROM events) q",
+    "job_list": "SELECT user_id, n AS events, c::DATE::VARCHAR AS day, rank() OVER (PARTITION BY c::DATE ORDER BY c DESC, user_id) AS place FROM (SELECT user_id, count(*) AS n, min(ts) AS c FROM events GROUP BY user_id) q",
 }

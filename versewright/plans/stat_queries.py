@@ -75,13 +75,13 @@ def word_offset_mad(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def theil_sen(spark: SparkSession, sf: str) -> DataFrame:
-    w = in_lines(events_as_words(spark, sf), 1).where("line_no < 24").select("song", (F.col("line_no") * 4000).cast("double").alias("x"), (F.col("line_no") * 40 + F.floor(F.col("value"))).cast("double").alias("y"))
+    w = in_lines(events_as_words(spark, sf), 1).select("song", (F.col("line_no") * 4000).cast("double").alias("x"), (F.col("line_no") * 40 + F.floor(F.col("value"))).cast("double").alias("y"))
     return stats.theil_sen(w, "x", "y").select("song", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 def repeat_pattern(spark: SparkSession, sf: str) -> DataFrame:
     w = events_as_words(spark, sf).select("kind", (F.col("song") % 5).alias("word_no"), (F.floor(F.col("value")) + (F.col("song") % 5) * 100).cast("bigint").alias("rel_begin"))
-    return stats.repeat_pattern(w, ("kind",), "word_no", 258)
+    return stats.repeat_pattern(w, ("kind",), "word_no", 480)
 
 
 def line_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,13 +288,13 @@ SQL = {
       t AS (SELECT conv_id, turn, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), ' ')) AS w FROM conversations WHERE text IS NOT NULL) SELECT conv_id, turn, count(*) AS n FROM t JOIN k USING (w) GROUP BY 1, 2""",
     "word_offset_mad": f"""WITH {WORDS_SQL}, d AS (SELECT song, CAST(floor(value * 10) AS BIGINT) AS d FROM words), m AS (SELECT song, d, median(d) OVER (PARTITION BY song) AS o, count(*) OVER (PARTITION BY song) AS n FROM d)
       SELECT song, any_value(o) AS "offset", median(abs(d - o)) AS spread, any_value(n) AS words FROM m WHERE n >= 10 GROUP BY song""",
-    "theil_sen": f"""WITH {WORDS_SQL}, p AS (SELECT song, (pos * 4000)::DOUBLE AS x, (pos * 40 + floor(value))::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS pos FROM words) q WHERE pos < 24
+    "theil_sen": f"""WITH {WORDS_SQL}, p AS (SELECT song, (pos * 4000)::DOUBLE AS x, (pos * 40 + floor(value))::DOUBLE AS y FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS pos FROM words) q
       ), s AS (SELECT a.song, median((b.y - a.y) / (b.x - a.x)) AS s FROM p a JOIN p b ON a.song = b.song AND b.x - a.x > 1000 GROUP BY a.song
       ), k AS (SELECT p.*, s.s, count(*) OVER w AS n, max(x) OVER w - min(x) OVER w AS span FROM p LEFT JOIN s ON p.song = s.song WINDOW w AS (PARTITION BY p.song)
       ), f AS (SELECT *, CASE WHEN n < 6 OR s IS NULL OR abs(s * span) <= 250 THEN 0.0 ELSE s END AS slope FROM k)
       SELECT song, round(any_value(slope), 9) AS slope, round(median(y - slope * x), 6) AS intercept FROM f GROUP BY song""",
     "repeat_pattern": f"""WITH {WORDS_SQL}, r AS (SELECT kind, song % 5 AS word_no, CAST(floor(value) + (song % 5) * 100 AS BIGINT) AS r FROM words), m AS (SELECT *, median(r) OVER (PARTITION BY kind, word_no) AS p, count(*) OVER (PARTITION BY kind, word_no) AS n FROM r
-      ), k AS (SELECT *, max(abs(r - p)) OVER (PARTITION BY kind) AS worst FROM m) SELECT kind, word_no, any_value(p) AS pattern, any_value(n) AS repeats FROM k WHERE worst <= 258 GROUP BY kind, word_no""",
+      ), k AS (SELECT *, max(abs(r - p)) OVER (PARTITION BY kind) AS worst FROM m) SELECT kind, word_no, any_value(p) AS pattern, any_value(n) AS repeats FROM k WHERE worst <= 480 GROUP BY kind, word_no""",
     "line_confidence": f"WITH {LINED_SQL} SELECT song, line_no, round(CASE WHEN bool_and(value >= 5) THEN avg(confidence) ELSE 0 END, 9) AS confidence, round(avg((confidence < 0.2)::INT), 9) AS doubtful FROM lined GROUP BY song, line_no",
     "benchmark_metrics": _ERR + " SELECT s.song, round(aae, 6) AS aae, round(within_100, 6) AS within_100, round(within_300, 6) AS within_300, words, worst_drift FROM s JOIN d ON s.song = d.song",
     "macro_mean": _ERR + " SELECT round(avg(aae), 6) AS aae, round(avg(within_100), 6) AS within_100, round(avg(worst_drift), 6) AS worst_drift FROM s JOIN d ON s.song = d.song",

@@ -46,11 +46,11 @@ def throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stale_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Jobs whose last event is more than two days older than the newest of all."""
+    """Jobs that have not moved for two minutes before the newest event of all."""
     last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
     newest = table(spark, sf, "events").agg(F.max("ts").alias("newest")).withColumn("one", F.lit(1))
     met = last.withColumn("one", F.lit(1)).join(F.broadcast(newest), "one")  # a single row
-    return met.where(F.col("last") < F.col("newest") - F.expr("interval 2 hours")).select("user_id")
+    return met.where(F.col("last") < F.col("newest") - F.expr("interval 120 seconds")).select("user_id")
 
 
 def _song_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,12 +118,13 @@ def left_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def left_anti(spark: SparkSession, sf: str) -> DataFrame:
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an urgent order."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority like '1%'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
 def full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    d, l = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", "lang"), table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
+    d, l = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
     return d.join(l, d.doc_id == l.id, "full_outer").select(F.coalesce("doc_id", "id").alias("doc_id"), "lang", "quality")
 
 
@@ -173,7 +174,7 @@ SQL = {
       ), i AS (SELECT user_id, t, sum(s) OVER (PARTITION BY user_id ORDER BY t) AS i FROM g) SELECT user_id, min(t) AS start_us, count(*) AS n FROM i GROUP BY user_id, i""",
     "dedup_watermark": "SELECT event_id FROM events",
     "throttle": "SELECT user_id, epoch_us(ts) // 21600000000 * 21600 AS start_s, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
-    "stale_jobs": "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT user_id FROM l WHERE last < (SELECT max(last) FROM l) - INTERVAL 2 HOUR",
+    "stale_jobs": "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT user_id FROM l WHERE last < (SELECT max(last) FROM l) - INTERVAL 120 SECOND",
     "lrc_round_trip": _LINES + " SELECT song, line_no, begin_ms, text FROM l",
     "srt_round_trip": _LINES + " SELECT song, line_no, begin_ms, begin_ms + 4000 AS end_ms, text FROM l",
     "qrc_round_trip": _WORDS,
@@ -186,8 +187,8 @@ SQL = {
     "intersect": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "except_all": "SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) q GROUP BY nation",
     "left_semi": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1",
-    "left_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "full_outer": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id",
+    "left_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')",
+    "full_outer": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
     "broadcast_join": "SELECT r_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "range_join": "SELECT x.o_orderkey AS a, y.o_orderkey AS other FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey <> y.o_orderkey AND CAST(y.o_orderdate AS DATE) - CAST(x.o_orderdate AS DATE) BETWEEN 0 AND 2",
     "ntile_rank": "SELECT p_partkey, ntile(4) OVER w AS quartile, round(percent_rank() OVER w, 6) AS pct, round(cume_dist() OVER w, 6) AS cume FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)",

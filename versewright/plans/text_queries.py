@@ -69,7 +69,7 @@ def join_punctuation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capitalize_first(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.substring(X.capitalised(F.lower("text")), 1, 20).alias("head"))
+    return table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.md5(X.capitalised(F.lower("text"))).alias("digest"))
 
 
 def sync_detect(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +205,7 @@ SQL = {
       ), g AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(token, '^[.,!?]+$') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS BIGINT) AS g FROM t)
       SELECT conv_id, turn, g, string_agg(token, '' ORDER BY i) AS word FROM g GROUP BY conv_id, turn, g""",
     "capitalize_first": r"""WITH c AS (SELECT conv_id, turn, lower(text) AS t, length(regexp_extract(lower(text), '^([^\p{L}]*)', 1)) AS k FROM conversations WHERE text IS NOT NULL)
-      SELECT conv_id, turn, substr(substr(t, 1, k) || upper(substr(t, k + 1, 1)) || substr(t, k + 2), 1, 20) AS head FROM c""",
+      SELECT conv_id, turn, md5(substr(t, 1, k) || upper(substr(t, k + 1, 1)) || substr(t, k + 2)) AS digest FROM c""",
     "sync_detect": "SELECT CASE word_id % 3 WHEN 0 THEN 'line' WHEN 1 THEN 'word' ELSE 'unsynced' END AS sync, count(*) AS n FROM (SELECT event_id AS word_id FROM events) q GROUP BY 1",
     "url_host": r"SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') AS host FROM pages",
     "video_id": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN NULL ELSE lpad(page_id::VARCHAR, 11, 'v') END AS video FROM pages",

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import timing, validate
-from ..schema import LINED_SQL, WORDS_SQL, events_as_words, in_lines, table
+from ..schema import LINED_SQL, SONG_SQL, WORDS_SQL, events_as_words, in_lines, song_words, table
 
 DURATION = 2_591_000_000_000  # a song end that no event reaches; ``past_end`` uses its own
 
 
 def _checked(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.word_issues(events_as_words(spark, sf))
+    return validate.word_issues(song_words(spark, sf))
 
 
 def validate_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,9 +20,7 @@ def validate_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validate_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark, sf).groupBy("song").agg(
-        F.count("*").alias("words"), F.count_if(F.size("issues") > 0).alias("flagged"), F.sum(F.size("issues")).cast("bigint").alias("problems")
-    )
+    return validate.flagged_totals(_checked(spark, sf))
 
 
 def too_long_short(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,14 +34,16 @@ def overlap_gap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def past_end(spark: SparkSession, sf: str) -> DataFrame:
-    w = events_as_words(spark, sf)
+    w = song_words(spark, sf)
     last = w.groupBy("song").agg(F.max("begin_ms").alias("duration"))
     return validate.word_issues(w.join(last, "song"), F.col("duration")).where(F.array_contains("issues", "past-end")).select("word_id", "song")
 
 
 def out_of_order(spark: SparkSession, sf: str) -> DataFrame:
-    lines = events_as_words(spark, sf).withColumnRenamed("word_id", "line_no")
-    return validate.out_of_order(lines).select("song", "line_no", "begin_ms")
+    """A line begins with its surest word, which may be any."""
+    lines = song_words(spark, sf).groupBy("song", "line_no").agg(F.max_by("begin_ms", F.struct("confidence", "word_id")).alias("begin_ms"))
+    jumped = lines.withColumn("begin_ms", F.when(F.col("line_no") % 3 == 1, F.col("begin_ms") - 60_000).otherwise(F.col("begin_ms")))
+    return validate.out_of_order(jumped).select("song", "line_no", "begin_ms")
 
 
 def _line_starts(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,10 +175,10 @@ QUERIES = [
     follow_voice, line_window, gap_slots, absorb_deleted,
 ]
 
-_ISSUES = f"""WITH {WORDS_SQL}, near AS (
-  SELECT *, lag(end_ms) OVER (PARTITION BY song ORDER BY begin_ms, word_id) AS before FROM words
+_ISSUES = f"""WITH {SONG_SQL}, near AS (
+  SELECT *, lag(end_ms) OVER (PARTITION BY song, line_no, track ORDER BY word_no) AS before FROM sw
 ), checked AS (
-  SELECT *, end_ms - begin_ms > 6000 AS too_long, end_ms - begin_ms < 30 AS too_short, coalesce(begin_ms - before < -10, false) AS overlap, coalesce(begin_ms - before > 4000, false) AS big_gap FROM near
+  SELECT *, coalesce(end_ms - begin_ms > 6000, false) AS too_long, coalesce(end_ms - begin_ms < 30, false) AS too_short, coalesce(begin_ms - before < -10, false) AS overlap, coalesce(begin_ms - before > 4000, false) AS big_gap FROM near
 )"""
 _STARTS = f"WITH {LINED_SQL}, starts AS (SELECT song, line_no, min(begin_ms) AS begin_ms, max(end_ms) AS end_ms, count(*) AS n_words, min(value) AS value FROM lined GROUP BY song, line_no)"
 _SYLL = f"""WITH {LINED_SQL}, syl AS (SELECT *, kind || CASE WHEN word_id % 3 = 0 THEN ' ' ELSE '' END AS text FROM lined
@@ -196,8 +196,10 @@ SQL = {
         CAST(sum(too_long::INT + too_short::INT + overlap::INT + big_gap::INT) AS BIGINT) AS problems FROM checked GROUP BY song""",
     "too_long_short": _ISSUES + " SELECT word_id, end_ms - begin_ms AS length_ms FROM checked WHERE too_long OR too_short",
     "overlap_gap": _ISSUES + " SELECT song, count(*) FILTER (overlap) AS overlaps, count(*) FILTER (big_gap) AS big_gaps FROM checked GROUP BY song",
-    "past_end": f"WITH {WORDS_SQL} SELECT word_id, song FROM (SELECT *, max(begin_ms) OVER (PARTITION BY song) AS duration FROM words) q WHERE end_ms > duration + 500",
-    "out_of_order": f"WITH {WORDS_SQL} SELECT song, line_no, begin_ms FROM (SELECT song, word_id AS line_no, begin_ms, lag(begin_ms) OVER (PARTITION BY song ORDER BY word_id) AS before FROM words) q WHERE begin_ms < before - 1000",
+    "past_end": f"WITH {SONG_SQL} SELECT word_id, song FROM (SELECT *, max(begin_ms) OVER (PARTITION BY song) AS duration FROM sw) q WHERE end_ms > duration + 500",
+    "out_of_order": f"""WITH {SONG_SQL}, l AS (SELECT song, line_no, arg_max(CASE WHEN begin_ms IS NULL THEN -1 ELSE begin_ms END, (confidence, word_id)) AS b FROM sw GROUP BY 1, 2
+      ), j AS (SELECT song, line_no, CASE WHEN b < 0 THEN NULL WHEN line_no % 3 = 1 THEN b - 60000 ELSE b END AS begin_ms FROM l)
+      SELECT song, line_no, begin_ms FROM (SELECT *, last_value(begin_ms IGNORE NULLS) OVER (PARTITION BY song ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM j) q WHERE begin_ms < before - 1000""",
     "local_offsets": f"""WITH {WORDS_SQL}, o AS (
         SELECT song, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS line_no, CASE WHEN confidence >= 0.5 THEN CAST(round(value * 100) AS BIGINT) END AS off FROM words)
       SELECT song, CAST(line_no AS INT) AS line_no, CAST(CASE WHEN count(off) OVER (PARTITION BY song) >= 3 THEN
