@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from versewright.functions import text as X
 from versewright.functions import timecode as C
-from versewright.operators import align, compare, edits, joins, select, slopes, stats, timing, validate
+from versewright.operators import align, compare, edits, joins, repair, select, slopes, stats, timing, validate
 from versewright.sources import formats, lyrics_source
 
 
@@ -270,3 +270,27 @@ def test_merge_and_selection(spark):
 def test_best_audio(spark):
     df = spark.createDataFrame([("t", 128.0, False, 1), ("t", 129.5, True, 2), ("t", 129.5, False, 3)], "track string, rate double, m4a boolean, id int")
     assert select.best(df, F.struct("rate", "m4a"), ("track",), ["id"]).first()["id"] == 2
+
+
+def test_weak_words_are_anchored_again(spark):
+    w = [(0, 0, 400, 0.9), (1, 2000, 2600, 0.01), (2, 5000, 5200, 0.9), (3, 9000, 9100, 0.02), (4, None, None, 0.0), (5, 9900, 10_000, 0.04)]
+    df = spark.createDataFrame([("a", 0, "main", *x) for x in w], "song string, line_no int, track string, word_no int, begin_ms bigint, end_ms bigint, confidence double")
+    got = [(r["begin_ms"], r["end_ms"], r["moved"]) for r in repair.reanchored(df).orderBy("word_no").collect()]
+    assert got == [(0, 400, False), (4600, 5000, True), (5000, 5200, False), (5200, 5300, True), (None, None, False), (9900, 10_000, False)]
+
+
+def test_lines_are_anchored_by_a_transcript(spark):
+    lines = ["you never heard this song before", "oh", "because nobody sang it louder", "la la", "goodbye my friend"]
+    words = [("s", n, k, t) for n, line in enumerate(lines) for k, t in enumerate(line.split())]
+    heard = [("s", 0, 0, "heard", 10_000.0), ("s", 0, 1, "this", 10_400.0), ("s", 1, 0, "nobody", 20_000.0), ("s", 1, 1, "sang", 20_500.0), ("s", 2, 0, "my", 15_000.0), ("s", 2, 1, "friend", 15_500.0)]
+    out = repair.anchored_lines(
+        spark.createDataFrame([("s", n, 60_000) for n in range(5)] + [("t", 0, 9_000)], "song string, line_no int, duration_ms bigint"),
+        spark.createDataFrame(words + [("t", 0, 0, "x")], "song string, line_no int, word_no int, text string"),
+        spark.createDataFrame(heard, "song string, line_no int, word_no int, key string, heard_ms double"),
+    )
+    got = {(r["song"], r["line_no"]): (r["begin_ms"], r["end_ms"], r["matched"]) for r in out.collect()}
+    # Stepped back two words; "oh" after six of seven words; the third match goes back in time and is placed behind the line before.
+    assert got["s", 0] == (9400.0, pytest.approx(9400 + 10_300 * 6 / 7), True)
+    assert got["s", 2][0] == 19_700.0 and got["s", 2][2] and got["s", 1] == (pytest.approx(9400 + 10_300 * 6 / 7), 19_700.0, False)
+    assert got["s", 3][0] == 19_700 + 5 * 600 and got["s", 4][:2] == (19_700 + 7 * 600, 19_700 + 7 * 600 + 2000) and got["s", 4][2]
+    assert got["t", 0] == (None, None, False)

@@ -173,3 +173,50 @@ def han_pieces(text: Column) -> Column:
 def terms_match(text: Column, terms: Column) -> Column:
     """Whether every term, lower-cased, is contained in the text."""
     return F.forall(F.filter(F.split(F.lower(F.trim(terms)), r"\s+"), lambda t: t != ""), lambda t: F.contains(F.lower(text), t))
+
+
+def names_title(line: Column, title: Column) -> Column:
+    """Whether a line only names the song: it begins with the title and holds " - "."""
+    return F.startswith(F.lower(line), F.lower(title)) & F.contains(line, F.lit(" - "))
+
+
+def token_clean(text: Column) -> Column:
+    """Letters, digits and apostrophes only."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}']", "")
+
+
+def clean_marks(text: Column, mark: str = "|", strip: bool = False) -> Column:
+    """Split marks without repeats and not at the edge of a word; without any if ``strip``."""
+    if strip:
+        return F.replace(text, F.lit(mark), F.lit(""))
+    one = F.regexp_replace(text, rf"[{mark}]+", mark)
+    return F.regexp_replace(one, rf"(^|\s)[{mark}]|[{mark}]($|\s)", "$1$2")
+
+
+def split_marked(text: Column, mark: str = "|") -> Column:
+    """Pieces of a text cut at white space and split marks, as ``(text, spaced)``: whether a space follows."""
+    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    cut = lambda t: F.filter(F.split(t, rf"[{mark}]"), lambda x: x != "")
+    last = F.size(words) - 1
+    return F.flatten(F.transform(words, lambda t, i: F.transform(cut(t), lambda x, j: F.struct(x.alias("text"), ((j == F.size(cut(t)) - 1) & (i < last)).alias("spaced")))))
+
+
+def transliteration_text(text: Column) -> Column:
+    """A reading with one space inside its words and two between them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s{2,}", "\x01"), r"\s", " "), "\x01", "  "))
+
+
+def transliteration_groups(text: Column) -> Column:
+    return F.filter(F.split(transliteration_text(text), " {2}"), lambda g: g != "")
+
+
+def separator_runs(text: Column) -> Column:
+    """Runs of white space and dashes as ``(kind, size)``."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\s\-‐-―]+"), 0)
+    return F.transform(runs, lambda r: F.struct(F.when(r.rlike(r"[\-‐-―]"), "dash").otherwise("space").alias("kind"), F.length(r).alias("size")))
+
+
+def source_fingerprint(text: Column, background: Column, mark: str = "|") -> Column:
+    """Equal for equal texts on both tracks, split marks aside; only equality means anything."""
+    bare = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(mark), F.lit(""))
+    return F.md5(F.concat(bare(text), F.lit("\x00"), bare(background)))
