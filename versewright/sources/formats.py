@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,33 +117,93 @@ def read_srt(docs: DataFrame, song: str = "song", content: str = "content") -> D
     return blocks.select(song, F.col("_pos").alias("line_no"), ms(1).alias("begin_ms"), ms(5).alias("end_ms"), F.regexp_replace(F.regexp_extract("_raw", form, 9), r"^\s+|\s+$", "").alias("text"))
 
 
+#: Roles of spans that stand beside a line's own text, and the format's namespaces.
+SIDE_ROLES = ("x-bg", "x-translation", "x-roman")
+NAMESPACES = {"": "http://www.w3.org/ns/ttml", ":ttm": "http://www.w3.org/ns/ttml#metadata", ":itunes": "http://music.apple.com/lyric-ttml-internal"}
+
+
 def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
-def parse_ttml(content: str) -> list[tuple]:
-    """``(line_no, track, word_no, begin_ms, end_ms, text, agent)`` of one TTML document; nothing for a malformed one.
-
-    White space between spans decides where words end, which is why this is
-    Python: Spark's XML source drops it.
-    """
+def _root(content: str):
+    """The document's root; prefixes that are used without a declaration get one.  None if it can't be read."""
     import xml.etree.ElementTree as ET
 
     used = set(re.findall(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]", content)) - {"xml", "xmlns"}
     declared = set(re.findall(r"xmlns:([\w.-]+)=", content))
     extra = "".join(f' xmlns:{p}="urn:{p}"' for p in sorted(used - declared))
-    content = re.sub(r"<tt\b", f"<tt{extra}", content, count=1)
     try:
-        root = ET.fromstring(content)
+        return ET.fromstring(re.sub(r"<tt\b", f"<tt{extra}", content, count=1))
     except ET.ParseError:
+        return None
+
+
+def _attribute(element, name: str) -> str | None:
+    return next((v for k, v in element.attrib.items() if _local(k) == name), None)
+
+
+def parse_ttml_head(content: str) -> dict | None:
+    """Title, artists, album, songwriters, language, duration and agents of one document; None for a malformed one."""
+    root = _root(content)
+    if root is None:
+        return None
+    out: dict = {"title": None, "artists": [], "album": None, "songwriters": [], "language": _attribute(root, "lang") or None, "duration_ms": None, "agents": []}
+    for e in root.iter():
+        name, text = _local(e.tag), (e.text or "").strip()
+        key, value = e.attrib.get("key"), e.attrib.get("value")
+        if name == "title" and text:
+            out["title"] = out["title"] or text
+        elif name == "songwriter" and text:
+            out["songwriters"].append(text)
+        elif name == "body":
+            out["duration_ms"] = _ms(e.attrib.get("dur"))
+        elif name == "agent" and _attribute(e, "id"):
+            inner = next((c.text for c in e if _local(c.tag) == "name" and c.text), None)
+            out["agents"].append({"id": _attribute(e, "id"), "kind": e.attrib.get("type", "person"), "name": inner})
+        elif name == "meta" and value:
+            if key == "album":
+                out["album"] = value
+            elif key in ("artists", "songwriter", "songwriters"):
+                out["artists" if key == "artists" else "songwriters"].append(value)
+    return out
+
+
+HEAD = "title string, artists array<string>, album string, songwriters array<string>, language string, duration_ms bigint, agents array<struct<id: string, kind: string, name: string>>"
+
+
+def read_ttml_head(docs: DataFrame, song: str = "song", content: str = "content") -> DataFrame:
+    """One row of head fields per readable document."""
+    kind = docs.schema[song].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{song: s} | head for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (head := parse_ttml_head(c or "")) is not None]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = docs.sparkSession.createDataFrame([], f"`{song}` {kind}, {HEAD}").schema
+    arrow = to_arrow_schema(schema)
+    return docs.select(song, content).mapInArrow(run, schema)
+
+
+def parse_ttml(content: str) -> list[tuple]:
+    """``(line_no, track, word_no, begin_ms, end_ms, text, agent)`` of one TTML document; nothing for a malformed one.
+
+    White space between spans decides where words end, which is why this is
+    Python: Spark's XML source drops it.
+    """
+    root = _root(content)
+    if root is None:
         return []
-    attr = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+    attr = _attribute
     out: list[tuple] = []
 
     def spans(parent, skip: bool) -> list[tuple]:
         found = []
         for child in parent:
-            if _local(child.tag) != "span" or skip and attr(child, "role") == "x-bg":
+            if _local(child.tag) != "span" or skip and attr(child, "role"):
                 continue
             begin, end = _ms(attr(child, "begin")), _ms(attr(child, "end"))
             if begin is None:
@@ -156,12 +217,16 @@ def parse_ttml(content: str) -> list[tuple]:
         agent = (attr(p, "agent") or "").lstrip("#") or None
         rows = [("main", *s) for s in spans(p, True)]
         for bg in (e for e in p if _local(e.tag) == "span" and attr(e, "role") == "x-bg"):
-            rows += [("bg", *s) for s in spans(bg, False)]
+            timed = spans(bg, False)
+            rows += [("bg", *s) for s in timed] if timed else [("bg", None, None, w) for w in "".join(bg.itertext()).split()]
+        if not any(r[0] == "main" for r in rows):
+            # Backgrounds, translations and readings are not part of the line's own text.
+            own = [p.text or ""] + [("" if attr(c, "role") in SIDE_ROLES else "".join(c.itertext())) + (c.tail or "") for c in p]
+            text = " ".join("".join(own).split())
+            if text:
+                rows.insert(0, ("main", _ms(attr(p, "begin")), _ms(attr(p, "end")), text))
         if not rows:
-            text = " ".join("".join(p.itertext()).split())
-            if not text:
-                continue
-            rows = [("main", _ms(attr(p, "begin")), _ms(attr(p, "end")), text)]
+            continue
         counts: dict[str, int] = {}
         for track, begin, end, text in rows:
             counts[track] = counts.get(track, -1) + 1
@@ -228,14 +293,74 @@ def write_qrc(words: DataFrame, song: str = "song") -> DataFrame:
     return _document(lines, song, "line_no", line, "\n", tail="\n")
 
 
-def write_ttml(words: DataFrame, song: str = "song") -> DataFrame:
-    """``song, content``: one ``p`` per line with a running key, one span per word; a word's trailing space stands between spans."""
-    trimmed = F.rtrim("text")
-    word = F.concat(F.lit('<span begin="'), C.encode_ttml(F.col("begin_ms")), F.lit('" end="'), C.encode_ttml(F.col("end_ms")), F.lit('">'), X.escape_xml(trimmed), F.lit("</span>"), F.when(F.col("text").endswith(" "), " ").otherwise(""))
-    lines = _word_lines(words, song, word).withColumn("_n", F.row_number().over(Window.partitionBy(song).orderBy("line_no")))
-    p = F.concat(F.lit('<p begin="'), C.encode_ttml(F.col("begin_ms")), F.lit('" end="'), C.encode_ttml(F.col("end_ms")), F.lit('" itunes:key="L'), F.col("_n").cast("string"), F.lit('">'), F.rtrim("text"), F.lit("</p>"))
-    head = F.lit('<tt xmlns="http://www.w3.org/ns/ttml" xmlns:itunes="http://music.apple.com/lyric-ttml-internal"><body><div>')
-    return _document(lines, song, "_n", p, "", head, "</div></body></tt>")
+def _spans(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of each group of words; a word's trailing space stands between spans, none behind the last."""
+    word = F.concat(F.lit('<span begin="'), C.encode_ttml(F.col("begin_ms")), F.lit('" end="'), C.encode_ttml(F.col("end_ms")), F.lit('">'), X.escape_xml(F.rtrim("text")), F.lit("</span>"), F.when(F.col("text").endswith(" "), " ").otherwise(""))
+    parts = F.sort_array(F.collect_list(F.struct("word_no", word.alias("t"))))
+    return words.groupBy(*keys).agg(F.rtrim(F.array_join(F.transform(parts, lambda p: p["t"]), "")).alias("text"), F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"))
+
+
+def _head(meta: DataFrame, agents: DataFrame, song: str) -> DataFrame:
+    """``(song, _head, _attrs, _dur)`` of the document's head."""
+    quoted = lambda c: X.escape_xml(c, quotes=True)
+    tag = lambda key, c: F.concat(F.lit(f'<meta key="{key}" value="'), quoted(c), F.lit('"/>'))
+    own = F.when(F.col("name").isNull(), F.lit("/>")).otherwise(F.concat(F.lit("><ttm:name>"), X.escape_xml(F.col("name")), F.lit("</ttm:name></ttm:agent>")))
+    agent = F.concat(F.lit('<ttm:agent xml:id="'), quoted(F.col("id")), F.lit('" type="'), quoted(F.col("kind")), F.lit('"'), own)
+    voices = agents.groupBy(song).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", agent.alias("t")))), lambda x: x["t"]), "").alias("_v"))
+    title = F.concat(F.lit("<ttm:title>"), X.escape_xml(F.col("title")), F.lit("</ttm:title>"))
+    listed = lambda key, c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda a: tag(key, a)), "")
+    head = F.concat(F.lit("<head><metadata>"), *[F.coalesce(x, F.lit("")) for x in (title, listed("artists", F.col("artists")), tag("album", F.col("album")), listed("songwriter", F.col("songwriters")), F.col("_v"))], F.lit("</metadata></head>"))
+    language = F.concat(F.lit(' xml:lang="'), quoted(F.col("language")), F.lit('"'))
+    length = F.concat(F.lit(' dur="'), C.encode_ttml(F.col("duration_ms")), F.lit('"'))
+    return meta.join(voices, song, "left").select(song, head.alias("_head"), F.coalesce(language, F.lit("")).alias("_lang"), F.coalesce(length, F.lit("")).alias("_dur"))
+
+
+def write_ttml(words: DataFrame, song: str = "song", meta: DataFrame | None = None, agents: DataFrame | None = None) -> DataFrame:
+    """``song, content``: one ``p`` per line with a running key, one span per word.
+
+    ``words`` may have a ``track`` (bg words go into a background span of
+    their line) and an ``agent``.  ``meta`` (title, artists, album,
+    songwriters, language, duration_ms) and ``agents`` (id, kind, name) make
+    the head, one row of ``meta`` per song.
+    """
+    words = words if "track" in words.columns else words.withColumn("track", F.lit("main"))
+    words = words if "agent" in words.columns else words.withColumn("agent", F.lit(None).cast("string"))
+    side = _spans(words, [song, "line_no", "track"])
+    pick = lambda t: F.max(F.when(F.col("track") == t, F.col("text")))
+    lines = side.groupBy(song, "line_no").agg(pick("main").alias("_m"), pick("bg").alias("_b"), F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"))
+    lines = lines.join(words.groupBy(song, "line_no").agg(F.min("agent").alias("agent")), [song, "line_no"])
+    lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy(song).orderBy("line_no")))
+    voice = F.coalesce(F.concat(F.lit('" ttm:agent="'), X.escape_xml(F.col("agent"), quotes=True)), F.lit(""))
+    background = F.coalesce(F.concat(F.lit('<span ttm:role="x-bg">'), "_b", F.lit("</span>")), F.lit(""))
+    p = F.concat(F.lit('<p begin="'), C.encode_ttml(F.col("begin_ms")), F.lit('" end="'), C.encode_ttml(F.col("end_ms")), F.lit('" itunes:key="L'), F.col("_n").cast("string"), voice, F.lit('">'), F.coalesce("_m", F.lit("")), background, F.lit("</p>"))
+    spaces = "".join(f' xmlns{k}="{v}"' for k, v in NAMESPACES.items())
+    body = _document(lines, song, "_n", p, "", F.lit(""), "</div></body></tt>")
+    if meta is None:
+        return body.select(song, F.concat(F.lit(f"<tt{spaces}><body><div>"), "content").alias("content"))
+    none = agents if agents is not None else meta.select(song, *[F.lit(None).cast("string").alias(c) for c in ("id", "kind", "name")]).limit(0)
+    full = body.join(_head(meta, none, song), song, "left")
+    start = F.concat(F.lit(f"<tt{spaces}"), F.coalesce("_lang", F.lit("")), F.lit(">"), F.coalesce("_head", F.lit("")), F.lit("<body"), F.coalesce("_dur", F.lit("")), F.lit("><div>"))
+    return full.select(song, F.concat(start, "content").alias("content"))
+
+
+def write_lrc_words(words: DataFrame, song: str = "song", title: Column | None = None) -> DataFrame:
+    """``song, content``: enhanced lines ``[mm:ss.cc]<mm:ss.cc>word …<mm:ss.cc>``, the last stamp being the line's end."""
+    stamp = lambda c: F.concat(F.lit("<"), C.encode_lrc(F.col(c)), F.lit(">"))
+    parts = F.sort_array(F.collect_list(F.struct("word_no", F.concat(stamp("begin_ms"), "text").alias("t"))))
+    lines = words.groupBy(song, "line_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.min("begin_ms").alias("begin_ms"), F.max("end_ms").alias("end_ms"))
+    line = F.concat(F.lit("["), C.encode_lrc(F.col("begin_ms")), F.lit("]"), "text", stamp("end_ms"))
+    head = F.concat(F.lit("[ti:"), F.first(title), F.lit("]\n")) if title is not None else None
+    return _document(lines, song, "line_no", line, "\n", head, "\n")
+
+
+def write_all(words: DataFrame, lines: DataFrame, song: str = "song") -> DataFrame:
+    """``song, format, content`` of every song in every format that its timing allows."""
+    made = {"lrc": write_lrc(lines, song), "srt": write_srt(lines, song), "qrc": write_qrc(words, song), "ttml": write_ttml(words, song), "elrc": write_lrc_words(words, song)}
+    out = None
+    for name, df in made.items():
+        df = df.select(song, F.lit(name).alias("format"), "content")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def read_any(docs: DataFrame, song: str = "song", content: str = "content", kind: str = "format") -> DataFrame:
