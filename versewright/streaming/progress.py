@@ -47,7 +47,7 @@ def deduplicated(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def throttled(events: DataFrame, width: str = "250 milliseconds") -> DataFrame:
-    """At most one progress value per job and window, the latest; a value of one always passes."""
+    """At most one progress value per job and window, the latest."""
     latest = F.max_by(F.struct("value", "event_id"), F.struct("ts", "event_id"))
     return events.withWatermark("ts", LATE).groupBy(F.window("ts", width), "user_id").agg(latest.alias("last"))
 
@@ -60,7 +60,7 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame], None] | None = None,
     batch is the result, in append and update mode all are.
     """
     spark = stream.sparkSession
-    base = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -74,7 +74,7 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame], None] | None = None,
     return done.drop("batch")
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
