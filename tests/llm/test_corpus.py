@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -256,6 +257,73 @@ def test_html(spark):
     assert (got[1]["text"], got[1]["n_chars"], got[2]["text"], got[None]["n_chars"]) == (want, len(want), "", 0)
 
 
+def naive_main_text(page):
+    """The tree scoring of well-formed pages without classes, by its definition on a parsed tree."""
+    root = ElementTree.fromstring(page)
+    above = {c: n for n in root.iter() for c in n}
+    order = list(root.iter())
+    leaves = [n for n in order if n.tag in ("p", "li")]
+    words = {n: " ".join("".join(n.itertext()).split()) for n in leaves}
+    bare = lambda t: len("".join(t.split()))
+    linked = {n: sum(bare("".join(a.itertext())) for a in n.iter("a")) for n in leaves}
+    starts = {n: len(list(n.iter("a"))) for n in leaves}
+    leaves = [n for n in leaves if words[n]]
+    inside = lambda n: [x for x in leaves if x in set(n.iter())]
+    total = lambda n, of: sum(of[x] for x in inside(n))
+    size = {n: len(words[n]) for n in leaves}
+    density = lambda n: min(1.0, total(n, linked) / total(n, size)) if total(n, size) else 0.0
+    points = dict.fromkeys(order, 0.0)
+    for n in leaves:
+        if size[n] >= 25:
+            score = (1 + words[n].count(",") + min(size[n] / 100, 3)) * (1 - min(1.0, linked[n] / size[n]))
+            up, weights = above.get(n), iter((1, 2, 6, 9, 12))
+            while up is not None and (w := next(weights, None)):
+                points[up] += score / w
+                up = above.get(up)
+    final = {n: points[n] * (1 - density(n)) for n in order}
+    best = max(order, key=lambda n: (final[n], -order.index(n)))
+    if final[best] <= 0:
+        return "\n".join(words[n] for n in leaves if linked[n] * 2 <= size[n])
+    kept = {best} | {n for n in order if best in above and above.get(n) is above[best] and total(n, size) and (final[n] >= max(10.0, 0.2 * final[best]) or n.tag in ("p", "li") and density(n) < 0.25)}
+    menu = lambda n: n.tag in ("ul", "div", "section") and density(n) > 0.8 and total(n, starts) > 1 and total(n, linked) < html_extract.MENU_LINK * total(n, starts)
+
+    def taken(n):
+        while n is not None:
+            if n in kept:
+                return True
+            if menu(n):
+                return False
+            n = above.get(n)
+        return False
+
+    return "\n".join(words[n] for n in leaves if taken(n))
+
+
+def test_tree_scores_match_a_naive_version():
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "epsilon"]) for _ in range(n))
+
+    def part(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return f"<p>{text(rng.randint(0, 25))}{' <a>' + text(rng.randint(1, 4)) + '</a> ' + text(2) if rng.random() < 0.3 else ''}</p>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li><a>{text(rng.randint(1, 6))}</a>{text(rng.choice([0, 0, 9]))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+        tag = rng.choice(["div", "section"])
+        return f"<{tag}>" + "".join(part(depth + 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(400):
+        page = "<body>" + "".join(part(0) for _ in range(rng.randint(1, 5))) + "</body>"
+        assert html_extract.main_text(page) == naive_main_text(page), page
+
+
+def test_repeated_pages_are_treated_alike(spark):
+    rows = [(1, "u", PAGE)] * 3 + [(2, "u", "<font>" * 500 + "<p>kept text</p>" + "<span class='share'>gone</span> still here")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert len(got) == 4 and len({r["text"] for r in got if r["page_id"] == 1}) == 1
+    assert [r["text"] for r in got if r["page_id"] == 2] == ["kept text\nstill here"]
+
+
 def test_language_held_out(spark):
     got = language_id.languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
