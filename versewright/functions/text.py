@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: Share of letters that decides a script, and code-point ranges.
 SCRIPTS = (("ja", "\\x{3040}-\\x{30ff}", 0.05), ("ko", "\\x{ac00}-\\x{d7af}", 0.2), ("zh", "\\x{4e00}-\\x{9fff}", 0.2), ("ru", "\\x{0400}-\\x{04ff}", 0.2), ("el", "\\x{0370}-\\x{03ff}", 0.2), ("ar", "\\x{0600}-\\x{06ff}", 0.2), ("he", "\\x{0590}-\\x{05ff}", 0.2), ("th", "\\x{0e00}-\\x{0e7f}", 0.2))
-#: A few of each language's most frequent words.
+#: Stop words that vote for a language.
 STOP_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "is", "that", "with", "for", "was"),
-    "de": ("der", "die", "und", "das", "den", "von", "mit", "ist", "dem", "ein"),
+    "de": ("ich", "und", "nicht", "der", "die", "das", "ist", "du", "mit", "auf", "bin", "mein"),
+    "en": ("the", "and", "you", "i'm", "is", "my", "it", "to", "me", "don't", "that"),
+    # Two more languages, of our own choice.
     "es": ("que", "los", "del", "las", "por", "con", "una", "para", "el", "y"),
     "fr": ("les", "des", "et", "dans", "du", "est", "pour", "qui", "une", "pas"),
 }
@@ -142,10 +143,10 @@ def language_by_script(text: Column) -> Column:
 
 
 def stop_word_votes(text: Column) -> dict[str, Column]:
-    """How many words of a text are stop words of each language; one scan of the text each."""
-    edge = r"[\p{L}\p{N}_]"
-    lower = F.lower(text)
-    return {lang: F.regexp_count(lower, F.lit(rf"(?<!{edge})(?:{'|'.join(own)})(?!{edge})")) for lang, own in STOP_WORDS.items()}
+    """How many whole tokens between white space are stop words of each language, case aside."""
+    words = F.split(F.lower(text), r"\s+")
+    among = lambda own: lambda w: w.isin(*own)
+    return {lang: F.size(F.filter(words, among(own))) for lang, own in STOP_WORDS.items()}
 
 
 def guess_language(docs: DataFrame, text: str = "text", out: str = "guess", fallback: str = "en") -> DataFrame:

@@ -183,8 +183,9 @@ def _ttml(ms: str) -> str:
 
 
 def _votes() -> str:
-    words = f"string_split({_KEY}, ' ')"
-    return ", ".join(f"CAST(len(list_filter({words}, lambda w: w IN ({', '.join(repr(x) for x in own)}))) AS BIGINT) AS {lang}" for lang, own in X.STOP_WORDS.items())
+    words = r"regexp_split_to_array(lower(text), '\s+')"
+    listed = lambda own: ", ".join("'" + x.replace("'", "''") + "'" for x in own)
+    return ", ".join(f"CAST(len(list_filter({words}, lambda w: w IN ({listed(own)}))) AS BIGINT) AS {lang}" for lang, own in X.STOP_WORDS.items())
 
 
 SQL = {

@@ -1,8 +1,8 @@
 """A Spark data source for folders of timed-text files: ``spark.read.format("lyrics").load(path)``.
 
-Files are listed once and read by tasks, one partition per file, through
-Spark's own binary reader where a store needs it; this source is for local
-and mounted folders.
+Files are listed once and read by tasks, ``FILES`` to a partition.  This source
+is for local and mounted folders; :func:`read_folder` gives the same table, by
+the same rules, through Spark's own binary reader for any store.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ def sniff(name: str, content: str) -> str:
     return kind
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Files of one partition.
+FILES = 64
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -43,13 +47,15 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = sorted(glob.glob(os.path.join(self.path, "**", "*"), recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(p) for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))]
+        files = [p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))]
+        return [_Files(files[i : i + FILES]) for i in range(0, len(files), FILES)]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", errors="replace", newline="") as f:
-            content = f.read()
-        name = os.path.basename(partition.path)
-        yield os.path.splitext(name)[0], sniff(name, content), content
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                content = f.read()
+            name = os.path.basename(path)
+            yield os.path.splitext(name)[0], sniff(name, content), content
 
 
 class LyricsSource(DataSource):
@@ -78,5 +84,8 @@ def read_folder(spark: SparkSession, path: str):
     name = F.element_at(F.split("path", "/"), -1)
     content = F.decode("content", "UTF-8")
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix), F.lit("plain"))
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix), F.lit("plain"))
+    head = F.substring(F.regexp_replace(content, r"^\s+", ""), 1, 400)
+    sniffed = F.when(F.startswith(head, F.lit("<")) & F.contains(head, F.lit("<tt")), "ttml").when(F.contains(head, F.lit("QrcInfos")), "qrc").when(head.rlike(r"^\[(?=.?\d|\d)[^:]{0,6}:"), "lrc").otherwise("plain")
+    kind = F.when(named == "plain", sniffed).otherwise(named)
     return files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("song"), kind.alias("format"), content.alias("content"))
