@@ -294,3 +294,40 @@ def test_lines_are_anchored_by_a_transcript(spark):
     assert got["s", 2][0] == 19_700.0 and got["s", 2][2] and got["s", 1] == (pytest.approx(9400 + 10_300 * 6 / 7), 19_700.0, False)
     assert got["s", 3][0] == 19_700 + 5 * 600 and got["s", 4][:2] == (19_700 + 7 * 600, 19_700 + 7 * 600 + 2000) and got["s", 4][2]
     assert got["t", 0] == (None, None, False)
+
+
+def test_tidy_closes_gaps_in_order(spark):
+    rng = np.random.default_rng(9)
+    lines = []
+    for _ in range(60):
+        at = np.sort(rng.integers(0, 3000, rng.integers(1, 9)))
+        lines.append([(int(b), int(b + rng.integers(0, 500))) for b in at])
+    lines.append([(0, 10), (320, 330), (340, 900), (500, 510)])
+    df = spark.createDataFrame([(i, [{"begin_ms": b, "end_ms": e} for b, e in line]) for i, line in enumerate(lines)], "i int, words array<struct<begin_ms: bigint, end_ms: bigint>>")
+    for row in timing.tidy_fold(df).collect():
+        words = [list(w) for w in lines[row["i"]]]
+        for k, w in enumerate(words):
+            if k and w[0] < words[k - 1][1]:
+                w[0] = words[k - 1][1]
+            if k + 1 < len(words) and 0 < words[k + 1][0] - w[1] < 300:
+                w[1] = words[k + 1][0]
+            w[1] = max(w[1], w[0] + 50)
+        assert [[w["begin_ms"], w["end_ms"]] for w in row["tidied"]] == words
+
+
+def test_queries_without_sql_keep_their_input(spark):
+    """What must hold for every row of the queries that SQL can't express."""
+    from versewright.plans import registry
+
+    sf, run = "/root/testdata/sf0.001", registry.queries()
+    lines = {(r["song"], r["line_no"]): r["n"] for r in run["remap_text"](spark, sf).collect()}
+    assert lines and all(3 <= n <= 6 for n in lines.values())
+    parts: dict = {}
+    for r in run["syllable_split"](spark, sf).collect():
+        parts.setdefault(r["word_id"], []).append((r["part_no"], r["part"]))
+    kinds = {r["event_id"]: r["event_type"] for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    assert {k: "".join(p for _, p in sorted(v)) for k, v in parts.items()} == kinds
+    exact = {r["l_returnflag"]: r["n"] for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n")).collect()}
+    assert all(abs(r["parts"] - exact[r["l_returnflag"]]) <= 0.15 * exact[r["l_returnflag"]] for r in run["approx_distinct"](spark, sf).collect())
+    for r in run["borrow_rhythm"](spark, sf).collect():
+        assert 0 <= r["borrowed"] <= r["n"] and r["total"] >= 0

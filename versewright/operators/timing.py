@@ -174,14 +174,14 @@ def tidy_fold(lines: DataFrame, words: str = "words") -> DataFrame:
 
     ``words`` is an array of structs with ``begin_ms`` and ``end_ms``, all timed.
     """
-    step = f"""aggregate({words}, cast(array() AS array<struct<begin_ms: bigint, end_ms: bigint>>), (acc, x) ->
-      if(size(acc) = 0, array(named_struct('begin_ms', x.begin_ms, 'end_ms', greatest(x.end_ms, x.begin_ms + {LEAST_WORD}L))),
-        concat(
-          slice(acc, 1, size(acc) - 1),
-          array(named_struct('begin_ms', element_at(acc, -1).begin_ms, 'end_ms',
-            if(x.begin_ms - element_at(acc, -1).end_ms between 0 and {CLOSE_GAP - 1}, x.begin_ms, element_at(acc, -1).end_ms))),
-          array(named_struct('begin_ms', greatest(x.begin_ms, element_at(acc, -1).end_ms), 'end_ms',
-            greatest(x.end_ms, greatest(x.begin_ms, element_at(acc, -1).end_ms) + {LEAST_WORD}L))))))"""
+    # ``own`` is a word's end as it came: gaps are judged by it, before the least length is given.
+    before = "element_at(acc, -1)"
+    end = f"greatest(if(x.begin_ms - {before}.own between 1 and {CLOSE_GAP - 1}, x.begin_ms, {before}.own), {before}.begin_ms + {LEAST_WORD}L)"
+    made = lambda begin: f"array(named_struct('begin_ms', {begin}, 'end_ms', greatest(x.end_ms, {begin} + {LEAST_WORD}L), 'own', x.end_ms))"
+    step = f"""transform(aggregate({words}, cast(array() AS array<struct<begin_ms: bigint, end_ms: bigint, own: bigint>>), (acc, x) ->
+      if(size(acc) = 0, {made('x.begin_ms')},
+        concat(slice(acc, 1, size(acc) - 1), array(named_struct('begin_ms', {before}.begin_ms, 'end_ms', {end}, 'own', {before}.own)), {made(f'greatest(x.begin_ms, {end})')}))),
+      w -> named_struct('begin_ms', w.begin_ms, 'end_ms', w.end_ms))"""
     return lines.withColumn("tidied", F.expr(step))
 
 
