@@ -57,13 +57,16 @@ def frozen(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows and 4 MiB for this session, unless it has its own setting.
+    """Arrow batches of at most 512 rows and 2 MiB and Parquet batches of 512 rows for this session, unless it has its own setting.
 
     A worker holds a batch of texts and its copy at once.  This is a choice
     of the queries and the pipeline; the operators leave settings alone.
     """
-    for name, usual, wanted in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "4m")):
-        key = f"spark.sql.execution.arrow.{name}"
+    for key, usual, wanted in (
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "512"),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"),
+        ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"),
+    ):
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, wanted)
 

@@ -45,9 +45,9 @@ TRAIN_PER_LANG = 3000
 #: Log-likelihood that another language must gain for each factor e of the text's length.
 PENALTY = 12.0
 ROUNDS = 40
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 #: Numbers held at a time while log-likelihoods are summed.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _BOUND = 1  # stands between documents
 
 

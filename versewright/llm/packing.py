@@ -51,8 +51,8 @@ STRIDE = 64
 #: Tokens whose cuts are settled at a time.
 BLOCK = 1 << 19
 #: Words that a worker keeps; beyond that it forgets those that it has not met for longest.
-KEPT_WORDS = 600_000
-BATCH_BYTES = 4 << 20
+KEPT_WORDS = 300_000
+BATCH_BYTES = 2 << 20
 #: A private-use letter that keeps new words apart; texts that hold it are encoded whole.
 MARK = "\ue000"
 _ODD = re.compile("[\x1c-\x1f\x85\ue000]")
@@ -112,8 +112,10 @@ class WordIds:
             self._add(closed, np.insert(self._gather(self.start[core], size), np.cumsum(size), tail), size + 1)
 
     def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        moved = (starts - (np.cumsum(sizes) - sizes)).astype(np.int32)  # tables and batches hold far less than 2**31 ids
+        at = np.repeat(moved, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.place.update(zip(words, range(len(self.size), len(self.size) + len(words))))
