@@ -137,6 +137,18 @@ def _neighbours(cells: str, dims: int) -> Column:
     return F.array_distinct(every)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their last column, vectors, scaled to length one; by the largest magnitude first, so that no square over- or underflows."""
+    for batch in batches:
+        sizes = batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            part = batch.filter(pa.array(sizes == size))
+            e = _groups(part.column(part.num_columns - 1))[0]
+            e = e / np.abs(e).max(axis=1)[:, None]
+            v = e / np.sqrt((e * e).sum(axis=1))[:, None]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(v, pa.float64())], names=[*part.schema.names[:-1], "v"])
+
+
 def _spots(v: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Places of the rows of ``v`` on the principal axes; vectors of an uncommon length are all at the origin."""
     return v @ axes.T if axes.size and v.shape[1] == axes.shape[1] else np.zeros((len(v), len(axes)))
@@ -165,10 +177,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     order = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"))
     same = ["label", "h1", "h2"]
     distinct = base.where("e is not null").groupBy(*same).agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.first("e").alias("e"))
-    distinct = distinct.withColumn("e", F.expr("transform(e, x -> x / array_max(transform(e, y -> abs(y))))"))
-    unit = F.expr("transform(e, x -> x / sqrt(aggregate(e, 0D, (s, y) -> s + y * y)))")
+    kind = base.schema["label"].dataType.simpleString()
+    keep = [*same, "copies", "first"]
+    units = distinct.select(*keep, "e").mapInArrow(_units, distinct.select(*keep, F.col("e").alias("v")).schema)
     # Numbered as they are stored, so a number means the same vector in every later job.
-    distinct = frozen(distinct.select(*same, "copies", "first", unit.alias("v"), F.monotonically_increasing_id().alias("vid")))
+    distinct = frozen(units.withColumn("vid", F.monotonically_increasing_id()))
     axes = principal_axes(distinct.select("v"), BOX_DIMS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +195,6 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 new = [_lists(cells, pa.int32()), _lists(spots, pa.float64()), pa.array(_curve(spots, eps)), pa.array(np.full(part.num_rows, size, np.int32))]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + new, names=[*names, "cell", "spot", "curve", "size"])
 
-    kind = base.schema["label"].dataType.simpleString()
     columns = f"label {kind}, vid bigint, copies bigint, v array<double>, cell array<int>, spot array<double>, curve bigint, size int"
     placed = distinct.select("label", "vid", "copies", "v").mapInArrow(place, columns)
 
