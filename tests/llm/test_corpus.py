@@ -615,6 +615,31 @@ def test_queries_have_the_contract_columns(spark):
             assert set(columns.split()) <= set(query(spark, SF).columns), name
 
 
+@pytest.mark.parametrize("block", [4, simhash.BLOCK])
+def test_copies_of_one_base_match_brute_force(spark, block):
+    """Copies that are near their base but not near one another, bases that are chained, and strangers."""
+    rng = random.Random(13)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = []
+    for base in range(3):
+        words = [f"b{base}w{rng.randrange(900)}" for _ in range(240)]
+        texts.append(words)
+        for _ in range(22):
+            copy = list(words)
+            for _ in range(rng.randint(1, 7)):
+                copy[rng.randrange(240)] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts += [[f"s{rng.randrange(900)}" for _ in range(100)] for _ in range(5)]
+    rng.shuffle(texts)
+    sets = [shingles(w) for w in texts]
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    apart = sum(1 for i in range(len(texts)) for j in range(i) if 0.6 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8)
+    assert apart > 200 and len(close) > 50
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == settled(len(texts), close)
+
+
 def test_isolated_pairs_are_judged_by_their_shingles(spark):
     rng = random.Random(11)
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -28,10 +28,11 @@ many for a ball.  A text is its set of shingles here.  Candidates have all
 ``SIMILAR`` is missed with probability (1 - 0.8**6)**32 = 6e-5, whatever other
 texts there are.  Every link is verified: the sets themselves must have a
 Jaccard similarity of ``SIMILAR`` or more.  First each text is compared with
-the least text of each of its bands; then all pairs of one band that are in
-different components, so a link that the first step did not need to see is
-never lost.  Such pairs are few unless many texts that are not near
-duplicates share a band.
+the least text of each of its bands; then all texts of one band that are in
+different components are compared in blocks of bounded size, so a link that
+the first step did not see is never lost.  Blocks give out spanning links, not
+pairs; only the comparisons in memory grow with the square of a band's texts
+that are not linked yet.
 
 Defined results: a null or empty text has fingerprint zero (the empty set)
 and links like any other; a null ``doc_id`` never becomes a component id unless its
@@ -44,6 +45,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -61,6 +63,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 DIRECT = 48
 #: Jaccard similarity of near duplicates; MinHash bands of a text, and minima of a band.
 SIMILAR, BANDS, ROWS = 0.8, 32, 6
+#: Texts of one band that are compared with one another, or with as many others, in one group.
+BLOCK = 512
 #: Odd factors and summands of the MinHash orders.
 _TURNS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
@@ -272,31 +276,50 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     return _met(dealt.mapInArrow(emit, "variant bigint, fp bigint"), RADIUS)
 
 
-def _pairs(keys: np.ndarray, values: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of rows (sorted by key) with one key, different parts and sizes that allow ``SIMILAR``."""
-    rows = np.arange(len(keys))
-    gap = 0
-    while len(rows):
-        gap += 1
-        rows = rows[rows + gap < len(keys)]
-        rows = rows[keys[rows] == keys[rows + gap]]
-        i, j = rows, rows + gap
-        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        hit = (parts[i] != parts[j]) & (small >= SIMILAR * large - 1e-9)
-        if hit.any():
-            yield np.stack((np.minimum(values[i[hit]], values[j[hit]]), np.maximum(values[i[hit]], values[j[hit]])))
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """Spanning links ``(a, b)`` between the parts of two blocks of one band (or within one), by the sets themselves.
 
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of the texts of one band in ``rows`` (band, fp, size, part) that are in different parts."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_groups(batches):
-            for pairs in _pairs(*columns):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    rows = rows.select("band", "fp", F.col("size").cast("bigint"), "part")
-    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "a bigint, b bigint").distinct()
+    Only pairs of different parts, of sizes that allow ``SIMILAR`` and whose
+    first common band this is are compared; a verified link makes two parts
+    one, so what follows from it isn't compared again.
+    """
+    band = rows["band"].iloc[0]
+    same = rows["p"].iloc[0] == rows["q"].iloc[0]
+    first = rows["first"].to_numpy() | same
+    fp, part, size = (rows[c].to_numpy() for c in ("fp", "part", "size"))
+    part = part.copy()
+    bands = np.stack(rows["bands"].to_list())
+    own = (bands == band).argmax(axis=1)
+    sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+    a, b = [], []
+    for i in np.flatnonzero(first):
+        wanted = part != part[i]
+        wanted &= np.arange(len(fp)) > i if same else ~first
+        wanted &= np.minimum(size, size[i]) >= SIMILAR * np.maximum(size, size[i]) - 1e-9
+        wanted &= ~(bands[:, : own[i]] == bands[i, : own[i]]).any(axis=1)
+        for j in np.flatnonzero(wanted):
+            if part[j] == part[i]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= SIMILAR * (size[i] + size[j] - common) - 1e-9:
+                part[part == part[j]] = part[i]
+                a.append(fp[i])
+                b.append(fp[j])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _links_apart(known: DataFrame, open_bands: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Verified links ``(a, b)`` between texts of one band in ``known`` (band, fp, part) that are in different parts.
+
+    ``open_bands`` (band, n) are the bands with such texts.  A band's texts are
+    dealt into blocks of about ``block``; each pair of blocks is one bounded
+    group, which gives out spanning links only, never its pairs.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = known.select("band", "fp", "part").join(open_bands.select("band", blocks.alias("blocks")), "band")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = frozen(rows.select("band", "fp", "part", (F.col("own") <= F.col("other")).alias("first"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
+    return rows.join(sets, "fp").groupBy("band", "p", "q").applyInPandas(_joined, "a bigint, b bigint").distinct()
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -331,10 +354,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+def similar_links(docs: DataFrame, marked: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
     """Verified links ``(a, b)`` of the sets ``fp`` in ``marked`` (key, fp, size, bands); every pair of one band is linked by one of them or a chain of them, or not similar."""
-    distinct = marked.where("size > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    rows = frozen(distinct.select("fp", "key", "size", F.explode("bands").alias("band")))
+    distinct = frozen(marked.where("size > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    rows = distinct.select("fp", "key", "size", F.explode("bands").alias("band"))
     heads = rows.groupBy("band").agg(F.min(F.struct("fp", "size")).alias("head"), F.max("fp").alias("last"))
     heads = frozen(heads.where("head.fp <> last").select("band", "head"))  # stored: the join can be split at a hot band
     met = frozen(rows.join(heads, "band").select("band", "fp", "key", "size", "head"))
@@ -343,10 +366,10 @@ def similar_links(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     stars = met.where((F.col("fp") != F.col("head.fp")) & fits).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
     links = frozen(_verified(stars, sets))
     parts = connected_components(links)
-    known = frozen(met.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", "size", F.coalesce("component", "fp").alias("part"), F.col("head.fp").alias("head")))
-    split = frozen(known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band"))
-    more = _verified(_apart(known.join(split, "band")).join(stars, ["a", "b"], "left_anti"), sets)
-    return links.union(more)
+    known = frozen(met.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("component", "fp").alias("part")))
+    apart = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    whole = sets.join(distinct.select("fp", "size", "bands"), "fp")
+    return links.union(_links_apart(known, frozen(apart.select("band", "n")), whole, block))
 
 
 def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
@@ -377,11 +400,11 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return _components(marked, fingerprint_links(marked.select("fp").distinct()))
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """As :func:`simhash_components`, with links between texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; ``fp`` names the set."""
     base = _base(docs, doc_id, text)
     marked = frozen(sketches(base, shingle).withColumn("row_id", F.monotonically_increasing_id()))
-    return _components(marked.drop("size", "bands"), similar_links(base, marked, shingle))
+    return _components(marked.drop("size", "bands"), similar_links(base, marked, shingle, block))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
