@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, packing, sharding, simhash, url_filter
+from . import bpe, embedding_dedup, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, url_filter
 from .common import small_batches
 
 #: The rules of ``op3_url_filter``.
@@ -69,12 +69,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_exact_dedup, op3_url_filter, op4_html_extract, op5_language_id, op6_simhash, op7_packing, op8_sharding, op9_embedding_dedup, op10_bpe)
+    own = (op1_line_dedup, op2_exact_dedup, op3_url_filter, op4_html_extract, op5_language_id, op6_simhash, op7_packing, op8_sharding, op9_embedding_dedup, op10_bpe, op11_hard_negatives, op12_substring_dedup, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
-
 EXACT_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents
@@ -136,5 +150,84 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 """
 
 
+#: Scores of every anchor with every row; whole numbers under 2^53, so doubles are exact.
+NEGATIVES_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, v.rid, v.vec_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score
+  FROM v a JOIN v ON a.rid <> v.rid AND len(a.q) = len(v.q) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id, rid) AS w FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.arid, p.w ORDER BY s.score DESC, s.vec_id, s.rid)::INT AS rank
+  FROM p JOIN s ON s.arid = p.arid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.w <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: Every window written out.
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT rid, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35
+), windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS words FROM starts
+), often AS (
+  SELECT words FROM windows GROUP BY words HAVING count(*) > 1
+), hits AS (
+  SELECT rid, list_distinct(flatten(list(generate_series(i, i + 34)))) AS gone FROM windows JOIN often USING (words) GROUP BY rid
+), kept AS (
+  SELECT d.rid, doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN hits ON hits.rid = d.rid
+), words AS (
+  SELECT rid, i, w[i] AS word FROM (SELECT rid, w, unnest(generate_series(1, len(w))) AS i FROM kept) EXCEPT ALL SELECT rid, i, w[i] FROM (SELECT rid, w, unnest(gone) AS i FROM kept)
+), texts AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS text FROM words GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(texts.text, '')) AS kept_sha256 FROM kept LEFT JOIN texts ON texts.rid = kept.rid
+"""
+
+#: Failures counted by part, label and pattern, then every order step by step.
+AUDIT_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS failed
+  FROM d
+), l AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), c AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, failed
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT letter AS o, bit AS used, 1 AS k FROM x UNION ALL SELECT o.o || x.letter, o.used + x.bit, k + 1 FROM o JOIN x ON NOT contains(o.o, x.letter)
+), steps AS (
+  SELECT o AS filter_order, step, x.bit, (SELECT coalesce(sum(y.bit), 0) FROM x y WHERE contains(left(o.o, step - 1), y.letter)) AS before
+  FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE k = 5) o JOIN x ON x.letter = substr(o.o, step, 1)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (failed & (before + bit) = 0) AS kept, sum(n) FILTER (failed & before = 0 AND failed & bit > 0) AS removed,
+    sum(n) FILTER (failed & before > 0 AND failed & bit > 0) AS redundant, sum(n) FILTER (failed = bit) AS unique_fails,
+    sum(g) FILTER (failed & before = 0 AND failed & bit > 0) AS good_lost, sum(t) FILTER (failed & before = 0 AND failed & bit > 0) AS toxic_lost
+  FROM c CROSS JOIN steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op2_exact_dedup": EXACT_SQL, "op3_url_filter": URL_SQL}
+    return {
+        "op1_line_dedup": LINES_SQL,
+        "op2_exact_dedup": EXACT_SQL,
+        "op3_url_filter": URL_SQL,
+        "op11_hard_negatives": NEGATIVES_SQL,
+        "op12_substring_dedup": REPEATS_SQL,
+        "op13_filter_audit": AUDIT_SQL,
+    }
