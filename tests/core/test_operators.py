@@ -102,9 +102,24 @@ def test_runs_are_closed(spark):
 
 
 def test_fill_untimed(spark):
-    rows = [("a", 0, 0, 1000), ("a", 1, None, None), ("a", 2, None, None), ("a", 3, 3000, 4000), ("a", 4, None, None)]
-    got = timing.fill_untimed(spark.createDataFrame(rows, "song string, word_no int, begin_ms bigint, end_ms bigint"), F.lit(1)).orderBy("word_no").collect()
-    assert [(r["fill_begin"], r["fill_end"]) for r in got] == [(0, 1000), (1000, 2000), (2000, 3000), (3000, 4000), (4000, 4300)]
+    schema = "song string, line_no int, track string, word_no int, text string, begin_ms bigint, end_ms bigint, lo bigint, hi bigint"
+
+    def filled(*words, lo=None, hi=None, line=0):
+        return [("a", line, "main", i, t, b, e, lo, hi) for i, (t, b, e) in enumerate(words)]
+
+    rows = filled(("x", 0, 1000), ("aa", None, None), ("bb ", None, None), ("y", 3000, 4000), ("z", None, None))
+    rows += filled(("abcdef", None, None), ("b", None, None), ("c", 3000, 3100), line=1)
+    rows += filled(("c", 3000, 4000), ("dd", None, None), ("e", 4000, 4100), line=2)
+    rows += filled(("abc", None, None), ("a", None, None), lo=1000, hi=3000, line=3) + filled(("abc", None, None), line=4)
+    rows += filled(("abcd", None, None), ("ef", None, None), ("g", None, None), ("h", 500, 900), line=5)
+    got: dict = {}
+    for r in timing.fill_untimed(spark.createDataFrame(rows, schema), line_begin="lo", line_end="hi").orderBy("line_no", "word_no").collect():
+        got.setdefault(r["line_no"], []).append((r["fill_begin"], r["fill_end"]))
+    assert got[0] == [(0, 1000), (1000, 2000), (2000, 3000), (3000, 4000), (4000, 4300)]
+    assert got[1] == [(2400, 2914), (2914, 3000), (3000, 3100)]
+    assert got[2] == [(3000, 4000), (4000, 4050), (4000, 4100)]
+    assert got[3] == [(1000, 2500), (2500, 3000)] and got[4] == [(None, None)]
+    assert got[5] == [(0, 285), (285, 428), (428, 500), (500, 900)]
 
 
 def emissions(peaks, frames=40, tokens=4):
@@ -133,12 +148,20 @@ def test_align_songs(spark):
     assert (got["a", 0]["begin_ms"], got["a", 1]["begin_ms"], got["b", 0]["begin_ms"]) == (500, 2000, None)
 
 
+def borrowed(spark, *lines, song="s"):
+    """``lines``: begin, confidence of the words, their distances."""
+    rows = [(song, n, k, t, start + d, start + d + 400, c) for n, (start, sure, apart) in enumerate(lines) for k, (t, c, d) in enumerate(zip(("Up ", "and ", "away!"), sure, apart))]
+    return spark.createDataFrame(rows, "song string, line_no int, word_no int, text string, begin_ms bigint, end_ms bigint, confidence double")
+
+
 def test_repeats_borrow_a_rhythm(spark):
-    rows = [("k", 1, i, 10_000 + 500 * i, 0.99) for i in range(3)] + [("k", 2, 0, 50_000, 0.98), ("k", 2, 1, 50_900, 0.5), ("k", 2, 2, 51_700, 0.5)]
-    words = spark.createDataFrame(rows, "key string, instance int, word_no int, begin_ms bigint, confidence double")
-    pattern = spark.createDataFrame([("k", i, 500 * i) for i in range(3)], "key string, word_no int, pattern bigint")
-    got = align.borrow_rhythm(words, pattern, ("key",)).where("instance = 2").orderBy("word_no").collect()
-    assert [r["begin_ms"] for r in got] == [50_000, 50_500, 51_000] and all(r["borrowed"] for r in got)
+    even, odd = (0, 500, 1000), (0, 1700, 1900)
+    words = borrowed(spark, (10_000, [0.99] * 3, even), (30_000, [0.99] * 3, even), (50_000, [0.98, 0.5, 0.5], odd), (70_000, [0.95] * 3, odd))
+    words = words.union(borrowed(spark, (0, [0.5] * 3, odd), song="t"))  # alone in its song
+    got = {(r["song"], r["line_no"], r["word_no"]): r for r in align.borrow_rhythm(words).collect()}
+    assert [got["s", 2, k]["begin_ms"] for k in range(3)] == [50_000, 50_500, 51_000] and got["s", 2, 2]["end_ms"] == 51_400
+    assert {k[:2] for k, r in got.items() if r["borrowed"]} == {("s", 2)} and len(got) == 15
+    assert not [r for r in align.borrow_rhythm(borrowed(spark, (0, [0.99] * 3, even), (9000, [0.99] * 3, (0, 1000, 2000)), (20_000, [0.5] * 3, even))).collect() if r["borrowed"]]
 
 
 def test_disagreeing_repeats_give_no_pattern(spark):
@@ -329,5 +352,12 @@ def test_queries_without_sql_keep_their_input(spark):
     assert {k: "".join(p for _, p in sorted(v)) for k, v in parts.items()} == kinds
     exact = {r["l_returnflag"]: r["n"] for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n")).collect()}
     assert all(abs(r["parts"] - exact[r["l_returnflag"]]) <= 0.15 * exact[r["l_returnflag"]] for r in run["approx_distinct"](spark, sf).collect())
-    for r in run["borrow_rhythm"](spark, sf).collect():
-        assert 0 <= r["borrowed"] <= r["n"] and r["total"] >= 0
+
+
+def test_detaching_stays_in_its_song(spark):
+    from versewright.operators import editing
+
+    lines = spark.createDataFrame([(s, n, "g1", n) for s in ("a", "b") for n in (0, 1)], "song string, line_no int, group_id string, instance int")
+    gone = lines.where("song = 'a' and instance = 1").select("song", "group_id", "instance")
+    got = {(r["song"], r["line_no"]): r["linked"] for r in editing.detached(lines, gone).collect()}
+    assert got == {("a", 0): True, ("a", 1): False, ("b", 0): True, ("b", 1): True}

@@ -115,21 +115,48 @@ def align_songs(frames: DataFrame, words: DataFrame, frame_ms: int, song: str =
     return left.unionByName(right).groupBy("song").applyInPandas(run, f"song {kind}, word_no {no}, begin_ms bigint, end_ms bigint, score double")
 
 
-def borrow_rhythm(words: DataFrame, pattern: DataFrame, keys: tuple[str, ...], position: str = "word_no", trust: float = 0.92) -> DataFrame:
-    """Repeats with a doubtful word take the trusted rhythm, laid from their surest word.
-
-    ``words``: the keys, ``instance``, ``word_no``, ``begin_ms``,
-    ``confidence``; ``pattern``: the keys, ``word_no``, ``pattern`` (relative
-    begin).  Repeats without a doubtful word, and keys without a pattern,
-    keep their times.
+# Mean confidence of a repeat that may lend its rhythm, confidence below which a
+# word is doubtful, share of doubtful words from which a repeat borrows, ms that lenders may differ
+# by, and words of the shortest line.
+TRUSTED, UNSURE, DOUBTFUL_SHARE, AGREEMENT_MS, LEAST_WORDS = 0.97, 0.92, 0.3, 200, 3
+
+
+def borrow_rhythm(words: DataFrame, song: str = "song") -> DataFrame:
+    """Doubtful repeats of a line take the rhythm of its trusted repeats, laid from their surest word.
+
+    ``words``: song, line_no, word_no, text, begin_ms, end_ms, confidence.
+    Repeats are lines of a song with the same words (case and punctuation aside) in
+    the same number of pieces, three at least.  A repeat is trusted
+    if all its words are timed and their mean confidence is high; the pattern is
+    the median of the trusted ones and holds only if each begin of each of them is
+    close to it.  Trusted repeats never change.  ``borrowed`` tells the
+    words with new times.
     """
-    ids = [*keys, "instance"]
-    surest = words.groupBy(*ids).agg(F.max_by(F.struct("begin_ms", F.col(position).alias("p")), F.struct("confidence", (-F.col(position)).alias("k"))).alias("_s"), F.min("confidence").alias("_low"))
-    anchors = surest.join(pattern.select(*keys, F.col(position).alias("_p"), F.col("pattern").alias("_anchor")), list(keys)).where(F.col("_p") == F.col("_s.p")).select(*ids, (F.col("_s.begin_ms") - F.col("_anchor")).alias("_start"), "_low")
-    met = words.join(anchors, ids, "left").join(pattern.select(*keys, position, "pattern"), [*keys, position], "left")
-    take = (F.col("_low") < trust) & F.col("pattern").isNotNull() & F.col("_start").isNotNull()
-    out = met.withColumn("borrowed", F.coalesce(take, F.lit(False))).withColumn("begin_ms", F.when(take, F.col("_start") + F.col("pattern")).otherwise(F.col("begin_ms")))
-    return out.select(*words.columns, "borrowed")
+    word = F.struct("word_no", "text", "begin_ms", "end_ms", F.col("confidence").cast("double").alias("confidence"))
+    lines = words.groupBy(song, "line_no").agg(F.array_sort(F.collect_list(word)).alias("w")).where(F.size("w") >= LEAST_WORDS)
+    text = F.lower(F.array_join(F.transform("w", lambda x: F.coalesce(x["text"], F.lit(""))), " "))
+    scores = "filter(transform(w, x -> x.confidence), x -> x is not null)"
+    known = "forall(w, x -> x.begin_ms is not null and x.end_ms is not null)"
+    lines = lines.withColumns(
+        {
+            "key": F.concat_ws(" ", F.regexp_extract_all(text, F.lit(r"(?U)([\w']+)"), 1)),
+            "n": F.size("w"),
+            "sure": F.expr(f"coalesce({known} and size({scores}) > 0 and aggregate({scores}, 0D, (s, x) -> s + x) / size({scores}) >= {TRUSTED}, false)"),
+            "doubtful": F.expr(f"size(filter(w, x -> coalesce(x.confidence, 0D) < {UNSURE})) >= {DOUBTFUL_SHARE} * size(w)"),
+        }
+    )
+    repeat = [song, "key", "n"]
+    lent = lines.where("sure").select(*repeat, F.posexplode(F.expr("transform(w, x -> struct(x.begin_ms - w[0].begin_ms as b, x.end_ms - w[0].begin_ms as e))")).alias("k", "r"))
+    middle = lent.groupBy(*repeat, "k").agg(F.median("r.b").alias("b"), F.median("r.e").alias("e"), F.min("r.b").alias("least"), F.max("r.b").alias("most"))
+    pattern = middle.groupBy(*repeat).agg(F.array_sort(F.collect_list(F.struct("k", "b", "e"))).alias("p"), F.max(F.greatest(F.col("b") - F.col("least"), F.col("most") - F.col("b"))).alias("apart"))
+    pattern = pattern.where(F.col("apart") <= AGREEMENT_MS)
+    timed = "filter(sequence(0, n - 1), k -> w[k].begin_ms is not null and w[k].end_ms is not null)"
+    # Of the timed words the surest, the first of equals.
+    anchor = f"array_min(transform({timed}, k -> struct(-coalesce(w[k].confidence, 0D) as c, k as k))).k"
+    met = lines.where("doubtful and not sure").join(pattern, repeat).withColumn("a", F.expr(anchor)).where("a is not null")
+    moved = met.select(song, "line_no", F.explode(F.expr("transform(p, x -> struct(w[x.k].word_no as word_no, cast(floor(w[a].begin_ms - p[a].b + x.b) as bigint) as b, cast(floor(w[a].begin_ms - p[a].b + x.e) as bigint) as e))")).alias("x"))
+    out = words.join(moved.select(song, "line_no", "x.*"), [song, "line_no", "word_no"], "left").withColumn("borrowed", F.col("b").isNotNull())
+    return out.withColumns({"begin_ms": F.coalesce("b", "begin_ms"), "end_ms": F.coalesce("e", "end_ms")}).select(*words.columns, "borrowed")
 
 
 def _claimed_sections(codes: np.ndarray, free: np.ndarray) -> list[tuple[list[int], int]]:

@@ -56,8 +56,9 @@ def known_agents(lines: DataFrame, agents: DataFrame) -> DataFrame:
 
 
 def detached(lines: DataFrame, instances: DataFrame) -> DataFrame:
-    """Lines of the named instances (group_id, instance) without their links."""
-    met = lines.join(instances.select("group_id", "instance", F.lit(True).alias("_x")).distinct(), ["group_id", "instance"], "left")
+    """Lines of the named instances (song, group_id, instance) without their links; other songs may have groups of that name."""
+    key = ["song", "group_id", "instance"]
+    met = lines.join(instances.select(*key, F.lit(True).alias("_x")).distinct(), key, "left")
     off = F.coalesce("_x", F.lit(False))
     return met.withColumns({"linked": ~off & F.col("group_id").isNotNull(), "group_id": F.when(~off, F.col("group_id")), "instance": F.when(~off, F.col("instance"))}).drop("_x")
 

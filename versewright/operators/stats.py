@@ -28,9 +28,13 @@ def theil_sen(points: DataFrame, x: str, y: str, by: str = "song", least: float
     return known.groupBy(by).agg(F.first("slope").alias("slope"), F.median(F.col(y) - F.col("slope") * F.col(x)).alias("intercept"))
 
 
-def repeat_pattern(words: DataFrame, key: tuple[str, ...], position: str, most: int = 200) -> DataFrame:
-    """Median relative begin of each word position over a line's repeats; keys where one deviates by more than ``most`` give none."""
+def repeat_pattern(words: DataFrame, key: tuple[str, ...], position: str, most: int = 200, trusted: str | None = None) -> DataFrame:
+    """Median relative begin of each word position over a line's trusted repeats; keys where one deviates by more than ``most`` give none.
+
+    ``trusted`` names a flag of the rows whose repeat may lend its rhythm; without it all may.
+    """
     keys = list(key)
+    words = words.where(F.col(trusted)) if trusted else words
     middle = words.groupBy(*keys, position).agg(F.median("rel_begin").alias("pattern"), F.count("*").alias("repeats"))
     worst = words.join(middle, [*keys, position]).groupBy(*keys).agg(F.max(F.abs(F.col("rel_begin") - F.col("pattern"))).alias("_worst"))
     return middle.join(worst.where(F.col("_worst") <= most).select(*keys), keys, "left_semi")

@@ -149,24 +149,34 @@ def breaks_at_pause(words: DataFrame, pause: int, order: tuple[str, ...]) -> Dat
     return marked.withColumn("broken_line", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
-def fill_untimed(words: DataFrame, weight: Column, order: tuple[str, ...] = ("word_no",)) -> DataFrame:
-    """Runs of untimed words between timed neighbours share the gap by weight; at the edges each takes 300 ms: ``fill_begin``, ``fill_end``."""
-    w = song_window(*order)
+def fill_untimed(words: DataFrame, line: tuple[str, ...] = ("song", "line_no", "track"), order: str = "word_no", text: str = "text", line_begin: str | None = None, line_end: str | None = None) -> DataFrame:
+    """Runs of untimed words of one line laid end to end by text length: ``fill_begin``, ``fill_end``.
+
+    A run has the time between its timed neighbours, at least 50 ms a word; at an
+    edge of the line 300 ms a word; in a line without timed words the line's
+    own time (300 ms a word if only its begin is known, none without).
+    """
+    w = Window.partitionBy(*line).orderBy(order)
     timed = F.col("begin_ms").isNotNull() & F.col("end_ms").isNotNull()
-    words = words.withColumn("_t", timed).withColumn("_run", F.sum(F.when(timed, 1).otherwise(0)).over(w)).withColumn("_w", weight)
-    run = Window.partitionBy("song", "_run", "_t")
-    line = run.orderBy(*order)
-    a = F.last(F.when(timed, F.col("end_ms")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    b = F.first(F.when(timed, F.col("begin_ms")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    words = words.withColumn("_a", a).withColumn("_b", b).withColumn("_k", F.row_number().over(line)).withColumn("_n", F.count("*").over(run))
-    upto, total = F.sum("_w").over(line), F.sum("_w").over(run)
-    words = words.withColumn("_u", upto).withColumn("_s", total)
-    gap = F.greatest(F.lit(0), F.col("_b") - F.col("_a"))
-    inner = lambda part: (F.col("_a") + F.floor(gap * part / F.col("_s"))).cast("bigint")
-    begin = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), inner(F.col("_u") - F.col("_w"))).when(F.col("_a").isNotNull(), F.col("_a") + EDGE_WORD * (F.col("_k") - 1)).otherwise(F.greatest(F.lit(0), F.col("_b") - EDGE_WORD * (F.col("_n") - F.col("_k") + 1)))
-    end = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), inner(F.col("_u"))).when(F.col("_a").isNotNull(), F.col("_a") + EDGE_WORD * F.col("_k")).otherwise(F.greatest(F.lit(0), F.col("_b") - EDGE_WORD * (F.col("_n") - F.col("_k"))))
-    words = words.withColumn("fill_begin", F.when(F.col("_t"), F.col("begin_ms")).otherwise(begin)).withColumn("fill_end", F.when(F.col("_t"), F.col("end_ms")).otherwise(end))
-    return words.drop("_t", "_run", "_w", "_a", "_b", "_k", "_n", "_u", "_s")
+    bound = lambda c: F.col(c) if c else F.lit(None).cast("bigint")
+    words = words.withColumns({"_t": timed, "_w": F.greatest(F.lit(1), F.length(F.trim(text)))}).withColumn("_run", F.sum(F.when(timed, 1).otherwise(0)).over(w))
+    run = Window.partitionBy(*line, "_run", "_t")
+    words = words.withColumns(
+        {
+            "_a": F.last(F.when(timed, F.col("end_ms")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "_b": F.first(F.when(timed, F.col("begin_ms")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "_edge": F.count("*").over(run) * EDGE_WORD,
+            "_s": F.sum("_w").over(run),
+            "_u": F.sum("_w").over(run.orderBy(order)),
+        }
+    )
+    start = F.coalesce("_a", F.when(F.col("_b").isNotNull(), F.greatest(F.lit(0), F.col("_b") - F.col("_edge"))), bound(line_begin))
+    stop = F.coalesce("_b", F.col("_a") + F.col("_edge"), bound(line_end), bound(line_begin) + F.col("_edge"))
+    span = F.greatest(F.col("_edge") * LEAST_WORD / EDGE_WORD, F.col("_stop") - F.col("_start"))
+    at = lambda part: (F.col("_start") + F.floor(span * part / F.col("_s"))).cast("bigint")
+    words = words.withColumns({"_start": start, "_stop": stop})
+    words = words.withColumns({"fill_begin": F.when(F.col("_t"), F.col("begin_ms")).otherwise(at(F.col("_u") - F.col("_w"))), "fill_end": F.when(F.col("_t"), F.col("end_ms")).otherwise(at(F.col("_u")))})
+    return words.drop("_t", "_run", "_w", "_a", "_b", "_edge", "_s", "_u", "_start", "_stop")
 
 
 def tidy_fold(lines: DataFrame, words: str = "words") -> DataFrame:

@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, edits, timing
-from ..schema import LINED_SQL, events_as_words, in_lines, table
+from ..schema import LINED_SQL, WORDS_SQL, events_as_words, in_lines, table
 
 
 def viterbi_align(spark: SparkSession, sf: str) -> DataFrame:
-    """Each label's vectors as frames of one song, with 20 words of two tokens."""
+    """A label's vectors in a run of ids as frames of one song, with a word of two tokens for every five frames."""
     v = table(spark, sf, "embeddings").where("embedding is not null and label is not null")
     total = F.ln(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") * 4)))
-    frames = v.select(F.col("label").alias("song"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double") * 4 - total).alias("logp"))
-    words = frames.select("song").distinct().select("song", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("word_no"))
-    words = words.withColumn("tokens", F.array(1 + (F.col("word_no") * 3 + F.col("song")) % 63, 1 + (F.col("word_no") * 5 + 2) % 63))
+    frames = v.select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 8000)).cast("bigint").alias("song"), F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: x.cast("double") * 4 - total).alias("logp"))
+    words = frames.groupBy("song").agg(F.count("*").alias("n")).select("song", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 5).cast("int"))).alias("word_no"))
+    words = words.withColumn("tokens", F.array(1 + (F.col("word_no") * 3 + F.col("song") % 1009) % 63, 1 + (F.col("word_no") * 5 + 2) % 63))
     return align.align_songs(frames, words, 35)
 
 
 def borrow_rhythm(spark: SparkSession, sf: str) -> DataFrame:
-    w = in_lines(events_as_words(spark, sf), 4).where("word_no < 4")
-    lines = w.select((F.col("song") % 7).alias("key"), F.concat_ws("-", "song", "line_no").alias("instance"), "word_no", (F.col("word_no") * 500 + F.floor(F.col("value"))).cast("bigint").alias("begin_ms"), "confidence")
-    pattern = lines.groupBy("key", "word_no").agg(F.floor(F.median("begin_ms")).cast("bigint").alias("pattern"))
-    out = align.borrow_rhythm(lines, pattern, ("key",), trust=0.2)
-    return out.groupBy("key").agg(F.count_if("borrowed").alias("borrowed"), F.count("*").alias("n"), F.sum("begin_ms").cast("bigint").alias("total"))
+    """Each song's words in lines of three, of three texts; a third of the lines is sure."""
+    w = in_lines(events_as_words(spark, sf), 3)
+    text = F.element_at(F.array(F.lit("Hey"), F.lit("now, "), F.lit("go! ")), (F.col("word_no") + F.col("line_no") % 3).cast("int") % 3 + 1)
+    begin = F.col("line_no") * 5000 + F.col("word_no") * 400 + F.floor(F.col("value")) % 130
+    sure = F.when(F.col("line_no") % 4 < 2, 0.98).otherwise(F.col("value") / 500)
+    w = w.select("song", "line_no", "word_no", text.alias("text"), begin.cast("bigint").alias("begin_ms"), (begin + 300).cast("bigint").alias("end_ms"), sure.alias("confidence"))
+    return align.borrow_rhythm(w).select("song", "line_no", F.col("word_no").cast("bigint").alias("word_no"), "begin_ms", "end_ms", "borrowed")
 
 
 def repeating_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,6 +99,14 @@ def history_cap(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = [viterbi_align, borrow_rhythm, repeating_sections, remap_text, tidy_fold, resolve_overlaps, split_word, stretch, set_boundary, apply_template, merge_tracks, background_place, history_cap]
 
 SQL = {
+    "borrow_rhythm": f"""WITH {WORDS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS pos FROM words
+      ), w AS (SELECT song, pos // 3 AS line_no, pos % 3 AS word_no, ['Hey', 'now, ', 'go! '][(pos % 3 + pos // 3 % 3) % 3 + 1] AS text, pos // 3 * 5000 + pos % 3 * 400 + CAST(floor(value) AS BIGINT) % 130 AS b, CASE WHEN pos // 3 % 4 < 2 THEN 0.98 ELSE value / 500 END AS c FROM p
+      ), l AS (SELECT song, line_no, count(*) AS n, string_agg(regexp_replace(lower(text), '[^a-z]', '', 'g'), ' ' ORDER BY word_no) AS key, avg(c) >= 0.97 AS sure, count(*) FILTER (c < 0.92) >= 0.3 * count(*) AS doubtful, min(b) FILTER (word_no = 0) AS first, arg_min(word_no, (-c, word_no)) AS a FROM w GROUP BY song, line_no HAVING count(*) >= 3
+      ), m AS (SELECT song, key, word_no, median(b - first) AS pb, median(b + 300 - first) AS pe, greatest(median(b - first) - min(b - first), max(b - first) - median(b - first)) AS apart FROM w JOIN l USING (song, line_no) WHERE sure GROUP BY song, key, word_no
+      ), g AS (SELECT song, key FROM m GROUP BY song, key HAVING max(apart) <= 200
+      ), s AS (SELECT l.song, l.line_no, key, w.b - m.pb AS start FROM l JOIN g USING (song, key) JOIN w ON w.song = l.song AND w.line_no = l.line_no AND w.word_no = l.a JOIN m USING (song, key) WHERE m.word_no = l.a AND doubtful AND NOT sure)
+      SELECT w.song, w.line_no, w.word_no, CAST(coalesce(floor(start + pb), b) AS BIGINT) AS begin_ms, CAST(coalesce(floor(start + pe), b + 300) AS BIGINT) AS end_ms, start IS NOT NULL AS borrowed
+      FROM w LEFT JOIN s ON s.song = w.song AND s.line_no = w.line_no LEFT JOIN m ON m.song = s.song AND m.key = s.key AND m.word_no = w.word_no""",
     "split_word": f"""WITH {LINED_SQL}, c AS (SELECT *, CASE WHEN word_id % 2 = 0 AND length(kind) > 2 THEN begin_ms + CAST(floor(CAST((end_ms - begin_ms) * 2 AS DOUBLE) / length(kind)) AS BIGINT) END AS m FROM lined
       ), p AS (SELECT song, line_no, word_no, 0 AS i, CASE WHEN m IS NULL THEN kind ELSE substr(kind, 1, 2) END AS text, begin_ms, coalesce(m, end_ms) AS end_ms FROM c UNION ALL SELECT song, line_no, word_no, 1, substr(kind, 3), m, end_ms FROM c WHERE m IS NOT NULL)
       SELECT song, line_no, row_number() OVER (PARTITION BY song, line_no ORDER BY word_no, i) - 1 AS word_no, text, begin_ms, end_ms FROM p""",

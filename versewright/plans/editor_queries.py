@@ -53,7 +53,7 @@ def unknown_agents(spark: SparkSession, sf: str) -> DataFrame:
 
 def detach_instances(spark: SparkSession, sf: str) -> DataFrame:
     l = _linked(spark, sf)
-    hit = l.where("n_words < 3 and group_id is not null").select("group_id", "instance")
+    hit = l.where("n_words < 3 and group_id is not null").select("song", "group_id", "instance")
     return editing.detached(l, hit).select("song", "line_no", "group_id", "instance", "linked")
 
 
@@ -214,7 +214,7 @@ SQL = {
       SELECT song, id, CASE WHEN d THEN 'new ' || k ELSE 'voice ' || k END AS name, CASE WHEN d THEN 'group' ELSE 'person' END AS kind, CASE WHEN NOT e THEN 'added' WHEN d THEN 'updated' ELSE 'kept' END AS state FROM j
       WHERE d OR (e AND EXISTS (SELECT 1 FROM l WHERE l.song = j.song AND l.agent = j.id AND l.line_no % 3 = 1))""",
     "unknown_agents": f"{_L} SELECT song, line_no, CASE WHEN agent IN ('v1', 'v2') THEN agent ELSE 'v1' END AS agent FROM l",
-    "detach_instances": f"""{_L}, h AS (SELECT DISTINCT group_id, instance FROM l WHERE n_words < 3 AND group_id IS NOT NULL), d AS (SELECT l.*, h.group_id IS NOT NULL AS off FROM l LEFT JOIN h ON h.group_id = l.group_id AND h.instance = l.instance)
+    "detach_instances": f"""{_L}, h AS (SELECT DISTINCT song, group_id, instance FROM l WHERE n_words < 3 AND group_id IS NOT NULL), d AS (SELECT l.*, h.group_id IS NOT NULL AS off FROM l LEFT JOIN h ON h.song = l.song AND h.group_id = l.group_id AND h.instance = l.instance)
       SELECT song, line_no, CASE WHEN NOT off THEN group_id END AS group_id, CASE WHEN NOT off THEN instance END AS instance, NOT off AND group_id IS NOT NULL AS linked FROM d""",
     "trim_last_space": f"WITH {SONG_SQL} SELECT word_id, CASE WHEN word_no = max(word_no) OVER (PARTITION BY song, line_no, track) THEN rtrim(text, ' ') ELSE text END AS text FROM sw",
     "slot_counts": f"{_L} SELECT song, line_no, n_words AS slots, n_words - 1 AS timed_slots FROM l",

@@ -81,7 +81,7 @@ def theil_sen(spark: SparkSession, sf: str) -> DataFrame:
 
 def repeat_pattern(spark: SparkSession, sf: str) -> DataFrame:
     w = events_as_words(spark, sf).select("kind", (F.col("song") % 5).alias("word_no"), (F.floor(F.col("value")) + (F.col("song") % 5) * 100).cast("bigint").alias("rel_begin"))
-    return stats.repeat_pattern(w, ("kind",), "word_no", 480)
+    return stats.repeat_pattern(w.withColumn("sure", F.col("rel_begin") % 10 > 2), ("kind",), "word_no", 480, "sure")
 
 
 def line_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +293,7 @@ SQL = {
       ), k AS (SELECT p.*, s.s, count(*) OVER w AS n, max(x) OVER w - min(x) OVER w AS span FROM p LEFT JOIN s ON p.song = s.song WINDOW w AS (PARTITION BY p.song)
       ), f AS (SELECT *, CASE WHEN n < 6 OR s IS NULL OR abs(s * span) <= 250 THEN 0.0 ELSE s END AS slope FROM k)
       SELECT song, round(any_value(slope), 9) AS slope, round(median(y - slope * x), 6) AS intercept FROM f GROUP BY song""",
-    "repeat_pattern": f"""WITH {WORDS_SQL}, r AS (SELECT kind, song % 5 AS word_no, CAST(floor(value) + (song % 5) * 100 AS BIGINT) AS r FROM words), m AS (SELECT *, median(r) OVER (PARTITION BY kind, word_no) AS p, count(*) OVER (PARTITION BY kind, word_no) AS n FROM r
+    "repeat_pattern": f"""WITH {WORDS_SQL}, r AS (SELECT kind, song % 5 AS word_no, CAST(floor(value) + (song % 5) * 100 AS BIGINT) AS r FROM words WHERE CAST(floor(value) + (song % 5) * 100 AS BIGINT) % 10 > 2), m AS (SELECT *, median(r) OVER (PARTITION BY kind, word_no) AS p, count(*) OVER (PARTITION BY kind, word_no) AS n FROM r
       ), k AS (SELECT *, max(abs(r - p)) OVER (PARTITION BY kind) AS worst FROM m) SELECT kind, word_no, any_value(p) AS pattern, any_value(n) AS repeats FROM k WHERE worst <= 480 GROUP BY kind, word_no""",
     "line_confidence": f"WITH {LINED_SQL} SELECT song, line_no, round(CASE WHEN bool_and(value >= 5) THEN avg(confidence) ELSE 0 END, 9) AS confidence, round(avg((confidence < 0.2)::INT), 9) AS doubtful FROM lined GROUP BY song, line_no",
     "benchmark_metrics": _ERR + " SELECT s.song, round(aae, 6) AS aae, round(within_100, 6) AS within_100, round(within_300, 6) AS within_300, words, worst_drift FROM s JOIN d ON s.song = d.song",

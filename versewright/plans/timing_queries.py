@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import timing, validate
@@ -126,10 +126,13 @@ def line_breaks_at_pause(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fill_untimed(spark: SparkSession, sf: str) -> DataFrame:
-    w = events_as_words(spark, sf)
-    gone = F.col("word_id") % 4 == 1
-    w = w.withColumn("at", F.col("begin_ms")).withColumn("begin_ms", F.when(~gone, F.col("begin_ms"))).withColumn("end_ms", F.when(~gone, F.col("end_ms")))
-    return timing.fill_untimed(w, F.length("kind").cast("bigint"), ("at", "word_id")).select("song", "word_id", "fill_begin", "fill_end")
+    """Two fifths of the words are untimed; every other line has bounds of its own."""
+    w = song_words(spark, sf)
+    line = Window.partitionBy("song", "line_no")
+    bounds = {f"line_{n}": F.when(F.col("line_no") % 2 == 0, f(c).over(line)) for n, f, c in (("begin", F.min, "begin_ms"), ("end", F.max, "end_ms"))}
+    kept = F.col("word_id") * 7 % 5 < 3
+    w = w.withColumns(bounds).withColumns({c: F.when(kept, F.col(c)) for c in ("begin_ms", "end_ms")})
+    return timing.fill_untimed(w, line_begin="line_begin", line_end="line_end").select("word_id", "fill_begin", "fill_end")
 
 
 def follow_voice(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,13 +246,15 @@ SQL = {
     "line_breaks_at_pause": f"""WITH {WORDS_SQL}, g AS (SELECT *, CASE WHEN begin_ms - lag(end_ms) OVER (PARTITION BY song ORDER BY begin_ms, word_id) >= 7200000 THEN 1 ELSE 0 END AS b FROM words
       ), l AS (SELECT *, CAST(sum(b) OVER (PARTITION BY song ORDER BY begin_ms, word_id) AS BIGINT) AS broken_line FROM g)
       SELECT song, broken_line, count(*) AS n, min(word_id) AS first_word FROM l GROUP BY song, broken_line""",
-    "fill_untimed": f"""WITH {WORDS_SQL}, t AS (SELECT song, word_id, begin_ms AS pos, length(kind) AS w, word_id % 4 <> 1 AS timed, CASE WHEN word_id % 4 <> 1 THEN begin_ms END AS b, CASE WHEN word_id % 4 <> 1 THEN end_ms END AS e FROM words
-      ), r AS (SELECT *, sum(timed::INT) OVER (PARTITION BY song ORDER BY pos, word_id) AS run,
-          last_value(e IGNORE NULLS) OVER (PARTITION BY song ORDER BY pos, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
-          first_value(b IGNORE NULLS) OVER (PARTITION BY song ORDER BY pos, word_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z FROM t
-      ), u AS (SELECT *, row_number() OVER q AS k, count(*) OVER p AS n, sum(w) OVER q AS upto, sum(w) OVER p AS total FROM r WINDOW p AS (PARTITION BY song, run, timed), q AS (PARTITION BY song, run, timed ORDER BY pos, word_id))
-      SELECT song, word_id, CAST(CASE WHEN timed THEN b WHEN a IS NOT NULL AND z IS NOT NULL THEN a + floor(CAST(greatest(0, z - a) * (upto - w) AS DOUBLE) / total) WHEN a IS NOT NULL THEN a + 300 * (k - 1) ELSE greatest(0, z - 300 * (n - k + 1)) END AS BIGINT) AS fill_begin,
-        CAST(CASE WHEN timed THEN e WHEN a IS NOT NULL AND z IS NOT NULL THEN a + floor(CAST(greatest(0, z - a) * upto AS DOUBLE) / total) WHEN a IS NOT NULL THEN a + 300 * k ELSE greatest(0, z - 300 * (n - k)) END AS BIGINT) AS fill_end FROM u""",
+    "fill_untimed": f"""WITH {SONG_SQL}, t AS (
+        SELECT song, line_no, track, word_no, word_id, greatest(1, length(trim(text, ' '))) AS w, CASE WHEN line_no % 2 = 0 THEN min(begin_ms) OVER l END AS lb, CASE WHEN line_no % 2 = 0 THEN max(end_ms) OVER l END AS le,
+          begin_ms IS NOT NULL AND word_id * 7 % 5 < 3 AS timed, CASE WHEN word_id * 7 % 5 < 3 THEN begin_ms END AS b, CASE WHEN word_id * 7 % 5 < 3 THEN end_ms END AS e FROM sw WINDOW l AS (PARTITION BY song, line_no)
+      ), r AS (SELECT *, sum(timed::INT) OVER o AS run, last_value(e IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
+          first_value(b IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z FROM t WINDOW o AS (PARTITION BY song, line_no, track ORDER BY word_no)
+      ), u AS (SELECT *, count(*) OVER p AS n, sum(w) OVER q AS upto, sum(w) OVER p AS total FROM r WINDOW p AS (PARTITION BY song, line_no, track, run, timed), q AS (PARTITION BY song, line_no, track, run, timed ORDER BY word_no)
+      ), s AS (SELECT *, CASE WHEN a IS NOT NULL THEN a WHEN z IS NOT NULL THEN greatest(0, z - 300 * n) ELSE lb END AS f, CASE WHEN z IS NOT NULL THEN z WHEN a IS NOT NULL THEN a + 300 * n WHEN le IS NOT NULL THEN le ELSE lb + 300 * n END AS g FROM u)
+      SELECT word_id, CAST(CASE WHEN timed THEN b ELSE f + floor(CAST(greatest(50 * n, g - f) * (upto - w) AS DOUBLE) / total) END AS BIGINT) AS fill_begin,
+        CAST(CASE WHEN timed THEN e ELSE f + floor(CAST(greatest(50 * n, g - f) * upto AS DOUBLE) / total) END AS BIGINT) AS fill_end FROM s""",
     "follow_voice": f"""WITH {WORDS_SQL}, r AS (
         SELECT *, max(end_ms) OVER (PARTITION BY song ORDER BY begin_ms, end_ms, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM words
       ), m AS (SELECT *, sum(CASE WHEN reach IS NULL OR begin_ms - reach > 600000 THEN 1 ELSE 0 END) OVER (PARTITION BY song ORDER BY begin_ms, end_ms, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM r
