@@ -225,9 +225,11 @@ def mine(vectors: DataFrame, anchor: Column, vec_id: str = "vec_id", embedding:
     asked = placed.where("anchor").select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("slice"), "rid", "vec_id", "label", "q", "angle")
     everything = F.array(F.array(F.lit(LOWEST), F.lit(HIGHEST)))
     best = frozen(_first(_scan(one.union(asked.withColumn("windows", everything)), True, positives, kind), positives))
-    # floor(a / b) of whole numbers that may be negative: least and most scores of a window.
+    # The least and the most score of a window; hundreds apart from the rest, so that nothing overflows.
     pairs = best.select("anchor", F.col("rank").alias("w"), "score", F.col("vec_id").alias("positive_id"))
-    window = F.struct("w", F.array(F.expr(f"cast(-((-{low} * score - pmod(-{low} * score, 100)) div 100) as bigint)"), F.expr(f"cast(({high} * score - pmod({high} * score, 100)) div 100 as bigint)")).alias("range"))
+    rest = "pmod(score, 100)"
+    least, most = (F.expr(f"cast({share} * ((score - {rest}) div 100) + ({share} * {rest} + {up}) div 100 as bigint)") for share, up in ((low, 99), (high, 0)))
+    window = F.struct("w", F.array(least, most).alias("range"))
     windows = pairs.groupBy(F.col("anchor").alias("rid")).agg(F.transform(F.array_sort(F.collect_list(window)), lambda x: x["range"]).alias("windows"))  # a few each
     found = _first(_scan(one.unionByName(asked.join(frozen(windows), "rid").select(*one.columns)), False, negatives, kind), negatives)
     named = found.select("anchor", (F.col("w") + 1).alias("w"), F.col("rank").cast("int").alias("rank"), F.col("score").alias("negative_score"), F.col("vec_id").alias("negative_id"))

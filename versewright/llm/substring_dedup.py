@@ -3,7 +3,7 @@
 A *window* is ``window`` consecutive words of a document; every word covered by a
 window whose words also start anywhere else is removed.  Blocks of ``(window +
 1) // 2`` words at fixed, non-overlapping places of each document are the
-reference index: every window holds exactly one whole block of its own document.
+reference index: every window holds a whole block of its own document.
 If a window occurs twice, the block in it is met by a rolling window (of
 a block's length) of the other place.  So:
 
@@ -211,7 +211,8 @@ class _Chunk:
         keys, blocks = self.keys(meta, codes)
         hit = blocks[_within(keys[blocks], anchors)]
         starts = (hit[:, None] - np.arange(self.window - self.block + 1)[None, ::-1]).ravel()
-        return starts[(starts >= 0) & (starts + self.window <= len(codes))]
+        starts = starts[(starts >= 0) & (starts + self.window <= len(codes))]
+        return starts if self.window % 2 else np.unique(starts)  # two blocks fit in an even window
 
     def prints(self, codes: np.ndarray, starts: np.ndarray) -> _Prints:
         """Fingerprints of the windows at ``starts``."""
@@ -225,10 +226,10 @@ def _own(meta: dict, starts: np.ndarray) -> np.ndarray:
     return (starts >= meta["lead"]) & (starts < meta["lead"] + meta["own"])
 
 
-META = "array<struct<doc:{kind}, row:bigint, part:int, parts:int, first:bigint, lead:int, own:int>>"
+META = "array<struct<doc:{kind}, row:bigint, part:int, first:bigint, lead:int, own:int>>"
 
 
-def store_chunks(documents: DataFrame, doc_id: str, text: str, window: int) -> DataFrame:
+def store_chunks(documents: DataFrame, doc_id: str, text: str, window: int, segment: int = SEGMENT) -> DataFrame:
     """``chunk, n_words, split, meta, texts``: the words of all documents in stored chunks; long texts have chunks of their own."""
     kind = documents.schema[doc_id].dataType.simpleString()
     schema = f"chunk bigint, n_words bigint, split boolean, meta {META.format(kind=kind)}, texts binary"
@@ -252,12 +253,9 @@ def store_chunks(documents: DataFrame, doc_id: str, text: str, window: int) -> D
 
         for batch in slices(batches, "text", CHUNK):
             for doc, data in zip(batch.column("doc").to_pylist(), utf8_values(batch.column("text"))):
-                split = len(data) > SEGMENT
-                parts = -1
-                if split:
-                    parts = sum(1 for _ in pieces(data, window - 1))
-                for k, piece in enumerate(pieces(data, window - 1)):
-                    meta = {"doc": doc, "row": place | rows, "part": k, "parts": max(parts, 1), "first": piece.first, "lead": piece.lead, "own": piece.own}
+                split = len(data) > segment
+                for k, piece in enumerate(pieces(data, window - 1, segment)):
+                    meta = {"doc": doc, "row": place | rows, "part": k, "first": piece.first, "lead": piece.lead, "own": piece.own}
                     joined = b" ".join(piece.words)
                     held[split].append((meta, joined))
                     size[split] += len(joined) + 1
@@ -273,7 +271,7 @@ def store_chunks(documents: DataFrame, doc_id: str, text: str, window: int) -> D
 
 
 def _meta_type(doc_type) -> pa.DataType:
-    fields = [("doc", to_arrow_type(doc_type)), ("row", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("first", pa.int64()), ("lead", pa.int32()), ("own", pa.int32())]
+    fields = [("doc", to_arrow_type(doc_type)), ("row", pa.int64()), ("part", pa.int32()), ("first", pa.int64()), ("lead", pa.int32()), ("own", pa.int32())]
     return pa.list_(pa.struct(fields))
 
 
@@ -394,14 +392,14 @@ def _repeats(chunks: DataFrame, anchors: DataFrame, window: int, buckets: int) -
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND_SQL)
 
 
-def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, spans, kept``.
 
     ``spans`` are the maximal runs of removed words, each from a word to the
     one behind its last; ``kept`` holds the other words, joined by one space.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
-    chunks = store_chunks(documents, doc_id, text, window)
+    chunks = store_chunks(documents, doc_id, text, window, segment)
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(FEWEST_BUCKETS, words // BUCKET)
     anchors = _gathered(_anchors(chunks, window, buckets), "keys")
