@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compare_queries, edit_queries, editor_queries, format_queries, group_queries, job_queries, line_queries, linked_queries, match_queries, repair_queries, shape_queries, solver_queries, stat_queries, stream_queries, text_queries, timing_queries
+from . import compare_queries, edit_queries, editor_queries, format_queries, group_queries, job_queries, line_queries, linked_queries, match_queries, repair_queries, shape_queries, solver_queries, song_queries, stat_queries, stateful_queries, stream_queries, text_queries, timing_queries
 
-MODULES = (timing_queries, text_queries, compare_queries, stat_queries, edit_queries, stream_queries, line_queries, group_queries, shape_queries, repair_queries, editor_queries, format_queries, match_queries, job_queries, solver_queries, linked_queries)
+MODULES = (timing_queries, text_queries, compare_queries, stat_queries, edit_queries, stream_queries, line_queries, group_queries, shape_queries, repair_queries, editor_queries, format_queries, match_queries, job_queries, solver_queries, linked_queries, stateful_queries, song_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
