@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from xml.etree import ElementTree
 
@@ -246,6 +247,14 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 def test_html(spark):
     want = "Head & tail\nFirst paragraph, with bold, wrapped words é, long enough.\nSecond paragraph, also fairly long, with commas.\nAn item that belongs to it"
     assert html_extract.main_text(PAGE) == want
+    prose = "A long paragraph of prose, with commas, and with words enough to be the article of its page, on and on."
+    page = f"<body><article><p>{prose}</p><p class='side-effects'>Drowsiness, thirst and a dry mouth, as with others.</p><div class='search-results'>Forty were found, of which ten were read in full.</div><div class='side-bar'>Elsewhere on this site, today.</div></article></body>"
+    assert html_extract.main_text(page) == f"{prose}\nDrowsiness, thirst and a dry mouth, as with others.\nForty were found, of which ten were read in full."
+    assert html_extract.main_text(f"<body><article><p>{prose}</p></article><article><p>Second {prose}</p></article><article><a href='/'>More</a></article></body>") == f"{prose}\nSecond {prose}"
+    began = time.process_time()
+    for deep in ("<div>", "<div><p>x", "<section>text <b>", "<ul><li>"):
+        html_extract.main_text(deep * 100_000)
+    assert time.process_time() - began < 20
     for odd in ("", "<", "<p", "<!-- x", "<script>x", "</div></p>", "<p><p>"):
         assert html_extract.main_text(odd).strip("<") == ""
     assert html_extract.main_text("plain words") == "plain words"
@@ -411,6 +420,12 @@ def test_word_ids_match_the_library():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         ids = words.whole.encode(text, add_special_tokens=False).ids
         assert words.encode([text])[0].tolist() == ids and small.encode(["zz", text])[1].tolist() == ids, repr(text)
+    marks = ["\u0345", "\u0300", "\u0301", "\u0308", "\u030a", "\u030c", "\u0331", "\u0313"]
+    letters = [chr(c) for c in [*range(0x391, 0x3AA), *range(0x1F08, 0x1F10), 0x1FBA, 0x1FFA, 0x3AA, *b"AHJTWYahjtwy"] if c != 0x3A2]
+    odd = ["\u1ffa\u0345", "\u03a9\u0300\u0345", "\u1fba\u0345", "\u0391\u0300\u0345", "H\u0331"]
+    odd += ["".join(rng.choice(letters) + "".join(rng.choice(marks) for _ in range(rng.randint(0, 3))) for _ in range(3)) for _ in range(3000)]
+    for text, got in zip(odd, words.encode(odd)):
+        assert got.tolist() == words.whole.encode(text, add_special_tokens=False).ids, ascii(text)
     long = "Some words, again and again. " * 400_000  # cut into segments
     assert words.encode([long, "x"])[0].tolist() == words.encode(["Some words, again and again. "])[0].tolist() * 400_000
 
@@ -448,11 +463,33 @@ def test_sharding(spark):
     assert len(spread) == 12000 and spread.groupby("shard")["size"].sum().max() < 1.1 * spread["size"].sum() / 16 and spread.groupby("vslot").size().max() < 200
     for _, own in spread.groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
+    for n, size in ((60, 200_000), (12_000, 3)):
+        few = spark.createDataFrame([(i, f"text {i}") for i in range(1000)] + [(9, "x" * size)] * n, "doc_id bigint, text string")
+        even = sharding.shard_documents(few).toPandas()
+        sums = even.groupby("shard")["size"].sum()
+        assert sums.max() < 1.1 * sums.sum() / 16
+        again = sharding.shard_documents(few.repartition(3)).toPandas()
+        assert even.groupby(["shard", "doc_id"]).size().equals(again.groupby(["shard", "doc_id"]).size())
     odd = sharding.shard_documents(odd_documents(spark)).collect()
     assert len(odd) == 10 and {r["doc_id"]: r["size"] for r in odd}[2] == 1
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_map_is_largest_first(spark):
+    """Sizes, checksums, slots, the map and the places against a naive version."""
+    rows = [(i % 90, "ab" * (i * i % 37)) for i in range(200)] + [(None, None)] * 3
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), slots=32, shards=4).toPandas()
+    assert sorted(zip(got["doc_id"].fillna(-1), got["size"], got["text_crc32"])) == sorted((-1 if i is None else i, len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    sums = got.groupby("vslot")["size"].sum().reindex(range(32), fill_value=0)
+    loads, home = [0] * 4, {}
+    for slot in sorted(range(32), key=lambda v: (-sums[v], v)):
+        home[slot] = loads.index(min(loads))
+        loads[home[slot]] += max(1, sums[slot])
+    assert (got["shard"] == got["vslot"].map(home)).all()
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     records = docs.select(sharding.record_size("text").alias("size"), sharding.slot_of("doc_id", 512).alias("vslot"))

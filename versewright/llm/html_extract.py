@@ -62,6 +62,9 @@ NOT_ARTICLE = re.compile(
     r"|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|gdpr|paywall|form|search|hidden)(?:$|[-_\s\d])",
     re.I,
 )
+#: Those of them that as often name something in an article (side-effects, search-results), and words for parts of a page.
+OFTEN_ELSE = frozenset("side rail search form hidden alert alerts login toolbar respond reply".split())
+PARTS = frozenset("area bar block body bottom box button col column container content field group icon inline inner input item items label left link links list main module nav outer pane panel row right section title top widget wrap wrapper".split())
 #: Mean letters of a link below which a list of links is a menu.
 MENU_LINK = 20
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -77,8 +80,15 @@ def _left_out(tag: str, raw: str) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(named.strip() and NOT_ARTICLE.search(_CAMEL.sub("-", named)))
+    named = _CAMEL.sub("-", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    return bool(named.strip() and NOT_ARTICLE.search(named)) and any(_names_no_article(name) for name in named.lower().split())
+
+
+def _names_no_article(name: str) -> bool:
+    """Whether one class is a name of what is not the article: words with other meanings count only beside words for a part of a page."""
+    words = [w for w in re.split(r"[-_\d]+", name) if w]
+    named = [w for w in words if NOT_ARTICLE.search(w)]
+    return any(w not in OFTEN_ELSE for w in named) or bool(named) and all(w in OFTEN_ELSE or w in PARTS for w in words)
 
 
 class _Page:
@@ -89,6 +99,7 @@ class _Page:
         self.blocks: list[tuple[str, int, int, int]] = []  # text, characters in links, links, node
         self._stack, self._text, self._linked, self._links, self._begun = [0], [], 0, 0, 0
         self._open: dict[str, int] = {"#page": 1}  # open elements of each name
+        self._held = [0]  # open blocks
         self._read(source)
 
     def _put(self, text: str) -> None:
@@ -102,8 +113,7 @@ class _Page:
         if self._text:
             words = "".join(self._text).split()
             if words:
-                node = next(n for n in reversed(self._stack) if n == 0 or self.tag[n] in BLOCKS)
-                self.blocks.append((" ".join(words), self._linked, self._begun, node))
+                self.blocks.append((" ".join(words), self._linked, self._begun, self._held[-1]))
             self._text, self._linked, self._begun = [], 0, 0
 
     def _close(self, depth: int) -> None:
@@ -111,8 +121,10 @@ class _Page:
         for node in self._stack[depth:]:
             self._open[self.tag[node]] -= 1
             self._links -= self.tag[node] == "a"
-        if any(self.tag[n] in BLOCKS for n in self._stack[depth:]):
+        blocks = sum(self.tag[n] in BLOCKS for n in self._stack[depth:])
+        if blocks:
             self._flush()
+            del self._held[-blocks:]
         del self._stack[depth:]
 
     def _open_at(self, names: frozenset, stop: frozenset) -> int | None:
@@ -162,11 +174,11 @@ class _Page:
                 close = source.find(">", end.end())
                 at = close + 1 if close >= 0 else n
                 continue
-            if tag in ENDS_P:
+            if tag in ENDS_P and self._open.get("p"):
                 depth = self._open_at(frozenset(["p"]), frozenset(["table", "td", "th", "button"]))
                 if depth is not None:
                     self._close(depth)
-            if tag in FAMILIES:
+            if tag in FAMILIES and any(self._open.get(t) for t in FAMILIES[tag][0]):
                 depth = self._open_at(*FAMILIES[tag])
                 if depth is not None:
                     self._close(depth)
@@ -179,6 +191,8 @@ class _Page:
             self.parent.append(above)
             self.out.append(self.out[above] or _left_out(tag, m[3]))
             self._stack.append(len(self.tag) - 1)
+            if tag in BLOCKS:
+                self._held.append(len(self.tag) - 1)
             self._open[tag] = self._open.get(tag, 0) + 1
             self._links += tag == "a"
             self._begun += tag == "a"
@@ -194,12 +208,9 @@ def main_text(source: str) -> str:
     points, text, linked, begun = [0.0] * len(tag), [0] * len(tag), [0] * len(tag), [0] * len(tag)
     for words, links, starts, node in blocks:
         size = len(words)
-        up = node
-        while up >= 0:
-            text[up] += size
-            linked[up] += links
-            begun[up] += starts
-            up = parent[up]
+        text[node] += size
+        linked[node] += links
+        begun[node] += starts
         if size < 25:
             continue
         score = (1 + words.count(",") + words.count("，") + min(size / 100, 3)) * (1 - min(1.0, links / size))
@@ -207,6 +218,10 @@ def main_text(source: str) -> str:
         while up >= 0 and level < 5:
             points[up] += score / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = parent[up], level + 1
+    for n in range(len(tag) - 1, 0, -1):  # children come behind their parents
+        text[parent[n]] += text[n]
+        linked[parent[n]] += linked[n]
+        begun[parent[n]] += begun[n]
     density = lambda n: min(1.0, linked[n] / text[n]) if text[n] else 0.0
     final = [p * (1 - density(n)) for n, p in enumerate(points)]
     best = max(range(len(final)), key=lambda n: (final[n], -n))
@@ -220,8 +235,10 @@ def main_text(source: str) -> str:
                 break
         up = parent[up]
     kept = {best}
-    if tag[best] not in ("article", "main") and best:
-        bar = max(10.0, 0.2 * final[best])
+    bar = max(10.0, 0.2 * final[best])
+    if tag[best] == "article":  # an article in several parts, but not its teasers
+        kept |= {n for n in range(1, len(tag)) if parent[n] == parent[best] and tag[n] == "article" and final[n] >= 0.3 * final[best] and density(n) < 0.25}
+    elif tag[best] != "main" and best:
         for n in range(1, len(tag)):
             if parent[n] != parent[best] or n == best or not text[n]:
                 continue

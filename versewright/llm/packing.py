@@ -209,15 +209,24 @@ class WordIds:
                 continue
             # Case is dropped letter by letter, but for two letters whose lower case Python chooses otherwise.
             lower = "\u03a3" not in text and "\u0130" not in text
+            own: list[str] = []
             for part in _segments(text, BATCH_BYTES):
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                parts.append((part.lower() if lower else part).replace("\n", " "))
-                places.append(len(out) - 1)
-                held += len(part)
-                if held >= BATCH_BYTES:
-                    settle()
-                    held = 0
+                plain = part.isascii()
+                part = part if plain else unicodedata.normalize("NFC", part)
+                part = part.lower() if lower else part
+                if not plain and not unicodedata.is_normalized("NFC", part):
+                    break  # small letters that the library, asked word by word, would compose anew
+                own.append(part.replace("\n", " "))
+            else:
+                for part in own:
+                    parts.append(part)
+                    places.append(len(out) - 1)
+                    held += len(part)
+                    if held >= BATCH_BYTES:
+                        settle()
+                        held = 0
+                continue
+            out[-1].append(self._ids(text))
         if parts:
             settle()
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.uint32) for x in out]

@@ -10,10 +10,10 @@ joined with the map.
 Sums combine before their shuffle, and numbering inside a shard is done per
 slot, thousands of independent tasks, after which slots are laid end to end.
 A document's key is its id and a checksum of its text, so neither null nor
-repeated ids share a slot; only rows that are the same in both do.  Where such
-rows make a slot hold far more rows than the mean, its rows are dealt over all
-slots by their place in the stored table, so a record that makes up a third of
-the table still leaves shards even and no numbering task large.
+repeated ids share a slot.  Rows that are the same in both are told apart by their
+number among their like, which is part of the key too: a record that makes
+up a third of the table is dealt over all slots like other records, and
+however the table is split, as many of its rows are in a slot.
 
 Defined results: a null text has no bytes; a null key hashes like the empty
 string; repeated rows are numbered one after another; an empty table gives
@@ -29,8 +29,6 @@ from .common import frozen
 
 SLOTS = 4096
 SHARDS = 16
-#: Times the mean number of rows beyond which a slot's rows are dealt anew.
-CROWDED = 8
 
 
 def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
@@ -121,11 +119,26 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.monotonically_increasing_id().alias("row"),
     )
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
-    records = frozen(records.withColumn("vslot", slot_of(key, slots)))
-    full = slot_bytes(records, slots=slots)
-    mean = F.sum("n").over(Window.partitionBy(F.lit(0))) / slots  # one row per slot, a fixed number
-    hot = full.select("vslot", (F.col("n") > CROWDED * mean + 64).alias("hot")).where("hot")
-    dealt = records.join(F.broadcast(hot), "vslot", "left")
-    records = dealt.withColumn("vslot", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")).otherwise(F.col("vslot"))).drop("hot")
+    records = numbered_among_like(records.withColumn("key", key))
+    records = frozen(records.withColumn("vslot", slot_of(F.concat_ws("/", "key", "number"), slots)).drop("key", "number"))
     slot_map = edited_map(slot_bytes(records, slots=slots), shards)
     return sharded(records, slot_map, order=("doc_id", "size", "text_crc32", "row")).drop("row")
+
+
+def numbered_among_like(records: DataFrame, key: str = "key", row: str = "row") -> DataFrame:
+    """``records`` with ``number``, from 0, among the rows of their key; ``row`` is unique and of :func:`monotonically_increasing_id`.
+
+    Only keys that repeat are numbered: in each part of the table on its own, the
+    parts' counts laid end to end, so a key with a third of all rows is numbered by
+    as many tasks as have read it.
+    """
+    stored = frozen(records.withColumn("part", F.shiftright(row, 33)))
+    counts = frozen(stored.groupBy(key, "part").agg(F.count("*").alias("n")))
+    several = frozen(counts.groupBy(key).agg(F.sum("n").alias("all")).where("all > 1").select(key))
+    met = stored.join(several.withColumn("repeats", F.lit(True)), key, "left")
+    alone = met.where("repeats is null").select(*records.columns, F.lit(0).cast("bigint").alias("number"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = counts.join(several, key, "left_semi").select(key, "part", start.alias("start"))
+    place = F.row_number().over(Window.partitionBy(key, "part").orderBy(row)) - 1
+    numbered = stored.join(several, key, "left_semi").withColumn("place", place).join(laid, [key, "part"])
+    return alone.unionByName(numbered.select(*records.columns, (F.col("start") + F.col("place")).cast("bigint").alias("number")))
