@@ -13,9 +13,8 @@ stored once, in chunks, and each is compared chunk by chunk with the smallest
 row of its candidate group: an equi-join on (fingerprint, chunk number) whose
 right side has one row per chunk, so a group with a third of all rows is
 split like any skewed join.  A candidate that differs (a fingerprint
-collision) forms a class of its own by SHA-256.  Texts of documents that are
-no candidates are not shuffled while the list of candidates is small enough
-for Spark to broadcast it (by the size of the stored list).
+collision) forms a class of its own by SHA-256.  Texts meet the list of candidates
+in a merge join, whatever the list's size, so the work grows evenly with the input.
 
 Defined results: null text counts as empty; of equal texts the row with the
 most code points, then the smallest ``doc_id`` (null last), then any one
@@ -175,7 +174,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # Candidates with their texts; the first of each group is what the others are compared with.
     # Repeated rows share a key and are one candidate, or their copies would meet in the joins below.
     members = frozen(marked.select("key", "poly", "n_bytes").distinct().join(groups, ["poly", "n_bytes"]).select("key", "poly", "n_bytes", "first_key"))
-    pieces = frozen(_pieces(base.select("key", "text").join(members, "key").dropDuplicates(["key"])))
+    pieces = frozen(_pieces(base.select("key", "text").join(members.hint("merge"), "key").dropDuplicates(["key"])))
     model = pieces.where("key = first_key").select("poly", "n_bytes", "chunk_no", F.col("piece").alias("model"))
     compared = pieces.where("key <> first_key").join(model, ["poly", "n_bytes", "chunk_no"], "left")
     differs = frozen(compared.where(~F.col("piece").eqNullSafe(F.col("model"))).select("key").distinct().withColumn("differs", F.lit(True)))
