@@ -48,9 +48,9 @@ def test_candidates_are_judged_and_ranked(spark):
     ]
     c = select.judge(spark.createDataFrame(rows, "id string, source string, sync string, declared string, n_words int, duration double, last_end double"), F.lit(180.0))
     got = {r["id"]: r for r in select.candidate_summary(c).collect()}
-    assert got["g"]["reason"] == "only 11 words" and not got["g"]["usable"] and got["g"]["notes"] == []
-    assert got["c"]["notes"] == ["length 190s vs audio 180s: text only"] and got["d"]["notes"] == ["timed past the audio end (184s > 180s): text only"]
-    assert got["b"]["notes"] == ["declared word but parsed as line"] and not got["f"]["text_only"] and got["c"]["effective_sync"] == "unsynced"
+    assert got["g"]["reason"] == "words:11" and not got["g"]["usable"] and got["g"]["notes"] == []
+    assert got["c"]["notes"] == ["duration:190:180"] and got["d"]["notes"] == ["late_end:184:180"]
+    assert got["b"]["notes"] == ["mismatch:word:line"] and not got["f"]["text_only"] and got["c"]["effective_sync"] == "unsynced"
     ranked = select.ranked(c.where("not rejected").withColumn("song", F.lit(1)), [*select.candidate_order(F.lit(180.0)), F.col("id")], ("song",))
     assert [r["id"] for r in ranked.orderBy("rank").collect()] == ["e", "a", "h", "b", "c", "d", "f"]
 

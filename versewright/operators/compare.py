@@ -103,8 +103,37 @@ def version_decisions(pairs: DataFrame, chosen: str = "chosen", other: str = "ot
     return pairs.mapInPandas(run, schema + "kind string, line_no int, text string")
 
 
+class _Lcs:
+    """Lengths of the longest common subsequences of all pairs of suffixes, a bit per element and a number per row.
+
+    Row ``k`` is for the last ``k`` elements of ``a``; its zeros among the lowest ``l``
+    bits count what they have in common with the last ``l`` elements of ``b``.
+    """
+
+    def __init__(self, a: list, b: list) -> None:
+        where: dict = {}
+        for i, y in enumerate(reversed(b)):
+            where[y] = where.get(y, 0) | 1 << i
+        full = (1 << len(b)) - 1
+        row, self.rows, self.sizes = full, [full], (len(a), len(b))
+        for x in reversed(a):
+            hit = row & where.get(x, 0)
+            row = (row + hit | row & ~hit) & full
+            self.rows.append(row)
+
+    def after(self, i: int, j: int) -> int:
+        """Of ``a`` from ``i`` on and ``b`` from ``j`` on."""
+        size = self.sizes[1] - j
+        return size - (self.rows[self.sizes[0] - i] & (1 << size) - 1).bit_count()
+
+
 def lcs_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Index pairs ``(i, j)`` of a longest common subsequence of two arrays; of equal choices the earlier ``a`` moves first."""
+    """Index pairs ``(i, j)`` of a longest common subsequence of two arrays; of equal choices the earlier ``a`` moves first.
+
+    Arrays of n and m elements take n x m / 8 bytes and n x m / 64 steps: 100,000
+    lines against as many are 1.2 GB, so longer texts are cut at lines that both have
+    once.
+    """
     keys = [c for c in pairs.columns if c not in (a, b)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,16 +141,12 @@ def lcs_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             out = []
             for row in batch.to_dict("records"):
                 x, y = list(row[a]), list(row[b])
-                best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-                for i in range(len(x) - 1, -1, -1):
-                    for j in range(len(y) - 1, -1, -1):
-                        best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-                i = j = 0
+                best, i, j = _Lcs(x, y), 0, 0
                 while i < len(x) and j < len(y):
                     if x[i] == y[j]:
                         out.append({**{c: row[c] for c in keys}, "i": i, "j": j})
                         i, j = i + 1, j + 1
-                    elif best[i + 1][j] >= best[i][j + 1]:
+                    elif best.after(i + 1, j) >= best.after(i, j + 1):
                         i += 1
                     else:
                         j += 1

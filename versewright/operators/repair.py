@@ -73,11 +73,14 @@ def first_hits(ours: list[tuple[int, int, str]], heard: list[tuple[str, float]])
     """For each of our lines with a solid match: place of its first matched word, and when that was heard; ``ours`` has (line, place, key)."""
     matcher = difflib.SequenceMatcher(a=[k for _, _, k in ours], b=[k for k, _ in heard], autojunk=False)
     hits: dict[int, tuple[int, float]] = {}
+    places: dict[tuple[int, str], int] = {}
+    for line, place, key in ours:
+        places.setdefault((line, key), place)
     for block in matcher.get_matching_blocks():
         if block.size >= LEAST_RUN or block.size and len(ours[block.a][2]) >= LEAST_SINGLE:
             for (line, _, key), (_, at) in zip(ours[block.a : block.a + block.size], heard[block.b : block.b + block.size]):
                 if line not in hits:
-                    hits[line] = (next(p for n, p, k in ours if n == line and k == key), at)
+                    hits[line] = (places[line, key], at)
     return hits
 
 
@@ -215,5 +218,5 @@ def retimed(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def offset_decision(checks: DataFrame, least_words: int = 10, least_ms: int = 120, most_spread: int = 150) -> DataFrame:
     """Whether a source's timing is shifted: (offset, spread, words) of a song give ``applied`` and a ``reason``."""
-    reason = F.when(F.col("offset").isNull() | (F.col("words") < least_words), "too few words").when(F.abs("offset") < least_ms, "in sync").when(F.col("spread") > most_spread, "offset not consistent").otherwise("consistent offset")
-    return checks.withColumns({"reason": reason, "applied": reason == "consistent offset"})
+    reason = F.when(F.col("offset").isNull() | (F.col("words") < least_words), "few words").when(F.abs("offset") < least_ms, "close").when(F.col("spread") > most_spread, "words disagree").otherwise("shifted")
+    return checks.withColumns({"reason": reason, "applied": reason == "shifted"})

@@ -12,7 +12,9 @@ LEAST_WORDS, DURATION_SLACK = 12, 3.0
 
 
 def judge(candidates: DataFrame, audio_seconds: Column) -> DataFrame:
-    """``rejected`` with a ``reason`` under 12 words; ``text_only`` with a ``note`` when the length is off by more than three seconds or timed words end after the audio.
+    """Candidates judged; reasons and notes are codes with their numbers.
+
+    ``rejected`` with a ``reason`` under 12 words; ``text_only`` with a ``note`` when the length is off by more than three seconds or timed words end after the audio.
 
     ``candidates`` have ``n_words``, ``duration``, ``last_end``, ``sync`` (as
     parsed) and ``declared``.  ``mismatch`` marks a declared word timing that
@@ -23,11 +25,11 @@ def judge(candidates: DataFrame, audio_seconds: Column) -> DataFrame:
     late = F.coalesce((F.col("sync") != "unsynced") & (F.col("last_end") > audio_seconds + DURATION_SLACK), F.lit(False))
     word_level = lambda c: F.col(c).isin("word", "syllable")
     whole = lambda c: F.round(c).cast("bigint").cast("string")
-    note = F.when(few, None).when(off, F.concat(F.lit("length "), whole(F.col("duration")), F.lit("s vs audio "), whole(audio_seconds), F.lit("s: text only"))).when(
-        late, F.concat(F.lit("timed past the audio end ("), whole(F.col("last_end")), F.lit("s > "), whole(audio_seconds), F.lit("s): text only")))
+    note = F.when(few, None).when(off, F.concat_ws(":", F.lit("duration"), whole(F.col("duration")), whole(audio_seconds))).when(
+        late, F.concat_ws(":", F.lit("late_end"), whole(F.col("last_end")), whole(audio_seconds)))
     return candidates.withColumns({
         "rejected": few,
-        "reason": F.when(few, F.concat(F.lit("only "), F.coalesce(F.col("n_words"), F.lit(0)).cast("string"), F.lit(" words"))),
+        "reason": F.when(few, F.concat_ws(":", F.lit("words"), F.coalesce(F.col("n_words"), F.lit(0)).cast("string"))),
         "text_only": ~few & (off | late),
         "note": note,
         "mismatch": F.coalesce(~few & word_level("declared") & ~word_level("sync"), F.lit(False)),
@@ -44,7 +46,7 @@ def candidate_order(audio_seconds: Column, preference: tuple[str, ...] = SOURCE_
 def candidate_summary(candidates: DataFrame) -> DataFrame:
     """One row per candidate for a report: what it is, how it was judged and what it may be used for."""
     usable = effective_sync(F.col("sync"), F.col("declared"), F.col("text_only"))
-    return candidates.withColumns({"usable": ~F.col("rejected") & (F.col("n_words") > 0), "effective_sync": usable, "notes": F.array_compact(F.array("note", F.when(F.col("mismatch"), F.concat_ws(" ", F.lit("declared"), "declared", F.lit("but parsed as"), "sync"))))})
+    return candidates.withColumns({"usable": ~F.col("rejected") & (F.col("n_words") > 0), "effective_sync": usable, "notes": F.array_compact(F.array("note", F.when(F.col("mismatch"), F.concat_ws(":", F.lit("mismatch"), "declared", "sync"))))})
 
 
 def effective_sync(parsed: Column, declared: Column, text_only: Column) -> Column:

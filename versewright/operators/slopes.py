@@ -50,7 +50,11 @@ def median_slopes(points: DataFrame, x: str, y: str, by: str, least: float, bloc
         own = _slopes(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["x"].to_numpy(), rows["y"].to_numpy(), least)
         return pd.DataFrame({"song": rows["song"].iloc[:1], "slope": [np.median(own)]}) if len(own) else pd.DataFrame({"song": [], "slope": []})
 
+    longest = points.groupBy("song").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
     small = sized.where("blocks = 1").select("song", "x", "y").groupBy("song").applyInPandas(direct, f"song {kind}, slope double")
+    if (longest or 0) <= block:
+        return small.select(F.col("song").alias(by), "slope")
     long = sized.where("blocks > 1")
     # Each point meets every block of its song; a pair of blocks is one group.
     own = F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int")

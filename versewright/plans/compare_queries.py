@@ -185,8 +185,8 @@ _K = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'), ' ')"
 _CAND = rf"""cand AS (SELECT doc_id, doc_id % 50 AS song, source, ['word', 'line', 'unsynced', 'syllable'][doc_id % 4 + 1] AS sync, ['word', 'line', 'unsynced', 'syllable'][(doc_id * 7 + 1) % 4 + 1] AS declared,
     len(list_filter(string_split({_K}, ' '), lambda w: w <> '')) AS n_words, CASE doc_id % 3 WHEN 0 THEN 200.0 + doc_id % 7 - 3 WHEN 1 THEN n_chars / 10 END AS duration, 200.0 + doc_id % 9 - 4 AS last_end FROM documents WHERE text IS NOT NULL
   ), j AS (SELECT *, n_words < 12 AS rejected, coalesce(abs(duration - 200) > 3, false) AS off, sync <> 'unsynced' AND last_end > 203 AS late FROM cand
-  ), judged AS (SELECT *, NOT rejected AND (off OR late) AS text_only, CASE WHEN rejected THEN 'only ' || n_words || ' words' END AS reason,
-      CASE WHEN rejected THEN NULL WHEN off THEN 'length ' || round(duration)::BIGINT || 's vs audio 200s: text only' WHEN late THEN 'timed past the audio end (' || last_end::BIGINT || 's > 200s): text only' END AS note,
+  ), judged AS (SELECT *, NOT rejected AND (off OR late) AS text_only, CASE WHEN rejected THEN 'words:' || n_words END AS reason,
+      CASE WHEN rejected THEN NULL WHEN off THEN 'duration:' || round(duration)::BIGINT || ':200' WHEN late THEN 'late_end:' || last_end::BIGINT || ':200' END AS note,
       NOT rejected AND declared IN ('word', 'syllable') AND sync NOT IN ('word', 'syllable') AS mismatch FROM j
   ), keyed AS (SELECT *, CASE WHEN text_only THEN 0 ELSE list_position(['line', 'word', 'syllable'], sync) END AS r, list_position(['line', 'word', 'syllable'], sync) AS own,
       CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 ELSE 4 END AS pref, abs(coalesce(duration, 200) - 200) AS diff FROM judged WHERE NOT rejected
@@ -208,7 +208,7 @@ SQL = {
     "rank_candidates": f"WITH {_CAND} SELECT song, doc_id, place FROM placed",
     "best_candidate": f"WITH {_CAND} SELECT song, doc_id, source FROM placed WHERE place = 1",
     "candidate_summary": f"""WITH {_CAND} SELECT doc_id, source, CASE WHEN text_only THEN 'unsynced' ELSE sync END AS effective_sync, n_words, duration, NOT rejected AND n_words > 0 AS usable,
-      concat_ws('; ', note, CASE WHEN mismatch THEN 'declared ' || declared || ' but parsed as ' || sync END) AS notes FROM judged""",
+      concat_ws('; ', note, CASE WHEN mismatch THEN 'mismatch:' || declared || ':' || sync END) AS notes FROM judged""",
     "first_word_synced": f"WITH {_CAND} SELECT song, min(doc_id) AS doc_id FROM judged WHERE sync IN ('word', 'syllable') AND NOT rejected AND NOT text_only GROUP BY song",
     "best_rendition": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem) q WHERE k = 1",
     "top_variants": """SELECT l_returnflag, l_suppkey, n FROM (SELECT l_returnflag, l_suppkey, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_suppkey) AS k FROM lineitem GROUP BY 1, 2) q WHERE k <= 3""",

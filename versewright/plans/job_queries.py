@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +22,8 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def job_store(spark: SparkSession, sf: str) -> DataFrame:
     """Stored jobs, of which only the folder of finished ones is read."""
-    path = f"{progress.shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    path = progress.passing_folder(spark, "jobs")
+    progress.gone_at_exit(spark, f"{path}-again")
     own = _jobs(spark, sf).select("job", "events", "status")
     jobs.save_jobs(own, path)
     jobs.save_jobs(jobs.read_jobs(spark, path, own.schema, "failed").withColumn("events", F.lit(0).cast("bigint")), f"{path}-again")
@@ -58,8 +57,8 @@ def subscription(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve events of each job as its stages."""
-    e = table(spark, sf, "events").withColumn("stage", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("stage <= 12")
+    """The events of each job as its stages."""
+    e = table(spark, sf, "events").withColumn("stage", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     s = e.select(F.col("user_id").alias("job"), "stage", F.when(F.col("event_id") % 5 != 0, F.col("ts")).alias("began"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("ended"), (F.col("event_id") % 17 == 0).alias("failed"))
     return jobs.stage_reports(s, "job", "stage").select("job", F.col("stage").cast("bigint").alias("stage"), "state")
 
@@ -92,7 +91,7 @@ SQL = {
     "event_log": f"SELECT user_id AS job, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY 1",
     "event_frames": f"""SELECT event_id, md5('event: ' || CASE WHEN event_type IN ('purchase', 'login') THEN 'status' ELSE 'progress' END || chr(10) || 'data: {{"job":' || user_id || ',"event":' || event_id || ',"state":"' || {_ST} || '"}}' || chr(10) || chr(10)) AS digest FROM events""",
     "subscription": f"""WITH b AS (SELECT *, count(*) FILTER (event_type IN ('purchase', 'login')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM events) SELECT event_id, {_ST} AS state FROM b WHERE k = 0""",
-    "stage_reports": """WITH s AS (SELECT user_id AS job, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stage FROM events), f AS (SELECT *, coalesce(bool_or(event_id % 17 = 0) OVER (PARTITION BY job ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM s WHERE stage <= 12)
+    "stage_reports": """WITH s AS (SELECT user_id AS job, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stage FROM events), f AS (SELECT *, coalesce(bool_or(event_id % 17 = 0) OVER (PARTITION BY job ORDER BY stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM s)
       SELECT job, stage, CASE WHEN broken THEN 'skipped' WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'running' ELSE 'done' END AS state FROM f""",
     "changed_files": f"""{_JOBS}, n AS (SELECT user_id AS job, max(ts) AS m, max(ts) FILTER (event_id % 40 <> 0 AND user_id % 9 <> 0) AS was FROM events GROUP BY 1) SELECT n.job FROM n JOIN j ON j.job = n.job WHERE (was IS NULL OR m > was) AND NOT (status = 'running' AND n.job % 2 = 0)""",
     "pipeline_rules": """SELECT doc_id, doc_id % 3 <> 0 AND n_chars > 500 AND doc_id % 4 > 1 AND doc_id % 5 <> 0 AS witness, CASE WHEN lang IN ('en', 'de') THEN 'singing' ELSE 'speech' END AS model FROM documents""",

@@ -136,5 +136,5 @@ SQL = {
       SELECT z.song, z.line_no, z.word_no, round(CASE WHEN m = n THEN o.begin_ms::DOUBLE ELSE b + (e - b) * (upto - wt) / total END, 6) AS begin_ms, round(CASE WHEN m = n THEN o.end_ms::DOUBLE ELSE b + (e - b) * upto / total END, 6) AS end_ms, m <> n AND b IS NOT NULL AS spread
       FROM z JOIN g ON g.song = z.song AND g.line_no = z.line_no LEFT JOIN o ON o.song = z.song AND o.line_no = z.line_no AND o.word_no = z.word_no""",
     "offset_decision": """WITH c AS (SELECT user_id AS song, sum(floor(value))::BIGINT % 700 - 350 AS off, sum(floor(value))::BIGINT % 311 AS spread, count(*) % 40 AS words FROM events GROUP BY 1
-      ), r AS (SELECT song, CASE WHEN words < 10 THEN 'too few words' WHEN abs(off) < 120 THEN 'in sync' WHEN spread > 150 THEN 'offset not consistent' ELSE 'consistent offset' END AS reason FROM c) SELECT song, reason, reason = 'consistent offset' AS applied FROM r""",
+      ), r AS (SELECT song, CASE WHEN words < 10 THEN 'few words' WHEN abs(off) < 120 THEN 'close' WHEN spread > 150 THEN 'words disagree' ELSE 'shifted' END AS reason FROM c) SELECT song, reason, reason = 'shifted' AS applied FROM r""",
 }

@@ -102,8 +102,8 @@ def next_line_end(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def instance_position(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "conversations").select(F.col("role").alias("grp"), "conv_id").distinct()
-    return timing.instance_positions(t, "grp", "conv_id").select("grp", "conv_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("instances").cast("bigint").alias("instances"))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("grp"), "turn").distinct()
+    return timing.instance_positions(t, "grp", "turn").select("grp", "turn", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("instances").cast("bigint").alias("instances"))
 
 
 def next_free_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +234,7 @@ SQL = {
     "syllable_position": _SYLL + """ SELECT song, CASE WHEN group_size = 1 THEN 'none' WHEN in_group = 1 THEN 'first' WHEN in_group = group_size THEN 'last' ELSE 'middle' END AS position, count(*) AS n FROM pos GROUP BY ALL""",
     "whole_words": _SYLL + """ SELECT song, line_no, group_no, string_agg(text, '' ORDER BY word_no) AS text, arg_min(begin_ms, word_no) AS begin_ms, arg_max(end_ms, word_no) AS end_ms, count(*) AS pieces FROM pos GROUP BY song, line_no, group_no""",
     "next_line_end": _STARTS + " SELECT song, line_no, coalesce(lead(begin_ms) OVER (PARTITION BY song ORDER BY line_no), begin_ms + greatest(2000, n_words * 600)) AS line_end FROM starts",
-    "instance_position": """SELECT grp, conv_id, dense_rank() OVER (PARTITION BY grp ORDER BY conv_id) AS ordinal, count(*) OVER (PARTITION BY grp) AS instances FROM (SELECT DISTINCT role AS grp, conv_id FROM conversations) q""",
+    "instance_position": "SELECT grp, turn, dense_rank() OVER (PARTITION BY grp ORDER BY turn) AS ordinal, count(*) OVER (PARTITION BY grp) AS instances FROM (SELECT DISTINCT conv_id AS grp, turn FROM conversations) q",
     "next_free_index": """WITH u AS (SELECT DISTINCT user_id, CAST(floor(value / 10) AS BIGINT) AS idx FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS pos FROM u)
       SELECT user_id, coalesce(min(CASE WHEN pos <> idx THEN pos END), count(*)) AS next_index FROM r GROUP BY user_id""",
     "row_bands": """WITH c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

@@ -57,10 +57,11 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame], None] | None = None,
 
     Every batch's result is written under its number, so a batch that runs
     twice after a failure overwrites itself.  In complete mode the last
-    batch is the result, in append and update mode all are.
+    batch is the result, in append and update mode all are.  The folder goes
+    when the driver ends.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = passing_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -74,6 +75,19 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame], None] | None = None,
     return done.drop("batch")
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete ``path`` when it ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+def passing_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among those that all executors share; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    gone_at_exit(spark, path)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found:
