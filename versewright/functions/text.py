@@ -52,6 +52,18 @@ def is_section(text: Column) -> Column:
     return text.rlike(r"^\s*\[[^\]]*\]\s*$")
 
 
+#: What stands before the colon of a credit line, without spaces, and what ends a short label of one.
+CREDITS = ("lyricsby", "composedby", "arrangedby", "producedby", "writtenby", "lyricist", "composer", "producer", "arranger", "mixedby", "masteredby", "recordedby")
+CREDIT_ENDS = ("词", "詞", "曲", "声", "聲", "音")
+
+
+def is_credit(text: Column) -> Column:
+    """A line that names who made the song: a known label, or one of at most four signs that ends like one, before its first colon."""
+    label = F.lower(F.regexp_replace(F.regexp_extract(text, r"(?s)^(.*?)[:：]", 1), r"\s+", ""))
+    short = (F.length(label) <= 4) & label.rlike("(" + "|".join(CREDIT_ENDS) + ")$")
+    return F.coalesce(label.isin(*CREDITS) | short, F.lit(False))
+
+
 def classify_parentheses(text: Column) -> Column:
     """none, standalone, inline, or skip for unbalanced and nested ones."""
     opened, closed = F.length(F.regexp_replace(text, r"[^(]", "")), F.length(F.regexp_replace(text, r"[^)]", ""))

@@ -146,9 +146,10 @@ def escape_xml(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def credit_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines whose short prefix before a colon names a role."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
-    return c.where(F.trim(F.split_part("line", F.lit(":"), F.lit(1))).isin("assistant", "system")).groupBy("conv_id").agg(F.count("*").alias("credits"))
+    """Turns behind six labels, four of which name a role."""
+    labels = F.array(*[F.lit(x) for x in ("Lyrics by:", "词：", "Composer :", "the end 曲:", "Notes:", "作 曲:")])
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.element_at(labels, (F.col("turn") % 6 + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("line"))
+    return c.where(X.is_credit(F.col("line"))).groupBy("conv_id").agg(F.count("*").alias("credits"))
 
 
 def term_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,6 +223,6 @@ SQL = {
     "language_guess": f"""WITH v AS (SELECT doc_id, {_votes()} FROM documents WHERE text IS NOT NULL), t AS (SELECT *, greatest(en, de, es, fr) AS top FROM v)
       SELECT doc_id, CASE WHEN top = 0 OR (en = top)::INT + (de = top)::INT + (es = top)::INT + (fr = top)::INT > 1 THEN 'en' WHEN en = top THEN 'en' WHEN de = top THEN 'de' WHEN es = top THEN 'es' ELSE 'fr' END AS guess FROM t""",
     "escape_xml": """SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) AS digest FROM pages""",
-    "credit_lines": "SELECT conv_id, count(*) AS credits FROM conversations WHERE role IN ('assistant', 'system') GROUP BY conv_id",
+    "credit_lines": "SELECT conv_id, count(*) AS credits FROM conversations WHERE turn % 6 IN (0, 1, 2, 5) GROUP BY conv_id",
     "term_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') AND contains(lower(text), 'of')",
 }

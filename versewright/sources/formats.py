@@ -25,8 +25,6 @@ LRC_WORD = r"<(\d+:\d{1,2}(?:[.:]\d{1,3})?)>([^<]*)"
 QRC_LINE = r"^\[(\d+),(\d+)\](.*)$"
 QRC_WORD = r"(.*?)\((\d+),(\d+)\)"
 LAST_LINE_MS = 5000
-#: What a credit line begins with.
-CREDITS = ("lyrics by", "composed by", "produced by", "written by", "arranged by", "music by")
 
 
 def header(content: Column, tag: str) -> Column:
@@ -84,8 +82,7 @@ def read_qrc(docs: DataFrame, song: str = "song", content: str = "content") -> D
     body = docs.select(song, qrc_body(F.col(content)).alias("_b"))
     lines = body.select(song, offset_ms(F.col("_b")).alias("_off"), F.posexplode(F.split("_b", r"\r?\n")).alias("_pos", "_raw")).where(F.col("_raw").rlike(QRC_LINE))
     lines = lines.withColumn("_at", F.regexp_extract("_raw", QRC_LINE, 1).cast("bigint")).withColumn("_body", F.regexp_extract("_raw", QRC_LINE, 3))
-    plain = F.lower(F.trim(F.regexp_replace("_body", r"\(\d+,\d+\)", "")))
-    credit = plain.rlike("^(" + "|".join(CREDITS) + r")\b") | (F.length(F.split_part(plain, F.lit(":"), F.lit(1))) <= 12) & F.split_part(plain, F.lit(":"), F.lit(1)).isin("lyrics", "composer", "producer", "arranger", "writer")
+    credit = X.is_credit(F.regexp_replace("_body", r"\(\d+,\d+\)", ""))
     lines = lines.where(~credit)
     of_song = Window.partitionBy(song).orderBy("_at", "_pos")
     lines = lines.withColumn("line_no", F.row_number().over(of_song) - 1).withColumn("_next", F.lead("_at").over(of_song))
