@@ -154,20 +154,27 @@ def language_by_script(text: Column) -> Column:
     return F.when(text.rlike("[" + "".join(ranges for _, ranges, _ in SCRIPTS) + "]"), out)
 
 
-def stop_word_votes(text: Column) -> dict[str, Column]:
-    """How many whole tokens between white space are stop words of each language, case aside."""
-    words = F.split(F.lower(text), r"\s+")
+def stop_words_in(text: Column) -> Column:
+    """The whole tokens between white space that are stop words of any language, in lower case."""
+    every = sorted({w for own in STOP_WORDS.values() for w in own})
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w.isin(*every))
+
+
+def stop_word_votes(found: Column) -> dict[str, Column]:
+    """How many of the found stop words are of each language."""
     among = lambda own: lambda w: w.isin(*own)
-    return {lang: F.size(F.filter(words, among(own))) for lang, own in STOP_WORDS.items()}
+    return {lang: F.size(F.filter(found, among(own))) for lang, own in STOP_WORDS.items()}
 
 
 def guess_language(docs: DataFrame, text: str = "text", out: str = "guess", fallback: str = "en") -> DataFrame:
     """By script, else the single language with most stop words; a tie or no vote gives ``fallback``.
 
-    The votes are columns of a step of their own, so each is counted once.
+    A text is cut into tokens once; the few that are stop words are counted in a
+    step of its own.
     """
-    votes = stop_word_votes(F.col(text))
-    counted = docs.withColumns({f"_{k}": v for k, v in votes.items()} | {"_script": language_by_script(F.col(text))})
+    found = docs.withColumns({"_found": stop_words_in(F.col(text)), "_script": language_by_script(F.col(text))})
+    votes = stop_word_votes(F.col("_found"))
+    counted = found.withColumns({f"_{k}": v for k, v in votes.items()}).drop("_found")
     own = {k: F.col(f"_{k}") for k in votes}
     top = F.greatest(*own.values())
     leaders = sum((F.when(v == top, 1).otherwise(0) for v in own.values()), F.lit(0))

@@ -11,7 +11,7 @@ points, as the definition asks, its memory and shuffled rows are not.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,18 +43,28 @@ def median_slopes(points: DataFrame, x: str, y: str, by: str, least: float, bloc
     """
     kind = points.schema[by].dataType.simpleString()
     points = points.select(F.col(by).alias("song"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    sized = points.join(points.groupBy("song").agg(F.count("*").alias("n")), "song").withColumn("blocks", blocks)
-
-    def direct(rows: pd.DataFrame) -> pd.DataFrame:
-        own = _slopes(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["x"].to_numpy(), rows["y"].to_numpy(), least)
-        return pd.DataFrame({"song": rows["song"].iloc[:1], "slope": [np.median(own)]}) if len(own) else pd.DataFrame({"song": [], "slope": []})
-
     longest = points.groupBy("song").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
 
-    small = sized.where("blocks = 1").select("song", "x", "y").groupBy("song").applyInPandas(direct, f"song {kind}, slope double")
+    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            songs, medians = [], []
+            for song, x, y in zip(batch["song"], batch["x"], batch["y"]):
+                own = _slopes(np.asarray(x, float), np.asarray(y, float), np.asarray(x, float), np.asarray(y, float), least)
+                if len(own):
+                    songs.append(song)
+                    medians.append(np.median(own))
+            yield pd.DataFrame({"song": songs, "slope": medians}).astype({"song": object})
+
+    def whole(rows: DataFrame) -> DataFrame:
+        """Medians of songs of one block: a row per song."""
+        each = rows.groupBy("song").agg(F.collect_list(F.struct("x", "y")).alias("p"))
+        return each.select("song", F.transform("p", lambda p: p["x"]).alias("x"), F.transform("p", lambda p: p["y"]).alias("y")).mapInPandas(direct, f"song {kind}, slope double")
+
     if (longest or 0) <= block:
-        return small.select(F.col("song").alias(by), "slope")
+        return whole(points).select(F.col("song").alias(by), "slope")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    sized = points.join(points.groupBy("song").agg(F.count("*").alias("n")), "song").withColumn("blocks", blocks)
+    small = whole(sized.where("blocks = 1"))
     long = sized.where("blocks > 1")
     # Each point meets every block of its song; a pair of blocks is one group.
     own = F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int")

@@ -54,7 +54,7 @@ PREFERENCE = ("src3", "src1", "src2")
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates of the song named by ``doc_id % 50``."""
-    words = F.size(F.filter(F.split(X.word_key(F.col("text")), " "), lambda w: w != ""))
+    words = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"))
     pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
     kinds = ("word", "line", "unsynced", "syllable")
     length = F.when(F.col("doc_id") % 3 == 0, F.lit(AUDIO) + F.col("doc_id") % 7 - 3).when(F.col("doc_id") % 3 == 1, F.col("n_chars") / 10)

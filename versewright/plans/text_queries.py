@@ -133,8 +133,8 @@ def script_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stopword_vote(spark: SparkSession, sf: str) -> DataFrame:
-    votes = X.stop_word_votes(F.col("text"))
-    return _docs(spark, sf).select("doc_id", *[v.cast("bigint").alias(k) for k, v in votes.items()])
+    votes = X.stop_word_votes(F.col("found"))
+    return _docs(spark, sf).select("doc_id", X.stop_words_in(F.col("text")).alias("found")).select("doc_id", *[v.cast("bigint").alias(k) for k, v in votes.items()])
 
 
 def language_guess(spark: SparkSession, sf: str) -> DataFrame:
