@@ -490,6 +490,15 @@ def test_map_is_largest_first(spark):
         assert sorted(own["slot"]) == list(range(len(own)))
 
 
+def test_map_edit_query(spark):
+    got = queries()["sharding_map_edit"](spark, SF).toPandas()
+    assert len(got) == sharding.SLOTS and got["records"].sum() == documents(spark).count()
+    for name, shards in (("shard_1", 16), ("shard_2", 17)):
+        load = got.groupby(name)["bytes"].sum()
+        assert len(load) == shards and load.max() < 1.5 * load.mean()
+    assert (got["shard_1"] != got["shard_2"]).mean() < 0.2
+
+
 def test_rebalancing_moves_little(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     records = docs.select(sharding.record_size("text").alias("size"), sharding.slot_of("doc_id", 512).alias("vslot"))

@@ -40,7 +40,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     ``a`` and ``b`` are comparable columns of one type.  Links with a null
     end, loops and repeated links add nothing; an empty table gives an empty
-    result.  Only nodes with a link to another node are returned.
+    result.  Only nodes with a link to another node are returned.  Rounds
+    halve a chain, so ``max_rounds`` is beyond chains that a table can hold; if
+    components have not settled by then it is an error, and a call with more
+    rounds goes on from the start.
     """
     edges = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = frozen(edges.toDF("hi", "lo", "whole").where("whole and hi <> lo").select("hi", "lo").distinct())

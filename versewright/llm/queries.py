@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, exact_dedup, filter_audit, hard_negatives, html_extract, language_id, line_dedup, packing, sharding, simhash, substring_dedup, url_filter
-from .common import small_batches
+from .common import checkpoint_dir, frozen, gone_at_exit, small_batches
 
 #: The rules of ``op3_url_filter``.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -55,6 +56,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def sharding_map_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot map of all documents for 16 shards, stored and read again, and its next version for 17: each slot's bytes and shards."""
+    records = sharding.slotted(_table(spark, sf_dir, "documents"))
+    sums = frozen(sharding.slot_bytes(records))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
+    sharding.write_map(sharding.edited_map(sums, 16, version=1), folder)
+    sharding.write_map(sharding.edited_map(sums, 17, previous=sharding.read_map(spark, folder, 1), version=2), folder)
+    old, new = (sharding.read_map(spark, folder, v).select("vslot", F.col("shard").alias(f"shard_{v}")) for v in (1, 2))
+    return sums.select("vslot", "bytes", F.col("n").alias("records")).join(old, "vslot").join(new, "vslot")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +98,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_exact_dedup, op3_url_filter, op4_html_extract, op5_language_id, op6_simhash, op7_packing, op8_sharding, op9_embedding_dedup, op10_bpe, op11_hard_negatives, op12_substring_dedup, op13_filter_audit)
+    own = (op1_line_dedup, op2_exact_dedup, op3_url_filter, op4_html_extract, op5_language_id, op6_simhash, op7_packing, op8_sharding, op9_embedding_dedup, op10_bpe, op11_hard_negatives, op12_substring_dedup, op13_filter_audit, sharding_map_edit)
     return {f.__name__: f for f in own}
 
 

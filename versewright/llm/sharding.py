@@ -52,9 +52,9 @@ def slot_bytes(records: DataFrame, slot: str = "vslot", size: str = "size", slot
 def edited_map(sums: DataFrame, shards: int = SHARDS, previous: DataFrame | None = None, version: int = 1) -> DataFrame:
     """The next version of the map: ``(version, vslot, shard)``.
 
-    Slots of ``previous`` stay in their shard as long as its bytes stay
-    within an even share; the rest, largest first, go to the shard that has
-    least.  Without ``previous`` every slot is dealt so.  ``sums`` has one
+    Slots of ``previous`` stay in their shard, smallest first, as long as its
+    bytes stay within an even share, so few and large ones move; these, largest
+    first, go to the shard that has least.  Without ``previous`` every slot is dealt so.  ``sums`` has one
     row per slot, a fixed number, and is folded in one row.
     """
     if previous is None:
@@ -63,7 +63,7 @@ def edited_map(sums: DataFrame, shards: int = SHARDS, previous: DataFrame | None
         placed = sums.join(F.broadcast(previous.select("vslot", F.col("shard").alias("home"))), "vslot", "left")
     placed = placed.withColumn("home", F.when(F.col("home") < shards, F.col("home")))
     total = placed.withColumn("total", F.sum("bytes").over(Window.partitionBy(F.lit(0))))
-    running = F.sum("bytes").over(Window.partitionBy("home").orderBy(F.desc("bytes"), "vslot"))
+    running = F.sum("bytes").over(Window.partitionBy("home").orderBy("bytes", "vslot"))
     kept = total.withColumn("stays", F.col("home").isNotNull() & (running <= F.col("total") / shards))
     rows = kept.groupBy().agg(
         F.sort_array(F.collect_list(F.when(~F.col("stays"), F.struct((-F.col("bytes")).alias("less"), F.col("vslot").alias("vslot"))))).alias("loose"),
@@ -110,8 +110,8 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == version).select("version", "vslot", "shard")
 
 
-def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """All documents with ``size``, ``text_crc32``, ``vslot``, ``shard`` and ``slot``: bytes are near equal over shards."""
+def slotted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """All documents with ``size``, ``text_crc32`` and their ``vslot``, stored."""
     records = docs.select(
         F.col(doc_id).alias("doc_id"),
         record_size(text).alias("size"),
@@ -120,7 +120,12 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")
     records = numbered_among_like(records.withColumn("key", key))
-    records = frozen(records.withColumn("vslot", slot_of(F.concat_ws("/", "key", "number"), slots)).drop("key", "number"))
+    return frozen(records.withColumn("vslot", slot_of(F.concat_ws("/", "key", "number"), slots)).drop("key", "number"))
+
+
+def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """All documents with ``size``, ``text_crc32``, ``vslot``, ``shard`` and ``slot``: bytes are near equal over shards."""
+    records = slotted(docs, doc_id, text, slots)
     slot_map = edited_map(slot_bytes(records, slots=slots), shards)
     return sharded(records, slot_map, order=("doc_id", "size", "text_crc32", "row")).drop("row")
 
