@@ -31,11 +31,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,23 +51,13 @@ SEGMENT = CHUNK = 1 << 20
 PACK, BUCKET = 1 << 21, 1 << 20
 FEWEST_BUCKETS = 64
 #: Odd multipliers of the polynomial hashes.
-FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+FIRST, SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xA0761D6478BD642F)
 KEY_BITS = 48
-#: Words whose hashes a worker keeps.
-KNOWN_WORDS = 200_000
+#: Bytes whose words are hashed at once.
+HASHED = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 class Piece(NamedTuple):
     """Words ``first`` to ``first + own`` of a document, with ``lead`` words before them and some behind."""
 
@@ -101,10 +91,60 @@ def pieces(text: bytes, around: int, size: int = SEGMENT) -> Iterator[Piece]:
         before = (before + own)[-around:] if around else []
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ values >> np.uint64(32)
+
+
 def _powers(base: np.uint64, n: int) -> np.uint64:
     return np.uint64(pow(int(base), n, 1 << 64))
 
 
+@lru_cache(maxsize=8)
+def _table(base: int, n: int) -> np.ndarray:
+    """``base ** 0 ... base ** (n - 1)`` in 64 bits."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))), dtype=np.uint64)
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the bytes so far, each times a power of its place."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table(int(THIRD), HASHED)[: len(data)], out=sums[1:])
+    return sums
+
+
+def _gaps(data: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((data == 32) | (data == 10))
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of ``text``, which are a space or a line end apart: polynomials of their bytes, mixed.
+
+    All words are hashed together: a word is the difference of two sums, divided by
+    the power of its place.
+    """
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.empty(0, np.uint64)
+    spaces = _gaps(data)
+    starts, ends = np.concatenate(([0], spaces + 1)), np.append(spaces, len(data))
+    codes, k = np.empty(len(starts), np.uint64), 0
+    inverse = pow(int(THIRD), -1, 1 << 64)
+    while k < len(starts):
+        at = starts[k]
+        stop = int(np.searchsorted(ends, at + HASHED, side="right"))
+        if stop > k:
+            sums, own = _sums(data[at : ends[stop - 1]]), starts[k:stop] - at
+            codes[k:stop] = (sums[ends[k:stop] - at] - sums[own]) * _table(inverse, HASHED)[own]
+        else:  # a word of more than HASHED bytes, in pieces
+            stop, total = k + 1, 0
+            for place in range(at, ends[k], HASHED):
+                total += int(_sums(data[place : min(place + HASHED, ends[k])])[-1]) * pow(int(THIRD), int(place - at), 1 << 64)
+            codes[k] = total % (1 << 64)
+        k = stop
+    return _mixed(codes)
+
+
 def rolling(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Mixed polynomial hashes of all runs of ``length`` words, put together from runs of powers of two."""
     n = len(words) - length + 1
@@ -118,9 +158,17 @@ def rolling(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
         if done < length:
             run = run[: len(run) - size] + run[size:] * _powers(base, size)
             size *= 2
-    total ^= total >> np.uint64(32)
-    total *= np.uint64(0xD6E8FEB86659FD93)
-    return total ^ total >> np.uint64(32)
+    return _mixed(total)
+
+
+def rolling_at(words: np.ndarray, starts: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
+    """The same of the runs at ``starts`` only, whichever way is shorter."""
+    if len(starts) * 6 > len(words):
+        return rolling(words, length, base)[starts]
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(length):
+        total += words[starts + k] * _powers(base, k)
+    return _mixed(total)
 
 
 _PACKER, _UNPACKER = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
@@ -192,14 +240,16 @@ class _Prints(NamedTuple):
 class _Chunk:
     """The pieces of one stored chunk, and the windows of each."""
 
-    def __init__(self, row: dict, window: int, hashes: _Hashes) -> None:
-        self.block, self.window, self.meta, self.hashes = (window + 1) // 2, window, row["meta"], hashes
-        self.texts = _UNPACKER.decompress(row["texts"]).split(b"\n")
+    def __init__(self, row: dict, window: int) -> None:
+        self.block, self.window, self.meta = (window + 1) // 2, window, row["meta"]
+        self.whole = _UNPACKER.decompress(row["texts"])
 
-    def __iter__(self) -> Iterator[tuple[int, dict, list[bytes], np.ndarray]]:
-        for i, (meta, text) in enumerate(zip(self.meta, self.texts)):
-            words = text.split(b" ") if text else []
-            yield i, meta, words, np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+    def __iter__(self) -> Iterator[tuple[dict, bytes, np.ndarray]]:
+        """Each piece: where it is from, its text, the hashes of its words."""
+        data, codes = np.frombuffer(self.whole, np.uint8), word_codes(self.whole)
+        cuts = np.flatnonzero(data[_gaps(data)] == 10) + 1
+        for meta, text, own in zip(self.meta, self.whole.split(b"\n"), np.split(codes, cuts)):
+            yield meta, text, own if text else own[:0]
 
     def keys(self, meta: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rolling keys of a piece's words, and the places of its whole blocks among them."""
@@ -208,8 +258,11 @@ class _Chunk:
 
     def anchored(self, meta: dict, codes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
         """First words of the windows around the blocks that are anchors."""
-        keys, blocks = self.keys(meta, codes)
-        hit = blocks[_within(keys[blocks], anchors)]
+        first = -(meta["first"] - meta["lead"]) % self.block
+        count = max(0, len(codes) - first) // self.block
+        blocks = first + self.block * np.arange(count)
+        keys = _mixed((codes[first : first + count * self.block].reshape(count, self.block) * _table(int(FIRST), self.block)).sum(axis=1, dtype=np.uint64))
+        hit = blocks[_within(keys >> np.uint64(64 - KEY_BITS), anchors)]
         starts = (hit[:, None] - np.arange(self.window - self.block + 1)[None, ::-1]).ravel()
         starts = starts[(starts >= 0) & (starts + self.window <= len(codes))]
         return starts if self.window % 2 else np.unique(starts)  # two blocks fit in an even window
@@ -218,7 +271,7 @@ class _Chunk:
         """Fingerprints of the windows at ``starts``."""
         if not len(starts):
             return _Prints(np.empty(0, np.uint64), np.empty(0, np.uint32))
-        return _Prints(rolling(codes, self.window, FIRST)[starts], (rolling(codes, self.window, SECOND)[starts] >> np.uint64(32)).astype(np.uint32))
+        return _Prints(rolling_at(codes, starts, self.window, FIRST), (rolling_at(codes, starts, self.window, SECOND) >> np.uint64(32)).astype(np.uint32))
 
 
 def _own(meta: dict, starts: np.ndarray) -> np.ndarray:
@@ -318,7 +371,7 @@ def _anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
     shift = np.uint64(64 - KEY_BITS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        held, size = [], 0
 
         def windows() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held))
@@ -326,8 +379,8 @@ def _anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
             return _batch([(b, None, pack(k >> shift), None) for b, k, _, _ in _packs(keys << shift, buckets)], PACKED)
 
         for row in _rows(batches):
-            chunk, own_blocks = _Chunk(row, window, hashes), []
-            for _, meta, _, codes in chunk:
+            chunk, own_blocks = _Chunk(row, window), []
+            for meta, _, codes in chunk:
                 keys, blocks = chunk.keys(meta, codes)
                 places = np.arange(len(keys))
                 own = keys[_own(meta, places)]
@@ -365,11 +418,10 @@ def _repeats(chunks: DataFrame, anchors: DataFrame, window: int, buckets: int) -
     """``chunk, keys, more``: fingerprints of windows around the anchors of each chunk that are there twice."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for row in _rows(batches):
             known = np.sort(np.concatenate([unpack(k) for k in row["keys"]]))
-            chunk, parts = _Chunk(row, window, hashes), []
-            for _, meta, _, codes in chunk:
+            chunk, parts = _Chunk(row, window), []
+            for meta, _, codes in chunk:
                 starts = chunk.anchored(meta, codes, known)
                 parts.append(chunk.prints(codes, starts[_own(meta, starts)]))
             prints = _Prints.joined(parts)
@@ -407,22 +459,24 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     told = frozen(repeats.join(anchors.withColumnRenamed("keys", "anchors"), "chunk"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = _Hashes(), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
         for row in _rows(batches):
             known = np.sort(np.concatenate([none, *(unpack(k) for k in row["anchors"] or [])]))
             repeated = _Prints.joined([_Prints.unpacked(a, b) for a, b in zip(row["keys"] or [], row["more"] or [])])
-            chunk, out = _Chunk(row, window, hashes), {n: [] for n in ("doc_id", "row", "part", "n_words", "n_removed", "spans", "kept")}
-            for _, meta, words, codes in chunk:
-                gone = np.zeros(len(words) + 1, np.int64)
+            chunk, out = _Chunk(row, window), {n: [] for n in ("doc_id", "row", "part", "n_words", "n_removed", "spans", "kept")}
+            for meta, text, codes in chunk:
+                gone = np.zeros(len(codes) + 1, np.int64)
                 if len(repeated.a):
                     starts = chunk.anchored(meta, codes, known)
                     starts = starts[chunk.prints(codes, starts).within(repeated)]
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, starts + window, -1)
                 gone = (np.cumsum(gone)[:-1] > 0)[meta["lead"] : meta["lead"] + meta["own"]]
-                own = words[meta["lead"] : meta["lead"] + meta["own"]]
+                if gone.any() or meta["own"] < len(codes):
+                    own = text.split(b" ")[meta["lead"] : meta["lead"] + meta["own"]]
+                    text = b" ".join(w for w, g in zip(own, gone.tolist()) if not g)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))) + meta["first"]
-                for n, x in zip(out, (meta["doc"], meta["row"], meta["part"], meta["own"], int(gone.sum()), edges.reshape(-1, 2).tolist(), b" ".join(w for w, g in zip(own, gone.tolist()) if not g))):
+                for n, x in zip(out, (meta["doc"], meta["row"], meta["part"], meta["own"], int(gone.sum()), edges.reshape(-1, 2).tolist(), text)):
                     out[n].append(x)
             kinds = [doc_type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
             columns = [pa.array(x, k) for x, k in zip(out.values(), kinds)]
