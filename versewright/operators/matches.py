@@ -49,15 +49,23 @@ def evidence_labels(evidence: DataFrame, truth: DataFrame, right_ms: int = 300)
 def closest_within(left: DataFrame, right: DataFrame, by: str, value: str, unique: str, within: float) -> DataFrame:
     """Each left row with the closest right row of its key at most ``within`` apart; ties go to the smallest ``unique``.
 
-    Values fall into buckets of that width and a row looks into its own and
-    the two next to it, so the join is on (key, bucket).
+    No pairs are made: right rows of one value are one mark, marks are listed under the buckets
+    of values that they reach, and in a bucket two sorts with running values carry the last
+    mark below and above along.
     """
-    bucket = F.floor(F.col(value) / within)
-    l = left.withColumn("_k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    r = right.select(F.col(by).alias("_by"), F.floor(F.col(value) / within).alias("_bucket"), F.col(value).alias("_v"), F.col(unique).alias("_u"))
-    met = l.join(r, (F.col(by) == F.col("_by")) & (F.col("_k") == F.col("_bucket")) & (F.abs(F.col(value) - F.col("_v")) <= within))
-    near = F.min(F.struct(F.abs(F.col(value) - F.col("_v")).alias("apart"), F.col("_u").alias("match")))
-    return met.groupBy(*left.columns).agg(near.alias("_m")).select(*left.columns, "_m.match", "_m.apart")
+    bucket = lambda v: F.floor(v / (8 * within))
+    reach = within * (1 + 1e-9)
+    marks = right.where(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.min(unique).alias("_u"))
+    marks = marks.withColumn("_k", F.explode(F.sequence(bucket(F.col("_v") - reach), bucket(F.col("_v") + reach))))
+    rows = left.distinct().where(F.col(by).isNotNull() & F.col(value).isNotNull())
+    rows = rows.select(F.col(by).alias("_by"), F.col(value).alias("_v"), bucket(F.col(value)).alias("_k"), F.struct(*left.columns).alias("_row"))
+    line = rows.unionByName(marks, allowMissingColumns=True)
+    mark = F.when(F.col("_row").isNull(), F.struct("_v", "_u"))
+    near = lambda order: F.last(mark, ignorenulls=True).over(Window.partitionBy("_by", "_k").orderBy(order, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    line = line.withColumns({"_below": near(F.asc("_v")), "_above": near(F.desc("_v"))}).where("_row is not null")
+    apart = lambda m: F.when(F.col(m).isNotNull(), F.struct(F.abs(F.col("_v") - F.col(f"{m}._v")).alias("apart"), F.col(f"{m}._u").alias("match")))
+    met = line.select("_row", F.least(apart("_below"), apart("_above")).alias("_m")).where(F.col("_m.apart") <= within)
+    return met.select("_row.*", "_m.match", "_m.apart")
 
 
 def voiced_near(frames: DataFrame, reach: int, by: str = "song", at: str = "frame") -> DataFrame:
