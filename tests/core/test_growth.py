@@ -3,7 +3,7 @@
 import duckdb
 
 from versewright.operators import matches
-from versewright.plans import match_queries
+from versewright.plans import line_queries, match_queries
 
 
 def test_closest_within_makes_no_pairs(spark, tmp_path):
@@ -20,3 +20,10 @@ def test_closest_within_at_the_very_edge(spark):
     left = spark.createDataFrame([(1, "a", 4.0)], "id bigint, b string, v double")
     right = spark.createDataFrame([(2, "a", 1.9999999999999998), (3, "a", 6.0)], "id bigint, b string, v double")  # both 2.0 away in doubles
     assert [tuple(r) for r in matches.closest_within(left, right, "b", "v", "id", 2.0).collect()] == [(1, "a", 4.0, 2, 2.0)]
+
+
+def test_valid_times_of_a_song_without_any(spark, tmp_path):
+    rows = [(1, 100.5), (1, 300.0), (1, 3.0), (2, 99.0), (3, None)]
+    spark.createDataFrame(rows, "user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in line_queries.valid_times(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 0.5), (2, 0, None), (3, 0, None)]

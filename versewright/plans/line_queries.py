@@ -61,7 +61,8 @@ def contiguous_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 def valid_times(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.col("value") - 100).alias("t"))
-    return t.select("user_id", F.size(lines.valid_times(F.col("t"))).cast("bigint").alias("n"), F.round(F.element_at(lines.valid_times(F.col("t")), 1), 6).alias("first"))
+    t = t.select("user_id", lines.valid_times(F.col("t")).alias("t"))
+    return t.select("user_id", F.size("t").cast("bigint").alias("n"), F.round(F.get("t", F.lit(0)), 6).alias("first"))  # a song may have none
 
 
 def distribute_characters(spark: SparkSession, sf: str) -> DataFrame:
