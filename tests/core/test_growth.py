@@ -1,9 +1,11 @@
 """Work that grows with the input only, and results at the edges that larger tables reach."""
 
+import datetime as dt
+
 import duckdb
 
 from versewright.operators import matches
-from versewright.plans import line_queries, match_queries
+from versewright.plans import line_queries, match_queries, shape_queries
 
 
 def test_closest_within_makes_no_pairs(spark, tmp_path):
@@ -27,3 +29,14 @@ def test_valid_times_of_a_song_without_any(spark, tmp_path):
     spark.createDataFrame(rows, "user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in line_queries.valid_times(spark, str(tmp_path)).collect())
     assert got == [(1, 2, 0.5), (2, 0, None), (3, 0, None)]
+
+
+def _events(spark, tmp_path, kinds):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, 11 * 15 * i + 1, kind, start + dt.timedelta(seconds=i), 1.0) for i, kind in enumerate(kinds)]  # numbers of words that put all on one track
+    spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+
+
+def test_blocks_are_of_whole_lines(spark, tmp_path):
+    _events(spark, tmp_path, "abcdefgh" "abcdefgx" "abcdefgh" "abcdefgh")
+    assert [r["n"] for r in shape_queries.block_fingerprint(spark, str(tmp_path)).collect()] == [1, 1, 1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import timecode as C
 from ..operators import shapes, validate
-from ..schema import DOC_LINES_SQL, SHORT_SQL, SONG_SQL, document_lines, short_lines, song_words, table
+from ..schema import DOC_LINES_SQL, SONG_SQL, document_lines, song_words, table
 
 
 
@@ -106,8 +106,8 @@ def structural_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Two lines in a row, lines being of two words."""
-    k = shapes.structure_key(short_lines(spark, sf))
+    """Two lines in a row, with all their words on both tracks."""
+    k = shapes.structure_key(song_words(spark, sf))
     return shapes.block_fingerprints(k, 2).where("block is not null").groupBy("song", "block").agg(F.count("*").alias("n"))
 
 
@@ -243,7 +243,8 @@ SQL = {
     "alignment_stats": f"""{_CHECKED} SELECT song, count(*) FILTER (len > 6000) AS too_long, count(*) FILTER (len < 30) AS too_short, count(*) FILTER (begin_ms IS NOT NULL AND gap < -10) AS overlap, count(*) FILTER (gap > 4000) AS big_gap,
       round(avg(confidence), 9) AS confidence FROM near GROUP BY song""",
     "structural_equality": f"{_LASTS}, t AS (SELECT song, line_no, track, {_MARKED} AS text FROM m GROUP BY 1, 2, 3), {_STRUCT} SELECT song, structure, count(*) AS lines, min(line_no) AS first FROM s GROUP BY 1, 2",
-    "block_fingerprint": f"""{SHORT_SQL}, b AS (SELECT song, md5(structure || ',' || lead(structure) OVER (PARTITION BY song ORDER BY line_no)) AS block FROM s) SELECT song, block, count(*) AS n FROM b WHERE block IS NOT NULL GROUP BY 1, 2""",
+    "block_fingerprint": f"""{_LASTS}, t AS (SELECT song, line_no, track, {_MARKED} AS text FROM m GROUP BY 1, 2, 3), {_STRUCT},
+      b AS (SELECT song, md5(structure || ',' || lead(structure) OVER (PARTITION BY song ORDER BY line_no)) AS block FROM s) SELECT song, block, count(*) AS n FROM b WHERE block IS NOT NULL GROUP BY 1, 2""",
     "source_fingerprint": "SELECT item_id, md5(replace(text, '|', '') || chr(0) || 'b' || item_id) AS fingerprint FROM benchmark",
     "empty_after_deletion": f"WITH {SONG_SQL} SELECT song, line_no, bool_and(text LIKE 'c%' OR word_no % 2 = 0) AS empty FROM sw GROUP BY 1, 2",
     "window_filter": f"WITH {SONG_SQL}, l AS (SELECT song, line_no, min(begin_ms) AS b, max(end_ms) AS e, sum(length(trim(text, ' '))) AS tokens FROM sw GROUP BY 1, 2) SELECT song, line_no, tokens::BIGINT AS tokens FROM l WHERE e - b >= 1000 AND (e - b) // 20 >= 2 * tokens",
