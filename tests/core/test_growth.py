@@ -37,6 +37,12 @@ def _events(spark, tmp_path, kinds):
     spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
 
 
+def test_fingerprints_are_of_all_words(spark, tmp_path):
+    _events(spark, tmp_path, "abcdefgh" "abcdefgh" "abcdefgx" "abcdefgh")
+    found = [tuple(r) for r in match_queries.template_matches(spark, str(tmp_path)).collect()]
+    assert sorted(found) == [(1, 1, 0), (1, 3, 0)]
+
+
 def test_blocks_are_of_whole_lines(spark, tmp_path):
     _events(spark, tmp_path, "abcdefgh" "abcdefgx" "abcdefgh" "abcdefgh")
     assert [r["n"] for r in shape_queries.block_fingerprint(spark, str(tmp_path)).collect()] == [1, 1, 1]

@@ -76,12 +76,6 @@ def song_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("word_no", number.cast("int")).drop("at")
 
 
-def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as words of lines of two on one track: song, line_no, track, word_no, text."""
-    w = in_lines(events_as_words(spark, sf_dir), 2)
-    return w.select("song", "line_no", F.lit("main").alias("track"), F.col("word_no").cast("int").alias("word_no"), F.concat("kind", F.lit(" ")).alias("text"))
-
-
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as lines of text: doc_id, source, line_no, line."""
     d = table(spark, sf_dir, "documents").where("text is not null")
@@ -103,8 +97,6 @@ SONG_SQL = LINED_SQL + """, sw AS (
   FROM (SELECT *, CASE WHEN word_id % 5 = 0 THEN 'bg' ELSE 'main' END AS track, kind || CASE WHEN word_id % 3 = 0 THEN '' ELSE ' ' END AS text,
                (begin_ms - min(begin_ms) OVER (PARTITION BY song)) // 10000 AS b FROM lined) q
 )"""
-SHORT_SQL = f"""WITH {WORDS_SQL}, short AS (SELECT song, kind, row_number() OVER (PARTITION BY song ORDER BY begin_ms, word_id) - 1 AS pos FROM words
-), s AS (SELECT song, CAST(pos // 2 AS INT) AS line_no, md5('main' || chr(1) || string_agg(kind, ' ' ORDER BY pos)) AS structure FROM short GROUP BY 1, 2)"""
 DOC_LINES_SQL = """doc_lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL
 )"""
