@@ -3,9 +3,11 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
 from versewright.operators import matches
 from versewright.plans import line_queries, match_queries, shape_queries
+from versewright.streaming import stateful
 
 
 def test_closest_within_makes_no_pairs(spark, tmp_path):
@@ -46,3 +48,12 @@ def test_fingerprints_are_of_all_words(spark, tmp_path):
 def test_blocks_are_of_whole_lines(spark, tmp_path):
     _events(spark, tmp_path, "abcdefgh" "abcdefgx" "abcdefgh" "abcdefgh")
     assert [r["n"] for r in shape_queries.block_fingerprint(spark, str(tmp_path)).collect()] == [1, 1, 1]
+
+
+def test_state_travels_with_its_rows(spark, tmp_path):
+    rows = [("j", None, 1, 10**12, 0.1), ("j", "a", 2, 10**12, 0.2), ("j", None, 3, 10**12 + 1, 0.3), ("k", "a", 4, 10**12, None)]
+    spark.createDataFrame(rows, "job string, bar string, seq bigint, us bigint, fraction double").withColumn("ts", F.timestamp_micros("us")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    out = stateful.throttled(stream)
+    assert "TransformWithState" not in out._jdf.queryExecution().logical().toString()
+    assert sorted((r["seq"], r["fraction"]) for r in stateful.run_with_state(spark, out).collect()) == [(1, 0.1), (2, 0.2), (4, None)]

@@ -1,8 +1,9 @@
 """Streams with state of their own: throttled progress and the state that a client folds from a job's messages.
 
-Both keep a few values per key in the state store, which is checkpointed with
-the stream; a key that has been silent for ``KEEP`` (in event time, by a timer) is
-forgotten.  Rows of a key come in order from batch to batch, as a running job
+Both keep a few values per job in the state store, which is checkpointed with
+the stream; a job that has been silent for ``KEEP`` (in event time, by a timeout) is
+forgotten.  The state of a job travels with its rows, so a task asks for nothing
+job by job.  Rows of a key come in order from batch to batch, as a running job
 sends them; inside a batch they are sorted.
 """
 
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from . import progress
 
@@ -25,96 +26,48 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Forgetting(StatefulProcessor):
-    """A processor whose keys go when their timer is past."""
+def _in_order(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> list[tuple]:
+    """Rows of one job by time and number; ``columns`` begin with these two."""
+    rows = [row for batch in batches for row in zip(*[batch[c].tolist() for c in columns])]
+    return sorted(rows, key=lambda r: (r[0], r[1]))
 
-    def _start(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.until = handle.getValueState("until", "at bigint")
 
-    def _seen(self, ms: int) -> None:
-        if self.until.exists():
-            self.handle.deleteTimer(self.until.get()[0])
-        self.until.update((ms + KEEP_MS,))
-        self.handle.registerTimer(ms + KEEP_MS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for state in self.states:
-            state.clear()
-        self.until.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
-def _all_rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "seq"], kind="stable")
-
-
-class _Throttle(_Forgetting):
-    def __init__(self, interval_us: int) -> None:
-        self.interval_us = interval_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._start(handle)
-        self.last = handle.getValueState("last", "at bigint")
-        self.states = [self.last]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
-        batch, out = _all_rows(rows), []
-        for at, seq, fraction in zip(batch["at_us"].tolist(), batch["seq"].tolist(), batch["fraction"].tolist()):
-            known = fraction == fraction and fraction is not None
-            fraction = min(1.0, max(0.0, fraction)) if known else None
-            if last is None or at - last >= self.interval_us or fraction == 1.0:
-                last = at
-                out.append((*key, at, seq, fraction))
-        self.last.update((last,))
-        self._seen(int(batch["at_us"].iloc[-1]) // 1000)
-        table = pd.DataFrame(out, columns=["job", "bar", "at_us", "seq", "fraction"])
-        yield table.astype({"fraction": "Float64"})
+def _keep_until(state: GroupState, us: int) -> None:
+    state.setTimeoutTimestamp(max(us // 1000 + KEEP_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def throttled(updates: DataFrame, interval_us: int = INTERVAL_US) -> DataFrame:
     """The values of each progress bar that are published: the first, those ``interval_us`` or more after the last one published, and every value of one.
 
     ``updates`` is a stream of job, bar, seq, ``ts`` and ``fraction``
-    (null for unknown progress; others are brought into 0 to 1).
+    (null for unknown progress; others are brought into 0 to 1).  A job's bars are kept
+    together; one published so long ago that its next value passes anyway is dropped.
     """
     kinds = {f.name: f.dataType.simpleString() for f in updates.schema.fields}
     timed = updates.withWatermark("ts", LATE).select("job", "bar", "seq", "ts", F.unix_micros("ts").alias("at_us"), F.col("fraction").cast("double").alias("fraction"))
+    names = ["job", "bar", "at_us", "seq", "fraction"]
+
+    def publish(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = dict(zip(*state.get)) if state.exists else {}, []
+        rows = _in_order(batches, ("at_us", "seq", "bar", "fraction"))
+        for at, seq, bar, fraction in rows:
+            known = fraction is not None and fraction == fraction
+            fraction = min(1.0, max(0.0, fraction)) if known else None
+            if bar not in last or at - last[bar] >= interval_us or fraction == 1.0:
+                last[bar] = at
+                out.append((key[0], bar, at, seq, fraction))
+        newest = rows[-1][0]
+        last = {bar: at for bar, at in last.items() if newest - at <= max(KEEP_MS * 1000, interval_us)}
+        state.update((list(last), list(last.values())))
+        _keep_until(state, newest)
+        if out:
+            yield pd.DataFrame({n: pd.Series(c, dtype=object) if n != "fraction" else pd.Series(c, dtype=float) for n, c in zip(names, zip(*out))})
+
     schema = f"job {kinds['job']}, bar {kinds['bar']}, at_us bigint, seq {kinds['seq']}, fraction double"
-    return timed.groupBy("job", "bar").transformWithStateInPandas(statefulProcessor=_Throttle(interval_us), outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
-
-class _ClientFold(_Forgetting):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._start(handle)
-        self.status = handle.getValueState("status", "status string, error string")
-        self.bars = handle.getMapState("bars", "stage string", "fraction double, detail string")
-        self.events = handle.getValueState("events", "n bigint, last bigint")
-        self.states = [self.status, self.bars, self.events]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = _all_rows(rows)
-        n, last = self.events.get() if self.events.exists() else (0, None)
-        for row in batch.itertuples(index=False):
-            if row.kind == "open":  # the history is sent again
-                self.bars.clear()
-                n, last = 0, None
-            elif row.kind == "status":
-                self.status.update((row.status, row.error))
-            elif row.kind == "progress":
-                self.bars.updateValue((row.stage,), (row.fraction, row.detail))
-            else:
-                n, last = n + 1, row.seq
-        self.events.update((n, last))
-        self._seen(int(batch["at_us"].iloc[-1]) // 1000)
-        status, error = self.status.get() if self.status.exists() else (None, None)
-        bars = sorted((stage[0], value[0]) for stage, value in self.bars.iterator())
-        out = pd.DataFrame([(key[0], status, error, [b[0] for b in bars], [b[1] for b in bars], n, last)], columns=["job", "status", "error", "stages", "fractions", "events", "last_seq"])
-        yield out.astype({"status": object, "error": object, "last_seq": "Int64"})
+    return timed.groupBy("job").applyInPandasWithState(publish, schema, f"bars array<{kinds['bar']}>, at array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def client_state(messages: DataFrame) -> DataFrame:
@@ -128,8 +81,33 @@ def client_state(messages: DataFrame) -> DataFrame:
     """
     kind = messages.schema["job"].dataType.simpleString()
     timed = messages.withWatermark("ts", LATE).select("job", F.col("seq").cast("bigint").alias("seq"), "ts", F.unix_micros("ts").alias("at_us"), "kind", *[F.col(c).cast("string").alias(c) for c in ("stage", "status", "error", "detail")], F.col("fraction").cast("double").alias("fraction"))
+    none = lambda v: None if v is None or v != v else v
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, error, stages, fractions, details, n, last = state.get if state.exists else (None, None, [], [], [], 0, None)
+        bars = dict(zip(stages, zip(fractions, details)))
+        rows = _in_order(batches, ("at_us", "seq", "kind", "stage", "status", "error", "fraction", "detail"))
+        for _, seq, kind, stage, own, reason, fraction, detail in rows:
+            if kind == "open":  # the history is sent again
+                bars, n, last = {}, 0, None
+            elif kind == "status":
+                status, error = none(own), none(reason)
+            elif kind == "progress":
+                bars[none(stage)] = none(fraction), none(detail)
+            else:
+                n, last = n + 1, seq
+        shown = sorted(bars, key=lambda b: (b is not None, b))
+        fractions = [bars[b][0] for b in shown]
+        state.update((status, error, shown, fractions, [bars[b][1] for b in shown], n, last))
+        _keep_until(state, rows[-1][0])
+        yield pd.DataFrame({"job": [key[0]], "status": pd.Series([status], dtype=object), "error": pd.Series([error], dtype=object), "stages": [shown], "fractions": [fractions], "events": [n], "last_seq": pd.Series([last], dtype=object)})
+
     schema = f"job {kind}, status string, error string, stages array<string>, fractions array<double>, events bigint, last_seq bigint"
-    return timed.groupBy("job").transformWithStateInPandas(statefulProcessor=_ClientFold(), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    held = "status string, error string, stages array<string>, fractions array<double>, details array<string>, n bigint, last bigint"
+    return timed.groupBy("job").applyInPandasWithState(fold, schema, held, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_with_state(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
