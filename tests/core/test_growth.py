@@ -3,10 +3,12 @@
 import datetime as dt
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from versewright.operators import matches
-from versewright.plans import line_queries, match_queries, shape_queries
+from versewright.operators import matches, siblings
+from versewright.plans import compare_queries, line_queries, match_queries, shape_queries
+from versewright.sources import formats, project_ttml
 from versewright.streaming import stateful
 
 
@@ -57,3 +59,35 @@ def test_state_travels_with_its_rows(spark, tmp_path):
     out = stateful.throttled(stream)
     assert "TransformWithState" not in out._jdf.queryExecution().logical().toString()
     assert sorted((r["seq"], r["fraction"]) for r in stateful.run_with_state(spark, out).collect()) == [(1, 0.1), (2, 0.2), (4, None)]
+
+
+def test_groups_are_read_without_lines(spark, monkeypatch):
+    assert project_ttml.parse_groups('<tt><head><group id="a" label="b"/></head><body><p begin="1">x</p></body></tt>') == [{"id": "a", "label": "b", "color": project_ttml.GROUP_COLOR, "template_version": 1}]
+    assert project_ttml.parse_groups("<tt>") is None
+
+
+def test_lines_of_a_project_are_rendered_once(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 9, "la", [("de", "x", None)])], "song bigint, line_no int, begin_ms bigint, end_ms bigint, text string, translations array<struct<language: string, text: string, background: string>>")
+    assert project_ttml.write_project(lines)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_documents_are_parsed_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(150))})
+    assert [p.num_rows for p in formats.pieces(iter([batch, batch.slice(0, 3)]), 64)] == [64, 64, 22, 3]
+
+
+def test_edits_are_replayed_without_whole_batches(spark):
+    word = "array<struct<text: string, begin_ms: double, end_ms: double, explicit: boolean, syllable: string>>"
+    words = lambda n: [(f"w{i}", float(i), i + 1.0, None, None) for i in range(n)]
+    edits = spark.createDataFrame([(1, 0, "g", 0, words(3), words(2))], f"song bigint, line_no int, group_id string, template_line int, before {word}, after {word}")
+    copies = spark.createDataFrame([(1, k, "g", 0, False, words(3)) for k in range(301)], f"song bigint, line_no int, group_id string, template_line int, detached boolean, words {word}")
+    out = siblings.propagated_words(edits, copies)
+    assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["line_no"], r["how"], len(r["words"])) for r in out.collect()) == [(k, "replayed", 2) for k in range(1, 301)]
+
+
+def test_versions_of_one_language_are_dealt_out(spark, tmp_path):
+    spark.createDataFrame([(k, f"text {k}", "en") for k in range(40)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = compare_queries.version_decisions(spark, str(tmp_path))
+    assert "_part" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r["n"] for r in df.collect()) == 39

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,6 +135,13 @@ def _root(content: str):
         return None
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces: what a worker makes of them is held for one piece, not for a batch of thousands of documents."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _attribute(element, name: str) -> str | None:
     return next((v for k, v in element.attrib.items() if _local(k) == name), None)
 
@@ -174,7 +180,7 @@ def read_ttml_head(docs: DataFrame, song: str = "song", content: str = "content"
     kind = docs.schema[song].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 64):
             rows = [{song: s} | head for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (head := parse_ttml_head(c or "")) is not None]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -247,15 +253,19 @@ def _ms(value: str | None) -> int | None:
 
 def read_ttml(docs: DataFrame, song: str = "song", content: str = "content") -> DataFrame:
     """``song, line_no, track, word_no, begin_ms, end_ms, text, agent`` of TTML documents."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     kind = docs.schema[song].dataType.simpleString()
+    schema = docs.sparkSession.createDataFrame([], f"`{song}` {kind}, line_no int, track string, word_no int, begin_ms bigint, end_ms bigint, text string, agent string").schema
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [song, "line_no", "track", "word_no", "begin_ms", "end_ms", "text", "agent"]
-        for batch in batches:
-            rows = [(s, *r) for s, c in zip(batch[song], batch[content]) for r in parse_ttml(c or "")]
-            yield pd.DataFrame(rows, columns=names).astype({"begin_ms": "Int64", "end_ms": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 64):
+            rows = [(s, *r) for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in parse_ttml(c or "")]
+            columns = zip(*rows) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(song, content).mapInPandas(run, f"`{song}` {kind}, line_no int, track string, word_no int, begin_ms bigint, end_ms bigint, text string, agent string")
+    return docs.select(song, content).mapInArrow(run, schema)
 
 
 def _document(rows: DataFrame, song: str, order: str, line: Column, separator: str, head: Column | None = None, tail: str = "") -> DataFrame:

@@ -14,12 +14,12 @@ from typing import Any
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.extraction import text_of
 from ..operators.readings import planned, timed_part, visible
-from .formats import NAMESPACES, _attribute, _local, _ms, _root
+from .formats import NAMESPACES, _attribute, _local, _ms, _root, pieces
 
 PREFIX, NAMESPACE = "edit", "urn:versewright:edit"
 #: Times of a reading's span and of its word may differ by this much.
@@ -155,7 +155,7 @@ def write_project(lines: DataFrame, groups: DataFrame | None = None, song: str =
     keyed = typed.withColumn("key", F.concat(F.lit("L"), F.row_number().over(Window.partitionBy(song).orderBy("line_no")).cast("string")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 128):
             rows = []
             for r in batch.to_pylist():
                 p, side, reading = rendered(r, r["key"])
@@ -170,15 +170,18 @@ def write_project(lines: DataFrame, groups: DataFrame | None = None, song: str =
     made = keyed.mapInArrow(run, schema)
     in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.col(c).alias("t")))), lambda x: x["t"]), "")
 
-    def container(rows: DataFrame, name: str, attrs: str, out: str) -> DataFrame:
-        each = rows.groupBy(song, "language").agg(in_order("text").alias("t"))
+    # One pass over the rendered lines: what goes to the body, the translations and the readings is told apart by ``kind``.
+    part = lambda k, language, text: F.struct(F.lit(k).alias("kind"), language.alias("language"), text.alias("text"))
+    read = F.when(F.col("reading").isNotNull(), F.array(part("r", F.col("reading.language"), F.col("reading.text")))).otherwise(F.array().cast("array<struct<kind: string, language: string, text: string>>"))
+    parts = F.concat(F.array(part("p", F.lit(None).cast("string"), F.col("p"))), F.transform("side", lambda x: part("t", x["language"], x["text"])), read)
+    each = made.select(song, "line_no", F.explode(parts).alias("x")).select(song, "line_no", "x.*").groupBy(song, "kind", "language").agg(in_order("text").alias("t"))
+
+    def container(kind: str, name: str, attrs: str) -> Column:
         tag = F.concat(F.lit(f'<{name} xml:lang="'), F.regexp_replace("language", '"', "&quot;"), F.lit(f'"{attrs}>'), "t", F.lit(f"</{name}>"))
-        return each.groupBy(song).agg(F.concat(F.lit(f"<{name}s>"), F.array_join(F.array_sort(F.collect_list(tag)), ""), F.lit(f"</{name}s>")).alias(out))
+        own = F.col("kind") == kind
+        return F.when(F.count_if(own) > 0, F.concat(F.lit(f"<{name}s>"), F.array_join(F.array_sort(F.collect_list(F.when(own, tag))), ""), F.lit(f"</{name}s>")))
 
-    sides = container(made.select(song, "line_no", F.explode("side").alias("x")).select(song, "line_no", "x.*"), "translation", ' type="subtitle"', "_t")
-    reads = container(made.where("reading is not null").select(song, "line_no", "reading.*"), "transliteration", "", "_r")
-    body = made.groupBy(song).agg(in_order("p").alias("_p"))
-    full = body.join(sides, song, "left").join(reads, song, "left")
+    full = each.groupBy(song).agg(F.max(F.when(F.col("kind") == "p", F.col("t"))).alias("_p"), container("t", "translation", ' type="subtitle"').alias("_t"), container("r", "transliteration", "").alias("_r"))
     if groups is not None:
         q = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
         tag = F.concat(F.lit(f'<{PREFIX}:group id="'), q("id"), F.lit('" label="'), q("label"), F.lit('" color="'), q("color"), F.lit('" templateVersion="'), q("template_version"), F.lit('"/>'))
@@ -240,15 +243,30 @@ def _mapped(words: list[dict] | None, text: str, element) -> list[dict] | None:
     return None if text[at:].strip() else out
 
 
-def parse_project(content: str) -> tuple[list[dict], list[dict]] | None:
-    """Lines and groups of one document; None for a malformed one."""
-    root = _root(content.replace('\\"', '"').replace("\\n", "\n"))
-    if root is None:
-        return None
+def parse_groups(content: str) -> list[dict] | None:
+    """Groups of one document, without its lines; None for a malformed one."""
+    root = _parsed_root(content)
+    return None if root is None else list(_groups(root).values())
+
+
+def _parsed_root(content: str):
+    return _root(content.replace('\\"', '"').replace("\\n", "\n"))
+
+
+def _groups(root) -> dict[str, dict]:
     groups: dict[str, dict] = {}
     for e in root.iter():
         if _local(e.tag) == "group" and e.attrib.get("id") and e.attrib["id"] not in groups:
             groups[e.attrib["id"]] = {"id": e.attrib["id"], "label": e.attrib.get("label", GROUP_LABEL), "color": e.attrib.get("color", GROUP_COLOR), "template_version": _number(e.attrib.get("templateVersion")) or 1}
+    return groups
+
+
+def parse_project(content: str) -> tuple[list[dict], list[dict]] | None:
+    """Lines and groups of one document; None for a malformed one."""
+    root = _parsed_root(content)
+    if root is None:
+        return None
+    groups = _groups(root)
     lines: list[dict] = []
     places: dict[str, tuple[int, Any]] = {}
     for p in (e for e in root.iter() if _local(e.tag) == "p"):
@@ -306,12 +324,12 @@ def _read(line: dict, text, p, language: str) -> dict:
 
 def read_project(docs: DataFrame, song: str = "song", content: str = "content") -> DataFrame:
     """``song, line_no`` and the columns of LINE: a row per line of each readable document."""
-    return _parsed(docs, song, content, "line_no int, " + ", ".join(f"{c} {t}" for c, t in LINE.items()), lambda both: [{"line_no": k, **line} for k, line in enumerate(both[0])])
+    return _parsed(docs, song, content, "line_no int, " + ", ".join(f"{c} {t}" for c, t in LINE.items()), lambda text: None if (both := parse_project(text)) is None else [{"line_no": k, **line} for k, line in enumerate(both[0])])
 
 
 def read_groups(docs: DataFrame, song: str = "song", content: str = "content") -> DataFrame:
     """``song`` and the columns of GROUP: the groups that each document declares."""
-    return _parsed(docs, song, content, GROUP, lambda both: both[1])
+    return _parsed(docs, song, content, GROUP, parse_groups)
 
 
 def _parsed(docs: DataFrame, song: str, content: str, columns: str, rows_of) -> DataFrame:
@@ -321,11 +339,11 @@ def _parsed(docs: DataFrame, song: str, content: str, columns: str, rows_of) ->
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 16):
+            found = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both = parse_project(text or "")
-                if both is not None:
-                    yield pa.RecordBatch.from_pylist([{song: name, **row} for row in rows_of(both)], schema=arrow)
+                found += [{song: name, **row} for row in rows_of(text or "") or ()]
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     return docs.select(song, content).mapInArrow(run, schema)
 
