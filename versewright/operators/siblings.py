@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SIBLING = ["song", "group_id", "template_line"]
 WORDS = "array<struct<text: string, begin_ms: double, end_ms: double, explicit: boolean, syllable: string>>"
@@ -122,18 +123,22 @@ def propagated_words(edits: DataFrame, lines: DataFrame) -> DataFrame:
     renamed = renamed.select("song", "line_no", "source", F.expr("zip_with(words, after, (w, a) -> struct(a.text as text, w.begin_ms as begin_ms, w.end_ms as end_ms, w.explicit as explicit, w.syllable as syllable))").alias("words"), F.lit("renamed").alias("how"), F.lit(False).alias("retimed"))
     changed = met.where(~equal & F.col("before").isNotNull()).select("song", "line_no", "source", "before", "after", "words")
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                before, after, copy = (list(x) for x in (row.before, row.after, row.words))
-                made, plain = replayed(after, before, copy), in_proportion(after, copy)
-                if made is not None:
-                    out.append((row.song, row.line_no, row.source, made, "replayed" if len(copy) == len(before) else "scaled", not same_words(made, plain)))
-            yield pd.DataFrame(out, columns=["song", "line_no", "source", "words", "how", "retimed"])
-
     kind = {f.name: f.dataType.simpleString() for f in changed.schema.fields}
-    made = changed.mapInPandas(replay, f"song {kind['song']}, line_no {kind['line_no']}, source {kind['source']}, words {WORDS}, how string, retimed boolean")
+    schema = changed.sparkSession.createDataFrame([], f"song {kind['song']}, line_no {kind['line_no']}, source {kind['source']}, words {WORDS}, how string, retimed boolean").schema
+    arrow = to_arrow_schema(schema)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):  # words as Python objects are held for so many lines, not for a batch
+                out = []
+                for row in batch.slice(at, 128).to_pylist():
+                    before, after, copy = row["before"], row["after"], row["words"]
+                    made, plain = replayed(after, before, copy), in_proportion(after, copy)
+                    if made is not None:
+                        out.append({"song": row["song"], "line_no": row["line_no"], "source": row["source"], "words": made, "how": "replayed" if len(copy) == len(before) else "scaled", "retimed": not same_words(made, plain)})
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    made = changed.mapInArrow(replay, schema)
     return renamed.select(*made.columns).unionByName(made)
 
 
