@@ -21,9 +21,10 @@ Beyond ``DIRECT`` rows the comparison runs on the erased bits alone by
 neighbour look-up, which is linear in the group and keeps the same
 components.
 
-Near duplicates of a wanted similarity (:func:`keep_one`): three of 64 bits
-mean a similarity of about 0.98, and at 0.8 about ten of 64 bits differ, too
-many for a ball.  A text is its set of shingles here.  Candidates have all
+Near duplicates of a wanted similarity (:func:`keep_one`): texts are linked by
+their fingerprints as above.  Three of 64 bits mean a similarity of about
+0.98, and at 0.8 about ten of 64 bits differ, too many for a ball, so links of
+that similarity are added.  A text is its set of shingles there.  Candidates have all
 ``ROWS`` minima in common in one of ``BANDS`` bands (MinHash); a pair at
 ``SIMILAR`` is missed with probability (1 - 0.8**6)**32 = 6e-5, whatever other
 texts there are.  Every link is verified: the sets themselves must have a
@@ -82,9 +83,7 @@ def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(starts, stops)]), ">u8").astype(np.uint64)
 
 
-def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text given in UTF-8."""
-    values = _hashes(text, shingle)
+def _fingerprint(values: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), 4096):
         part = values[at : at + 4096]
@@ -92,17 +91,24 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(values)).tobytes(), "big")
 
 
-def text_sketch(text: bytes | None, shingle: int = 5) -> tuple[int, int, list[int]]:
-    """A hash of one text's set of shingles, the size of the set, and its band keys; zero and no keys if it is empty."""
-    values = np.unique(_hashes(text, shingle))
+def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text given in UTF-8."""
+    return _fingerprint(_hashes(text, shingle))
+
+
+def text_sketch(text: bytes | None, shingle: int = 5) -> tuple[int, int, int, list[int]]:
+    """Signed SimHash of one text, a hash of its set of shingles, the size of the set, and its band keys; zeros and no keys if it is empty."""
+    every = _hashes(text, shingle)
+    values = np.unique(every)
     if not len(values):
-        return 0, 0, []
+        return 0, 0, 0, []
+    sim = _fingerprint(every)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 1024):
         np.minimum(least, (values[at : at + 1024, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
     bands = least.reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-    return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63), len(values), keys
+    return sim - (1 << 64) if sim >> 63 else sim, xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63), len(values), keys
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
@@ -120,17 +126,17 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with ``fp`` (a hash of the set of shingles), ``size`` and ``bands`` of :func:`text_sketch` in place of ``text``."""
+    """``docs`` with ``sim`` (the SimHash), ``fp`` (a hash of the set of shingles), ``size`` and ``bands`` of :func:`text_sketch` in place of ``text``."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, size, bands = zip(*[text_sketch(t, shingle) for t in utf8_values(batch.column("text"))]) if batch.num_rows else ((), (), ())
-            new = [pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + new, names=[*names, "fp", "size", "bands"])
+            sim, fp, size, bands = zip(*[text_sketch(t, shingle) for t in utf8_values(batch.column("text"))]) if batch.num_rows else ((), (), (), ())
+            new = [pa.array(sim, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + new, names=[*names, "sim", "fp", "size", "bands"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + "fp bigint, size int, bands array<bigint>"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + "sim bigint, fp bigint, size int, bands array<bigint>"
     return docs.select(*[f"`{n}`" for n in names], "text").mapInArrow(run, schema)
 
 
@@ -400,11 +406,21 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return _components(marked, fingerprint_links(marked.select("fp").distinct()))
 
 
+def _ball_links(marked: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between sets ``fp`` whose texts' SimHash ``sim`` is within three bits: each set to the least one of its fingerprint, and these by the ball."""
+    pairs = marked.select("sim", "fp").distinct()
+    least = frozen(pairs.groupBy("sim").agg(F.min("fp").alias("least")))
+    same = pairs.join(least, "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    close = fingerprint_links(least.select("sim"), "sim").join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return same.union(close.where("x <> y").select("x", "y"))
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = BLOCK) -> DataFrame:
-    """As :func:`simhash_components`, with links between texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; ``fp`` names the set."""
+    """As :func:`simhash_components`, whose links within three bits are joined by those between texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more; ``fp`` names the set."""
     base = _base(docs, doc_id, text)
     marked = frozen(sketches(base, shingle).withColumn("row_id", F.monotonically_increasing_id()))
-    return _components(marked.drop("size", "bands"), similar_links(base, marked, shingle, block))
+    links = _ball_links(marked).union(similar_links(base, marked.drop("sim"), shingle, block))
+    return _components(marked.drop("sim", "size", "bands"), links)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
