@@ -96,6 +96,15 @@ def text_fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return _fingerprint(_hashes(text, shingle))
 
 
+def _band_keys(values: np.ndarray) -> list[int]:
+    """One signed key per band, of the minima of a set of shingles that isn't empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 1024):
+        np.minimum(least, (values[at : at + 1024, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
 def text_sketch(text: bytes | None, shingle: int = 5) -> tuple[int, int, int, list[int]]:
     """Signed SimHash of one text, a hash of its set of shingles, the size of the set, and its band keys; zeros and no keys if it is empty."""
     every = _hashes(text, shingle)
@@ -103,12 +112,7 @@ def text_sketch(text: bytes | None, shingle: int = 5) -> tuple[int, int, int, li
     if not len(values):
         return 0, 0, 0, []
     sim = _fingerprint(every)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 1024):
-        np.minimum(least, (values[at : at + 1024, None] * _TURNS[0] + _TURNS[1]).min(axis=0), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    keys = [xxhash.xxh64_intdigest(bands[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-    return sim - (1 << 64) if sim >> 63 else sim, xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63), len(values), keys
+    return sim - (1 << 64) if sim >> 63 else sim, xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63), len(values), _band_keys(values)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, out: str = "fp") -> DataFrame:
@@ -154,6 +158,27 @@ def _variants(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return every.ravel().view(np.int64), np.repeat(np.arange(len(values)), every.shape[1])
 
 
+def _rests(values: np.ndarray) -> np.ndarray:
+    """What a variant lacks of its fingerprint, for all rows of :func:`_variants`: the erased bits, and above them the number of the flip (0: none)."""
+    flips = np.concatenate([np.arange(65 - width, dtype=np.int64) << 22 for _, width in BLOCKS])
+    inner = [((values >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64) for first, width in BLOCKS]
+    per = [np.repeat(x[:, None], 65 - width, axis=1) for x, (_, width) in zip(inner, BLOCKS)]
+    return (np.concatenate(per, axis=1) | flips).ravel().astype(np.int32)
+
+
+def _restored(keys: np.ndarray, rests: np.ndarray) -> np.ndarray:
+    """The fingerprints of variants and their rests."""
+    keys, rests = keys.view(np.uint64), rests.astype(np.uint64)
+    number, flip = keys >> np.uint64(60) & np.uint64(3), rests >> np.uint64(22)
+    bit = np.where(flip > 0, np.uint64(1) << (np.maximum(flip, np.uint64(1)) - np.uint64(1)), np.uint64(0))
+    outside = (keys & np.uint64((1 << 60) - 1)) ^ bit
+    first = np.array([b[0] for b in BLOCKS], np.uint64)[number]
+    below = outside & ((np.uint64(1) << first) - np.uint64(1))
+    above = outside >> first
+    after = np.array([min(63, b[0] + b[1]) for b in BLOCKS], np.uint64)[number]  # nothing lies above the last block
+    return above << after | (rests & np.uint64((1 << 22) - 1)) << first | below
+
+
 def _settle(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For every node 0..n-1 the smallest node it reaches over links (i, j)."""
     label = np.arange(n)
@@ -257,11 +282,11 @@ def _links(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[
 
 
 def _met(rows: DataFrame, radius: int) -> DataFrame:
-    """Spanning links ``(a, b)`` of the fingerprints that share a variant and are within ``radius``."""
+    """Spanning links ``(a, b)`` of the fingerprints, given as (variant, rest), that share a variant and are within ``radius``."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in whole_groups(batches):
-            a, b = _links(keys, values.view(np.uint64), radius)
+        for keys, rests in whole_groups(batches):
+            a, b = _links(keys, _restored(keys, rests), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.repartition("variant").sortWithinPartitions("variant").mapInArrow(meet, "a bigint, b bigint").distinct()
@@ -274,12 +299,12 @@ def fingerprint_links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(values), 4096):
-                keys, owner = _variants(values[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[at : at + 4096].view(np.int64)[owner])], names=["variant", "fp"])
+                keys, _ = _variants(values[at : at + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_rests(values[at : at + 4096]))], names=["variant", "rest"])
 
     # Dealt over all tasks: the table is small, what it emits is not.
     dealt = distinct.select(F.col(fp).alias("fp")).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    return _met(dealt.mapInArrow(emit, "variant bigint, fp bigint"), RADIUS)
+    return _met(dealt.mapInArrow(emit, "variant bigint, rest int"), RADIUS)
 
 
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
@@ -329,23 +354,27 @@ def _links_apart(known: DataFrame, open_bands: DataFrame, sets: DataFrame, block
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(fp, hashes)``: the sorted set of shingles, 8 bytes each, of the texts with a ``key`` in ``wanted`` (key, fp)."""
-    found = _packed(docs.select("key", "text")).join(wanted, "key").select("text", "fp")
+    """``(fp, size, bands, hashes)`` of the texts with a ``key`` in ``wanted`` (key, fp); ``hashes`` is the sorted set of shingles, 8 bytes each."""
+    found = _packed(docs.select("key", "text")).join(wanted.hint("merge"), "key").select("text", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [np.unique(_hashes(t, shingle)).tobytes() for t in _unpacked(part)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+                sets = [np.unique(_hashes(t, shingle)) for t in _unpacked(part)]
+                size, bands = pa.array(map(len, sets), pa.int32()), pa.array(map(_band_keys, sets), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(1), size, bands, pa.array([x.tobytes() for x in sets], pa.binary())], names=["fp", "size", "bands", "hashes"])
 
-    return found.mapInArrow(run, "fp bigint, hashes binary").dropDuplicates(["fp"])
+    return found.mapInArrow(run, "fp bigint, size int, bands array<bigint>, hashes binary").dropDuplicates(["fp"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of ``SIMILAR`` or more."""
-    left = frozen(pairs).join(sets.toDF("a", "x"), "a")
-    both = left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of ``SIMILAR`` or more; sets of sizes that exclude it aren't moved."""
+    size = sets.select("fp", "size")
+    sized = pairs.join(size.toDF("a", "m"), "a").join(size.toDF("b", "n"), "b")
+    fits = frozen(sized.where(F.least("m", "n") >= F.greatest("m", "n") * F.lit(SIMILAR) - F.lit(1e-9)).select("a", "b"))
+    of = sets.select("fp", "hashes")
+    both = fits.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,21 +390,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, marked: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
-    """Verified links ``(a, b)`` of the sets ``fp`` in ``marked`` (key, fp, size, bands); every pair of one band is linked by one of them or a chain of them, or not similar."""
-    distinct = frozen(marked.where("size > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    rows = distinct.select("fp", "key", "size", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min(F.struct("fp", "size")).alias("head"), F.max("fp").alias("last"))
-    heads = frozen(heads.where("head.fp <> last").select("band", "head"))  # stored: the join can be split at a hot band
-    met = frozen(rows.join(heads, "band").select("band", "fp", "key", "size", "head"))
-    sets = frozen(_shingle_sets(docs, frozen(met.groupBy("fp").agg(F.first("key").alias("key"))), shingle))
-    fits = F.least("size", "head.size") >= F.greatest("size", "head.size") * F.lit(SIMILAR) - F.lit(1e-9)
-    stars = met.where((F.col("fp") != F.col("head.fp")) & fits).select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    """Verified links ``(a, b)`` of the sets ``fp`` in ``marked`` (key, fp, size, bands); every pair of one band is linked by one of them or a chain of them, or not similar.
+
+    Band rows hold two numbers each, since there are ``BANDS`` of them for a
+    text; names of texts are met again where a band has several.  Their joins are merge joins at every
+    size of table.
+    """
+    distinct = frozen(marked.where("size > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
+    rows = distinct.select("fp", F.explode("bands").alias("band"))
+    heads = rows.groupBy("band").agg(F.min("fp").alias("head"), F.max("fp").alias("last"))
+    heads = frozen(heads.where("head <> last").select("band", "head"))  # stored: the join can be split at a hot band
+    met = frozen(rows.join(heads.hint("merge"), "band").select("band", "fp", "head"))
+    wanted = distinct.select("fp", "key").join(met.select("fp").distinct(), "fp")
+    sets = frozen(_shingle_sets(docs, frozen(wanted), shingle))
+    stars = met.where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
     links = frozen(_verified(stars, sets))
     parts = connected_components(links)
     known = frozen(met.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("band", "fp", F.coalesce("component", "fp").alias("part")))
     apart = known.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    whole = sets.join(distinct.select("fp", "size", "bands"), "fp")
-    return links.union(_links_apart(known, frozen(apart.select("band", "n")), whole, block))
+    return links.union(_links_apart(known, frozen(apart.select("band", "n")), sets, block))
 
 
 def _components(marked: DataFrame, links: DataFrame) -> DataFrame:
