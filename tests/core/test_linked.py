@@ -170,3 +170,29 @@ def test_marked_words_and_bound(spark, monkeypatch):
         terms.term_hits(lines, listed)
 
 
+
+
+def test_block_search_is_for_pairs_within_the_common_subsequence():
+    """Two texts of the same letters in another order share no long subsequence; their blocks aren't searched."""
+
+    class Counting(difflib.SequenceMatcher):
+        searched = 0
+
+        def ratio(self):
+            Counting.searched += 1
+            return super().ratio()
+
+    text = "abcdefghijklmnop qrstuvwxyz" * 4
+    assert not similar.ratio_at_least(Counting(), text, text[::-1], 0.6) and Counting.searched == 0
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30))) for _ in "ab")
+        if rng.random() < 0.3:
+            b = a[rng.randint(0, 5) :] + b[:5]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert similar.common_length(similar.places(a), len(a), b) == table[-1][-1]
+        if a or b:
+            assert similar.ratio_at_least(difflib.SequenceMatcher(), a, b, 0.6) == (a == b or difflib.SequenceMatcher(a=a, b=b).ratio() >= 0.6)

@@ -5,7 +5,9 @@ first: lengths may differ by 7 to 3 at most, and the characters that two lines h
 in common, as counts of 64 classes, bound the matching blocks.  Lines meet by classes of
 length and are tested by counts in the join itself, so no pair beyond the bounds
 is shuffled.  What is left is verified in order, and the first hit of a line ends
-its search.
+its search.  Matching blocks are a common subsequence, so the length of the longest
+one, found by whole numbers as bit rows, is a third bound; blocks are searched only
+for pairs within it.
 """
 
 from __future__ import annotations
@@ -23,13 +25,34 @@ ALIKE, SAME_STRUCTURE = 0.6, 0.5
 CLASSES = 64
 
 
-def ratio_at_least(matcher: difflib.SequenceMatcher, a: str, b: str, alike: float) -> bool:
+def places(text: str) -> dict[str, int]:
+    """For each character of ``text`` its places as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def common_length(at: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of ``other`` and the text of ``n`` characters with the :func:`places` ``at``."""
+    whole = (1 << n) - 1
+    row = whole
+    for c in other:
+        if hit := row & at.get(c, 0):
+            row = (row + hit | row - hit) & whole
+    return n - row.bit_count()
+
+
+def ratio_at_least(matcher: difflib.SequenceMatcher, a: str, b: str, alike: float, at: dict[str, int] | None = None) -> bool:
+    """Whether two texts are alike; ``at``: the :func:`places` of ``a``, where they are known."""
     if a == b:
         return True
     if 2 * min(len(a), len(b)) < alike * (len(a) + len(b)):
         return False
+    if 2 * common_length(places(a) if at is None else at, len(a), b) < (alike - 1e-9) * (len(a) + len(b)):
+        return False
     matcher.set_seqs(a, b)
-    return matcher.quick_ratio() >= alike and matcher.ratio() >= alike
+    return matcher.ratio() >= alike
 
 
 def _with_counts(lines: DataFrame, key: str) -> DataFrame:
@@ -68,12 +91,14 @@ def similar_lines(lines: DataFrame, others: DataFrame, by: tuple[str, ...] = ("s
     ordered = met.select(*place, "other", "key", "okey").repartition(*place).sortWithinPartitions(*place, "other")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher, hit = difflib.SequenceMatcher(), None
+        matcher, hit, asked, bits = difflib.SequenceMatcher(), None, None, {}
         for batch in batches:
             keep = []
             for row in batch.itertuples(index=False):
                 at = row[: len(place)]
-                found = at != hit and ratio_at_least(matcher, row.key, row.okey, alike)
+                if row.key != asked:
+                    asked, bits = row.key, places(row.key)
+                found = at != hit and ratio_at_least(matcher, row.key, row.okey, alike, bits)
                 hit = at if found else hit
                 keep.append(found)
             yield batch.loc[keep, place].astype(object)
