@@ -1,12 +1,15 @@
 """Work that grows with the input only, and results at the edges that larger tables reach."""
 
 import datetime as dt
+import difflib
+import random
+import time
 
 import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from versewright.operators import matches, siblings
+from versewright.operators import matches, repair, siblings
 from versewright.plans import compare_queries, line_queries, match_queries, shape_queries
 from versewright.sources import formats, project_ttml
 from versewright.streaming import stateful
@@ -91,3 +94,18 @@ def test_versions_of_one_language_are_dealt_out(spark, tmp_path):
     df = compare_queries.version_decisions(spark, str(tmp_path))
     assert "_part" in df._jdf.queryExecution().optimizedPlan().toString()
     assert sum(r["n"] for r in df.collect()) == 39
+
+
+def test_blocks_of_two_word_sequences_as_difflib_in_near_linear_time():
+    rng = random.Random(4)
+    for _ in range(1500):
+        kinds = rng.choice([1, 2, 3, 6, 40])
+        a = [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
+        b = [x for x in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
+        assert repair.matching_blocks(a, b) == [tuple(x) for x in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_matching_blocks()][:-1]
+    # A long song whose transcript lacks every third word: thousands of blocks of two words, which difflib finds with a pass over the rest for each.
+    ours = [(n // 80, n % 80, f"w{int(rng.paretovariate(0.6)) % 400}") for n in range(30_000)]
+    heard = [(k, float(n)) for n, (_, p, k) in enumerate(ours) if p % 3 != 2]
+    began = time.process_time()
+    assert len(repair.first_hits(ours, heard)) > 0
+    assert time.process_time() - began < 2.5

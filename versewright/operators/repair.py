@@ -2,15 +2,17 @@
 
 Words and lines stay in tables; what needs one pass over a song in order
 (matching blocks of two word sequences) is a small kernel inside
-``applyInPandas`` with one song as a group, whose size does not grow with the
-table.
+``applyInPandas`` with one song as a group; its time is near to linear in the
+song's length.
 """
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,16 +71,105 @@ def transcript_times(words: DataFrame, lines: DataFrame) -> DataFrame:
     return spread.withColumn("heard_ms", begin).where("heard_ms is not null and key <> ''").select("song", "line_no", "word_no", "key", "heard_ms")
 
 
+def _runs(codes: np.ndarray, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """A number for each run of ``size`` values, equal for equal runs; ``known`` holds those of powers of two."""
+    if size not in known:
+        half = 1 << (size - 1).bit_length() - 1
+        part = _runs(codes, half, known) if half > 1 else codes
+        n = len(codes) - size + 1
+        whole = np.unique(part[:n] * len(codes) + part[size - half : size - half + n], return_inverse=True)[1]
+        if size & (size - 1):
+            return whole
+        known[size] = whole
+    return known[size]
+
+
+def matching_blocks(a: list, b: list) -> list[tuple[int, int, int]]:
+    """The blocks (place in a, place in b, length) of ``difflib`` without junk: the longest common run, the leftmost of equal ones, and so on at either side of it.
+
+    What is on both sides of a longest run has no longer one, so blocks are
+    taken by falling length: for a length each stretch between blocks is
+    passed once from left to right, with equal runs looked up in sorted
+    places of ``b``.  Which lengths occur at all is found by halving.
+    """
+    n, m = len(a), len(b)
+    number: dict = {}
+    codes = np.array([number.setdefault(x, len(number)) for x in a] + [-1] + [number.setdefault(x, len(number)) for x in b], np.int64)
+    codes[n] = len(number)  # no run across the border equals another
+    known: dict[int, np.ndarray] = {1: codes}
+    # For each place of a its stretch: where it begins and ends, and the stretch of b it belongs to.
+    start, stop, low, high = np.zeros(n, np.int64), np.full(n, n), np.zeros(n, np.int64), np.full(n, m)
+
+    def met(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose run of ``size`` occurs in their stretch of b, the runs' numbers, and the sorted runs of b with their places."""
+        if size > min(n, m):
+            return np.empty(0, np.int64), codes, codes
+        runs = _runs(codes, size, known) * (m + 1)
+        there = np.sort(runs[n + 1 :] + np.arange(m - size + 1))
+        at = np.arange(n - size + 1)
+        at = at[(at + size <= stop[: len(at)]) & (low[: len(at)] + size <= high[: len(at)])]
+        first = np.searchsorted(there, runs[at] + low[at])
+        hit = there[np.minimum(first, len(there) - 1)]
+        return at[(first < len(there)) & (hit >= runs[at]) & (hit <= runs[at] + high[at] - size)], runs, there
+
+    blocks: list[tuple[int, int, int]] = []
+    size, found = 1, met(1)
+    while len(found[0]) and len((more := met(2 * size))[0]):
+        size, found = 2 * size, more
+    above = 2 * size  # no run is as long as this
+    while len(found[0]):
+        while above - size > 1:
+            middle = (size + above) // 2
+            if len((more := met(middle))[0]):
+                size, found = middle, more
+            else:
+                above = middle
+        places, runs, there = found
+        end = left = below = -1
+        for i in places.tolist():
+            if i >= end:  # another stretch
+                if end > left:
+                    start[left:end], low[left:end] = left, below
+                end, left, below, top = int(stop[i]), int(start[i]), int(low[i]), int(high[i])
+            if i < left or i + size > end:
+                continue
+            run = int(runs[i])
+            k = int(np.searchsorted(there, run + below))
+            if k == len(there) or there[k] > run + top - size:
+                continue
+            j = int(there[k]) - run
+            blocks.append((i, j, size))
+            start[left:i], stop[left:i], low[left:i], high[left:i] = left, i, below, j
+            high[i : i + size] = -1
+            left, below = i + size, j + size
+        if end > left:
+            start[left:end], low[left:end] = left, below
+        above, size = size, 1
+        if above == 1:
+            break
+        found = met(above - 1)
+        if len(found[0]):
+            size = above - 1
+        else:
+            above, found = above - 1, met(1)
+    out: list[tuple[int, int, int]] = []
+    for i, j, k in sorted(blocks):
+        if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + k)
+        else:
+            out.append((i, j, k))
+    return out
+
+
 def first_hits(ours: list[tuple[int, int, str]], heard: list[tuple[str, float]]) -> dict[int, tuple[int, float]]:
     """For each of our lines with a solid match: place of its first matched word, and when that was heard; ``ours`` has (line, place, key)."""
-    matcher = difflib.SequenceMatcher(a=[k for _, _, k in ours], b=[k for k, _ in heard], autojunk=False)
     hits: dict[int, tuple[int, float]] = {}
     places: dict[tuple[int, str], int] = {}
     for line, place, key in ours:
         places.setdefault((line, key), place)
-    for block in matcher.get_matching_blocks():
-        if block.size >= LEAST_RUN or block.size and len(ours[block.a][2]) >= LEAST_SINGLE:
-            for (line, _, key), (_, at) in zip(ours[block.a : block.a + block.size], heard[block.b : block.b + block.size]):
+    for i, j, size in matching_blocks([k for _, _, k in ours], [k for k, _ in heard]):
+        if size >= LEAST_RUN or len(ours[i][2]) >= LEAST_SINGLE:
+            for (line, _, key), (_, at) in zip(ours[i : i + size], heard[j : j + size]):
                 if line not in hits:
                     hits[line] = (places[line, key], at)
     return hits
@@ -98,16 +189,21 @@ def anchored_lines(lines: DataFrame, words: DataFrame, heard: DataFrame) -> Data
     length = lines.select("song", "line_no", F.lit(None).cast("int").alias("word_no"), F.lit(None).cast("string").alias("key"), F.col("duration_ms").cast("double").alias("at"), F.lit(2).alias("side"))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs, whole = (rows[rows["side"] == s].sort_values(["line_no", "word_no"]) for s in (0, 1, 2))
-        numbers, duration = whole["line_no"].tolist(), float(whole["at"].iloc[0]) if len(whole) else 0.0
+        sides = rows["side"].to_numpy()
+        order = np.lexsort((rows["word_no"].to_numpy(float), rows["line_no"].to_numpy(float), sides))
+        cut = np.searchsorted(sides[order], [0, 1, 2, 3])
+        line, word, key, at = (rows[c].to_numpy()[order] for c in ("line_no", "word_no", "key", "at"))
+        mine, theirs, whole = (slice(x, y) for x, y in zip(cut, cut[1:]))
+        numbers, duration = line[whole].tolist(), float(at[whole][0]) if cut[3] > cut[2] else 0.0
         out = pd.DataFrame({"song": rows["song"].iloc[0], "line_no": numbers, "begin_ms": None, "end_ms": None, "matched": False})
-        keyed = [(n, int(p), k) for n, p, k in zip(mine["line_no"], mine["word_no"], mine["key"]) if k]
-        hits = first_hits(keyed, list(zip(theirs["key"], theirs["at"]))) if keyed and len(theirs) else {}
-        if hits and numbers:
-            counts = mine.groupby("line_no").size()
-            begins = _interpolated(_in_order([max(0.0, hits[n][1] - hits[n][0] * PER_WORD) if n in hits else None for n in numbers]), [int(counts.get(n, 0)) for n in numbers], duration)
-            ends = list(_line_ends(begins, [int(counts.get(n, 0)) for n in numbers], duration))
-            out["begin_ms"], out["end_ms"], out["matched"] = begins, ends, [n in hits for n in numbers]
+        lines = line[mine].tolist()
+        keyed = [(n, int(p), k) for n, p, k in zip(lines, word[mine].tolist(), key[mine]) if k]
+        hits = first_hits(keyed, list(zip(key[theirs], at[theirs].tolist()))) if keyed and cut[2] > cut[1] else {}
+        if any(n in hits for n in numbers):
+            each = Counter(lines)
+            counts = [each[n] for n in numbers]
+            begins = _interpolated(_in_order([max(0.0, hits[n][1] - hits[n][0] * PER_WORD) if n in hits else None for n in numbers]), counts, duration)
+            out["begin_ms"], out["end_ms"], out["matched"] = begins, list(_line_ends(begins, counts, duration)), [n in hits for n in numbers]
         return out
 
     return ours.unionByName(other).unionByName(length).groupBy("song").applyInPandas(place, f"song {kind}, line_no int, begin_ms double, end_ms double, matched boolean")
@@ -130,8 +226,9 @@ def _interpolated(begins: list[float | None], counts: list[int], duration: float
         upto.append(upto[-1] + n)
     out = []
     for i, b in enumerate(begins):
-        before = max((k for k in known if k <= i), default=None)
-        behind = min((k for k in known if k >= i), default=None)
+        after = bisect_right(known, i)
+        before = known[after - 1] if after else None
+        behind = known[first] if (first := bisect_left(known, i)) < len(known) else None
         if b is not None:
             out.append(b)
         elif before is not None and behind is not None:
